@@ -160,8 +160,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.refresh_adjacency and args.rule in ("all", "coal"):
         inputs.adjacency(args.coal_area, refresh=True)
     if args.rule == "report":
-        result = all_areas(inputs)
-        county_report(inputs, result).write.mode("overwrite").parquet(args.output)
+        # The report reads the result several times, so it works on a stored copy without polygons.
+        stored = sinks.write_table(
+            all_areas(inputs).drop("area_geometry", "site_geometry"), sinks.scratch_folder(spark, "all-areas")
+        )
+        county_report(inputs, stored).write.mode("overwrite").parquet(args.output)
         return
     if args.rule == "coal":
         result = coal_areas(inputs, args.coal_area)

@@ -7,8 +7,9 @@ once, store the result by year as Parquet and query that.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,22 +18,21 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 50_000
 
 
-def county_or_metro_member(name: str) -> bool:
-    clean = name.lower().strip().replace(" ", "_")
-    return "_county" in clean or "_msa" in clean
+# Fixed value: members with county or metropolitan rows, in lower case with underscores.
+COUNTY_OR_METRO = "_county|_msa"
 
 
 def unzip_rows(
     archives: DataFrame,
     columns: Sequence[str],
-    wanted: Callable[[str], bool] = county_or_metro_member,
+    wanted: str = COUNTY_OR_METRO,
     only_member: str | None = None,
     sep: str = ",",
     encoding: str = "utf-8",
 ) -> DataFrame:
     """Rows of the wanted members of ``archives(path, content)``, all columns as text.
 
-    Every member starts with a header line; columns are matched by name. ``only_member`` demands
+    Every member starts with a header line; columns are matched by name. ``wanted`` is a pattern. ``only_member`` demands
     that the archive holds exactly that file.
     """
     names = list(columns)
@@ -40,7 +40,7 @@ def unzip_rows(
     def members(archive: zipfile.ZipFile, path: str) -> list[str]:
         found = [i.filename for i in archive.infolist() if not i.is_dir()]
         if only_member is None:
-            return [n for n in found if wanted(n)]
+            return [n for n in found if re.search(wanted, n.lower().strip().replace(" ", "_"))]
         if len(found) != 1:
             raise ValueError(f"{path} holds {len(found)} files, expected one")
         if found[0] != only_member:

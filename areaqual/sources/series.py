@@ -17,10 +17,10 @@ REPLY_DDL = """
 """
 
 
-def read_replies(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One row per document."""
+def read_replies(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+    """One row per document: a document per file, or per line when ``multi_line`` is off."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.schema(REPLY_DDL).json(paths, multiLine=True)
+    return spark.read.schema(REPLY_DDL).json(paths, multiLine=multi_line)
 
 
 def flatten_replies(replies: DataFrame) -> DataFrame:

@@ -26,10 +26,11 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared directory the session names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting, as in local tests, falls back to a temporary folder.
+    Only a local session without that setting, as in tests, gets a temporary folder.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="areaqual-")
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/areaqual-{name}-{uuid.uuid4().hex}"
