@@ -91,49 +91,45 @@ def area_rates(df: DataFrame, keys: Sequence[str], part: str, whole: str, name:
     )
 
 
-def exact_median(df: DataFrame, column: str, buckets: int = 256) -> DataFrame:
+def exact_median(df: DataFrame, column: str, max_values: int = 100_000, buckets: int = 4096) -> DataFrame:
     """One-row frame with the exact median, without bringing all values together.
 
-    Equal values collapse first. Approximate quantiles cut the distinct values into buckets, the
-    bucket counts tell which bucket holds the middle, and only that bucket is sorted.
+    While more than ``max_values`` values are in view, they are counted in equal-width buckets (a
+    histogram of at most ``buckets`` rows) and only the bucket that holds the middle stays in view.
+    A value that repeats ends the search when it is alone. What remains is ranked exactly, with
+    equal values as one counted row.
     """
-    values = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).alias("v"))
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    cuts = counted.agg(
-        F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10 * buckets).alias("cuts")
-    ).scalar()
-    # Binary search in the sorted cut points: equal values always share a bucket.
-    bucketed = counted.select("v", "n", _bucket(F.col("v"), cuts, buckets).alias("b"))
-    per_bucket = bucketed.groupBy("b").agg(F.sum("n").alias("n"))
-    # At most ``buckets`` rows, so one partition is enough for the running count.
-    running = per_bucket.select("b", "n", F.expr("sum(n) OVER (ORDER BY b)").alias("upto"))
-    middle = per_bucket.agg(F.sum("n").alias("rows")).select(
-        F.expr("(rows + 1) div 2").alias("first"), F.expr("(rows + 2) div 2").alias("second")
-    )
-    first, second = middle.select("first").scalar(), middle.select("second").scalar()
-    chosen = running.where((F.col("upto") >= first) & (F.col("upto") - F.col("n") < second)).select(
-        "b", (F.col("upto") - F.col("n")).alias("before")
-    )
-    ranked = bucketed.join(F.broadcast(chosen), "b").select(
-        "v", "n", (F.col("before") + F.expr("sum(n) OVER (PARTITION BY b ORDER BY v)")).alias("upto")
-    )
-    around = ranked.where((F.col("upto") >= first) & (F.col("upto") - F.col("n") < second))
-    return around.agg(((F.min("v") + F.max("v")) / 2.0).alias("median"))
-
-
-def _bucket(value: Column, cuts: Column, buckets: int) -> Column:
-    steps = buckets.bit_length()
-    found = F.struct(F.lit(0).alias("lo"), F.lit(buckets - 1).alias("hi"))
-    mid = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    search = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        found,
-        lambda s, _: F.when(s["lo"] >= s["hi"], s)
-        .when(F.get(cuts, mid(s)) < value, F.struct((mid(s) + 1).alias("lo"), s["hi"].alias("hi")))
-        .otherwise(F.struct(s["lo"].alias("lo"), mid(s).alias("hi"))),
-        lambda s: s["lo"],
-    )
-    return search
+    known = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).cast("double").alias("v"))
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    first, second = (size["n"] + 1) // 2, (size["n"] + 2) // 2
+    view, left, below, lo, hi = known, size["n"], 0, size["lo"], size["hi"]
+    while left > max_values and lo < hi:
+        bucket = F.floor((F.col("v") - lo) / ((hi - lo) / buckets))
+        histogram = (
+            view.groupBy(bucket.alias("b"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .orderBy("b")
+            .collect()
+        )
+        upto, chosen = below, []
+        for h in histogram:
+            if upto < second and upto + h["n"] >= first:
+                chosen.append((upto, h))
+            upto += h["n"]
+        below, left = chosen[0][0], sum(h["n"] for _, h in chosen)
+        if (lo, hi) == (chosen[0][1]["lo"], chosen[-1][1]["hi"]):
+            break
+        lo, hi = chosen[0][1]["lo"], chosen[-1][1]["hi"]
+        view = known.where(F.col("v").between(lo, hi))
+    counted = view.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counted.select("v", "n", (F.lit(below) + F.expr("sum(n) OVER (ORDER BY v)")).alias("upto"))
+    middle = ranked.where((F.col("upto") >= first) & (F.col("upto") - F.col("n") < second))
+    return middle.agg(((F.min("v") + F.max("v")) / 2.0).alias("median"))
+
+
+def exact_sum(c: Column) -> Column:
+    """Sum of short decimals that does not depend on the order of the rows, as a double."""
+    return F.sum(c.cast("decimal(28,10)")).cast("double")
 
 
 def acreage_three_ways(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -143,13 +139,13 @@ def acreage_three_ways(df: DataFrame, key: str, value: str) -> DataFrame:
     the known values plus the fill times the number of missing ones.
     """
     known = df.select(key, numeric.nan_to_null(F.col(value).cast("double")).alias("_aq_value"))
-    mean = known.agg(F.avg("_aq_value").alias("mean")).scalar()
+    mean = known.agg((exact_sum(F.col("_aq_value")) / F.nullif(F.count("_aq_value"), F.lit(0))).alias("mean")).scalar()
     median = exact_median(known, "_aq_value").scalar()
     per_key = (
         known.dropna(subset=[key])
         .groupBy(key)
         .agg(
-            F.coalesce(F.sum("_aq_value"), F.lit(0.0)).alias("_aq_sum"),
+            F.coalesce(exact_sum(F.col("_aq_value")), F.lit(0.0)).alias("_aq_sum"),
             F.count_if(F.col("_aq_value").isNull()).alias("_aq_missing"),
         )
     )

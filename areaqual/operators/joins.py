@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 _COPIES = "_aq_copies"
 _SALT = "_aq_salt"
@@ -33,7 +33,7 @@ def hot_key_join(
     listed = counts.orderBy(F.col("n").desc()).limit(max_hot_keys).collect()
     if not listed:
         return left.join(right, list(on))
-    schema = StructType([left.schema[c] for c in on]).add(_COPIES, "int")
+    schema = StructType([left.schema[c] for c in on]).add(_COPIES, IntegerType())
     rows = [(*[r[c] for c in on], min(math.ceil(r["n"] / rows_per_task), max_copies)) for r in listed]
     hot = F.broadcast(left.sparkSession.createDataFrame(rows, schema))
     copies = F.coalesce(F.col(_COPIES), F.lit(1))

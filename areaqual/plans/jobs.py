@@ -24,6 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from areaqual.operators import adjacency as adjacent
+from areaqual.operators import spatial
 from areaqual.plans import coal, crosswalks, employment, layers, report, sites
 from areaqual.sources import archives, areas, delimited, series, sinks
 
@@ -40,6 +41,10 @@ class Inputs:
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """An intermediate table that is used more than once, written to the shared folder."""
+        return sinks.write_table(df, sinks.scratch_folder(self.spark, name))
+
     def areas(self) -> DataFrame:
         return areas.read_areas(self.spark, self.path("areas"))
 
@@ -60,10 +65,13 @@ def coal_areas(inputs: Inputs, level: str = "tract") -> DataFrame:
     layers.check_level(level)
     table = inputs.areas()
     layer = layers.layer(table, level)
-    mines = sites.clean_mines(delimited.read_mines(inputs.spark, inputs.path("mines")), layer, level)
+    grid = spatial.fit_area_grid(layer, "area_geometry")
+    mines = sites.clean_mines(delimited.read_mines(inputs.spark, inputs.path("mines")), layer, level, grid=grid)
     generators = sites.clean_generators(
-        delimited.read_generators(inputs.spark, inputs.path("generators")), layer, level
+        delimited.read_generators(inputs.spark, inputs.path("generators")), layer, level, grid=grid
     )
+    # Each table serves the rule itself and the search for neighbours.
+    mines, generators = inputs.stored(mines, "mines"), inputs.stored(generators, "generators")
     return coal.coal_rule(
         mines, generators, inputs.adjacency(level), layer, layers.state_names(table), layers.county_names(table), level
     )
@@ -107,7 +115,8 @@ def county_report(inputs: Inputs, result: DataFrame) -> DataFrame:
     table = inputs.areas()
     counties = layers.layer(table, "county")
     raw = delimited.read_brownfields(inputs.spark, inputs.path("brownfields"))
-    acreage = report.brownfield_acreage(sites.clean_brownfields(raw, counties, "county"))
+    located = inputs.stored(sites.clean_brownfields(raw, counties, "county"), "brownfields")
+    acreage = report.brownfield_acreage(located)
     return report.county_report(result, acreage, layers.layer(table, "tract"), counties)
 
 
@@ -161,9 +170,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         inputs.adjacency(args.coal_area, refresh=True)
     if args.rule == "report":
         # The report reads the result several times, so it works on a stored copy without polygons.
-        stored = sinks.write_table(
-            all_areas(inputs).drop("area_geometry", "site_geometry"), sinks.scratch_folder(spark, "all-areas")
-        )
+        stored = inputs.stored(all_areas(inputs).drop("area_geometry", "site_geometry"), "all-areas")
         county_report(inputs, stored).write.mode("overwrite").parquet(args.output)
         return
     if args.rule == "coal":

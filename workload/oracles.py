@@ -181,13 +181,15 @@ def _site_parts(level: str) -> dict[str, str]:
 PARTS |= _site_parts("county") | _site_parts("tract")
 PARTS["all_rules"] = """SELECT * FROM coal_tract UNION ALL BY NAME SELECT * FROM brownfield_tract
     UNION ALL BY NAME SELECT * FROM employment"""
-PARTS["acreage"] = """SELECT county_id_fips,
-      round_even(coalesce(sum(brownfield_acreage), 0) * 100, 0) / 100 AS brownfield_acreage,
-      round_even(sum(coalesce(brownfield_acreage, (SELECT avg(brownfield_acreage) FROM brownfields_county))) * 100, 0) / 100
-        AS brownfield_acreage_mean_fill,
-      round_even(sum(coalesce(brownfield_acreage, (SELECT median(brownfield_acreage) FROM brownfields_county))) * 100, 0) / 100
+# Sums of cents are exact in decimals, so the half cents of the median fill round the same everywhere.
+PARTS["acreage"] = """SELECT county_id_fips, round_even(known * 100, 0) / 100 AS brownfield_acreage,
+      round_even((known + missing * (SELECT sum(brownfield_acreage::DECIMAL(18, 2))::DOUBLE / count(brownfield_acreage)
+        FROM brownfields_county)) * 100, 0) / 100 AS brownfield_acreage_mean_fill,
+      round_even((known + missing * (SELECT median(brownfield_acreage) FROM brownfields_county)) * 100, 0) / 100
         AS brownfield_acreage_median_fill
-    FROM brownfields_county WHERE county_id_fips IS NOT NULL GROUP BY ALL"""
+    FROM (SELECT county_id_fips, coalesce(sum(brownfield_acreage::DECIMAL(18, 2)), 0)::DOUBLE AS known,
+        count(*) FILTER (brownfield_acreage IS NULL) AS missing
+      FROM brownfields_county WHERE county_id_fips IS NOT NULL GROUP BY ALL)"""
 
 
 def _utm_sql(source: str, keys: str) -> dict[str, str]:

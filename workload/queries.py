@@ -146,12 +146,9 @@ def keep_highest_label(spark, d):
 # --- crosswalks and joins ----------------------------------------------------------------------
 
 
-def _metro(spark, d):
-    return crosswalks.metro_crosswalk(T.metro_raw(spark, d))
-
-
-def _non_metro(spark, d):
-    return crosswalks.non_metro_crosswalk(T.non_metro_raw(spark, d), _metro(spark, d))
+def _crosswalks(spark, d):
+    metro = crosswalks.metro_crosswalk(T.metro_raw(spark, d))
+    return metro, crosswalks.non_metro_crosswalk(T.non_metro_raw(spark, d), metro)
 
 
 @query
@@ -168,13 +165,13 @@ def metro_crosswalk(spark, d):
 
 @query
 def crosswalk_anti(spark, d):
-    return _non_metro(spark, d).select("county_id_fips", "state_id_fips", "msa_code", "msa_name", "county_name")
+    return _crosswalks(spark, d)[1].select("county_id_fips", "state_id_fips", "msa_code", "msa_name", "county_name")
 
 
 @query
 def crosswalk_join(spark, d):
     codes = [*K.FOSSIL_CODES, "22112"]
-    return employment.employment_facts(T.facts_raw(spark, d), _metro(spark, d), _non_metro(spark, d), codes)
+    return employment.employment_facts(T.facts_raw(spark, d), *_crosswalks(spark, d), codes)
 
 
 @query
@@ -224,7 +221,7 @@ def unemployment_area_table(spark, d):
 
 
 def _facts(spark, d, codes=K.FOSSIL_CODES):
-    return employment.employment_facts(T.facts_raw(spark, d), _metro(spark, d), _non_metro(spark, d), codes)
+    return employment.employment_facts(T.facts_raw(spark, d), *_crosswalks(spark, d), codes)
 
 
 @query
@@ -255,7 +252,7 @@ def scenario_shares(spark, d):
 
 
 def _local(spark, d):
-    return employment.local_rates(T.unemployment_raw(spark, d), _metro(spark, d), _non_metro(spark, d))
+    return employment.local_rates(T.unemployment_raw(spark, d), *_crosswalks(spark, d))
 
 
 @query
@@ -277,8 +274,11 @@ def national_prior_year(spark, d):
 
 @query
 def employment_rule(spark, d):
+    metro, non_metro = _crosswalks(spark, d)
     return employment.qualifying_counties(
-        _facts(spark, d), employment.national_rate(T.national_raw(spark, d)), _local(spark, d),
+        employment.employment_facts(T.facts_raw(spark, d), metro, non_metro),
+        employment.national_rate(T.national_raw(spark, d)),
+        employment.local_rates(T.unemployment_raw(spark, d), metro, non_metro),
         T.states(spark, d), T.counties(spark, d),
     )
 
@@ -316,7 +316,7 @@ def adjacency(spark, d):
 def neighbour_lists(spark, d):
     mines = sites.closed_mines(T.mines_raw(spark, d))
     located = sites.locate_sites(mines, T.tract_layer(spark, d), "tract", "tract", K.MINE)
-    listed = adj.attach_neighbours(located, "tract_id_fips", T.square_adjacency(spark, d, "tract"))
+    listed = adj.attach_neighbours(located, "tract_id_fips", T.stored_adjacency(spark, d, "tract"))
     return listed.select("mine_id", "tract_id_fips", F.array_join("adjacent_id_fips", ",").alias("neighbours"))
 
 
@@ -351,50 +351,65 @@ def utm_area(spark, d):
 _PLACE = ["latitude", "longitude", "qualifying_criteria", "qualifying_area"]
 
 
+
+def _mines(spark, d, level):
+    return sites.clean_mines(T.mines_raw(spark, d), T.layer(spark, d, level), level, grid=T.layer_grid(spark, d, level))
+
+
+def _generators(spark, d, level):
+    grid = T.layer_grid(spark, d, level)
+    return sites.clean_generators(T.generators_raw(spark, d), T.layer(spark, d, level), level, grid=grid)
+
+
+def _brownfield_sites(spark, d, level):
+    grid = T.layer_grid(spark, d, level)
+    return sites.clean_brownfields(T.brownfields_raw(spark, d), T.layer(spark, d, level), level, grid=grid)
+
+
+def _store(df, name):
+    """Located sites are used several times by a rule; they are written once and read back."""
+    return sinks.write_table(df, sinks.scratch_folder(df.sparkSession, name))
+
+
 @query
 def mines_located(spark, d):
-    return sites.clean_mines(T.mines_raw(spark, d), T.tract_layer(spark, d), "tract").select(
-        "mine_id", "current_mine_name", "tract_id_fips", "tract_name", *_PLACE
-    )
+    return _mines(spark, d, "tract").select("mine_id", "current_mine_name", "tract_id_fips", "tract_name", *_PLACE)
 
 
 @query
 def generators_located(spark, d):
-    return sites.clean_generators(T.generators_raw(spark, d), T.county_layer(spark, d), "county").select(
+    return _generators(spark, d, "county").select(
         "plant_id_eia", "utility_id_eia", "generator_id", "county_id_fips", "county_name", *_PLACE
     )
 
 
 @query
 def brownfields_located(spark, d):
-    return sites.clean_brownfields(T.brownfields_raw(spark, d), T.county_layer(spark, d), "county").select(
+    return _brownfield_sites(spark, d, "county").select(
         "site_name", "state", "program", "brownfield_acreage", "county_id_fips", "county_name", *_PLACE
     )
 
 
 @query
 def adjacent_records(spark, d):
-    layer = T.tract_layer(spark, d)
-    mines = sites.clean_mines(T.mines_raw(spark, d), layer, "tract")
-    return coal.adjacent_records(mines, T.square_adjacency(spark, d, "tract"), layer, "tract", K.MINE_CLOSURE)
+    return coal.adjacent_records(
+        _mines(spark, d, "tract"), T.stored_adjacency(spark, d, "tract"), T.tract_layer(spark, d), "tract",
+        K.MINE_CLOSURE,
+    )
 
 
 def _coal(spark, d, level):
-    layer = T.county_layer(spark, d) if level == "county" else T.tract_layer(spark, d)
-    grid = spatial.fit_area_grid(layer, "area_geometry")
     return coal.coal_rule(
-        sites.clean_mines(T.mines_raw(spark, d), layer, level, grid=grid),
-        sites.clean_generators(T.generators_raw(spark, d), layer, level, grid=grid),
-        T.square_adjacency(spark, d, level), layer, T.states(spark, d), T.counties(spark, d), level,
+        _store(_mines(spark, d, level), "mines"), _store(_generators(spark, d, level), "generators"),
+        T.stored_adjacency(spark, d, level), T.layer(spark, d, level), T.states(spark, d), T.counties(spark, d), level,
         with_geometry=False,
     ).drop("site_geometry")
 
 
 def _brownfields(spark, d, level):
-    layer = T.county_layer(spark, d) if level == "county" else T.tract_layer(spark, d)
-    located = sites.clean_brownfields(T.brownfields_raw(spark, d), layer, level)
     return coal.brownfield_rule(
-        located, layer, T.states(spark, d), T.counties(spark, d), level, with_geometry=False
+        _brownfield_sites(spark, d, level), T.layer(spark, d, level), T.states(spark, d), T.counties(spark, d), level,
+        with_geometry=False,
     ).drop("site_geometry")
 
 
@@ -421,32 +436,26 @@ def all_rules(spark, d):
 # --- reports -----------------------------------------------------------------------------------
 
 
-def _labels(spark, d):
-    layer = T.tract_layer(spark, d)
-    edges = T.square_adjacency(spark, d, "tract")
-    mines = sites.clean_mines(T.mines_raw(spark, d), layer, "tract")
-    generators = sites.clean_generators(T.generators_raw(spark, d), layer, "tract")
-    return (
-        report.feature_table(mines, edges, layer, "tract"),
-        report.feature_table(generators, edges, layer, "tract"),
+def _features(spark, d, located):
+    return report.feature_table(
+        _store(located, "located"), T.stored_adjacency(spark, d, "tract"), T.tract_layer(spark, d), "tract"
     )
 
 
 @query
 def feature_priority(spark, d):
-    mines, _ = _labels(spark, d)
-    return mines.select("geoid", "primary_or_adj")
+    return _features(spark, d, _mines(spark, d, "tract")).select("geoid", "primary_or_adj")
 
 
 @query
 def feature_combined(spark, d):
-    return report.combine_features(*_labels(spark, d)).select("geoid", "primary_or_adj")
+    mines, generators = (_features(spark, d, f(spark, d, "tract")) for f in (_mines, _generators))
+    return report.combine_features(mines, generators).select("geoid", "primary_or_adj")
 
 
 @query
 def acreage_three_ways(spark, d):
-    located = sites.clean_brownfields(T.brownfields_raw(spark, d), T.county_layer(spark, d), "county")
-    return report.brownfield_acreage(located)
+    return report.brownfield_acreage(_store(_brownfield_sites(spark, d, "county"), "brownfields"))
 
 
 @query
@@ -456,10 +465,9 @@ def exact_median(spark, d):
 
 @query
 def county_report(spark, d):
-    tracts, counties = T.tract_layer(spark, d), T.county_layer(spark, d)
-    acreage = report.brownfield_acreage(sites.clean_brownfields(T.brownfields_raw(spark, d), counties, "county"))
-    result = sinks.write_table(all_rules(spark, d), sinks.scratch_folder(spark, "all-rules"))
-    return report.county_report(result, acreage, tracts, counties)
+    acreage = report.brownfield_acreage(_store(_brownfield_sites(spark, d, "county"), "brownfields"))
+    result = _store(all_rules(spark, d), "all-rules")
+    return report.county_report(result, acreage, T.tract_layer(spark, d), T.county_layer(spark, d))
 
 
 # --- checks ------------------------------------------------------------------------------------
@@ -480,7 +488,7 @@ def unmatched_keys(spark, d):
 
 @query
 def unmatched_counties(spark, d):
-    return employment.unmatched_counties(T.facts_raw(spark, d), _metro(spark, d), _non_metro(spark, d))
+    return employment.unmatched_counties(T.facts_raw(spark, d), *_crosswalks(spark, d))
 
 
 # --- sources and sinks: whole tables out and back in ---------------------------------------------
@@ -528,7 +536,9 @@ def definitions_csv(spark, d):
     path = _out(spark, "non-metro")
     T.non_metro_raw(spark, d).write.options(header=True, escape='"').csv(path)
     raw = delimited.read_non_metro_definitions(spark, path)
-    return crosswalks.non_metro_crosswalk(raw, _metro(spark, d)).select("county_id_fips", "msa_code", "msa_name")
+    return crosswalks.non_metro_crosswalk(raw, crosswalks.metro_crosswalk(T.metro_raw(spark, d))).select(
+        "county_id_fips", "msa_code", "msa_name"
+    )
 
 
 @query

@@ -7,10 +7,16 @@ Coordinates are small whole or half numbers, so borders, corners and outside poi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
+from areaqual.operators import spatial
+from areaqual.operators.adjacency import adjacency
+from areaqual.sources import sinks
 
 GRID_COLUMNS = 5
 COUNTY_SIDE = 10
@@ -18,8 +24,19 @@ TRACT_COLUMNS = 16
 TRACT_SIDE = 3
 
 
+_once: dict[tuple, Any] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Any]) -> Any:
+    """What a deployment prepares once per layer or table, prepared once per session."""
+    key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, sf_dir, name)
+    if key not in _once:
+        _once[key] = make()
+    return _once[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return once(spark, sf_dir, name, lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _e(sql: str, name: str):
@@ -214,9 +231,27 @@ def national_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def layer(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
+    return county_layer(spark, sf_dir) if level == "county" else tract_layer(spark, sf_dir)
+
+
 def square_adjacency(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     """Edge table of a layer, built by the adjacency operator."""
-    from areaqual.operators.adjacency import adjacency
+    return adjacency(layer(spark, sf_dir, level), f"{level}_id_fips", "area_geometry")
 
-    layer = county_layer(spark, sf_dir) if level == "county" else tract_layer(spark, sf_dir)
-    return adjacency(layer, f"{level}_id_fips", "area_geometry")
+
+def stored_adjacency(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
+    """The edge table as the rules use it: built once and read from where it is stored."""
+
+    def build() -> DataFrame:
+        return sinks.write_table(
+            square_adjacency(spark, sf_dir, level), sinks.scratch_folder(spark, f"adjacency-{level}")
+        )
+
+    return once(spark, sf_dir, f"adjacency {level}", build)
+
+
+def layer_grid(spark: SparkSession, sf_dir: str, level: str) -> spatial.Grid:
+    return once(
+        spark, sf_dir, f"grid {level}", lambda: spatial.fit_area_grid(layer(spark, sf_dir, level), "area_geometry")
+    )
