@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -94,17 +95,19 @@ def area_rates(df: DataFrame, keys: Sequence[str], part: str, whole: str, name:
 def exact_median(df: DataFrame, column: str, max_values: int = 100_000, buckets: int = 4096) -> DataFrame:
     """One-row frame with the exact median, without bringing all values together.
 
-    While more than ``max_values`` values are in view, they are counted in equal-width buckets (a
-    histogram of at most ``buckets`` rows) and only the bucket that holds the middle stays in view.
-    A value that repeats ends the search when it is alone. What remains is ranked exactly, with
-    equal values as one counted row.
+    While more than ``max_values`` values are in view, they are counted in buckets of equal width on
+    a logarithmic scale (a histogram of at most ``buckets`` rows) and only the bucket that holds the
+    middle stays in view. A value that repeats ends the search when it is alone. What remains is
+    ranked exactly, with equal values as one counted row.
     """
+    scaled = F.signum("v") * F.log1p(F.abs("v"))
     known = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).cast("double").alias("v"))
     size = known.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     first, second = (size["n"] + 1) // 2, (size["n"] + 2) // 2
     view, left, below, lo, hi = known, size["n"], 0, size["lo"], size["hi"]
     while left > max_values and lo < hi:
-        bucket = F.floor((F.col("v") - lo) / ((hi - lo) / buckets))
+        start, end = (math.copysign(math.log1p(abs(x)), x) for x in (lo, hi))
+        bucket = F.floor((scaled - start) / max((end - start) / buckets, 1e-300))
         histogram = (
             view.groupBy(bucket.alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
