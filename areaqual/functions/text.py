@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ``trim`` only removes blanks; the inputs also carry tabs and no-break spaces.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def strip_lower(c: Column) -> Column:

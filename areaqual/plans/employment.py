@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,14 @@ from areaqual.plans.layers import add_area_info, add_geometry
 
 AREA_YEAR = ["msa_code", "year"]
 
+# Takes a reduced table that is used twice and its name; may write it and return the stored copy.
+Store = Callable[[DataFrame, str], DataFrame]
+
+
+def _keep(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
 COLUMNS = [
     "county_name", "county_id_fips", "state_id_fips", "state_abbr", "state_name", "geoid", "site_name",
     "qualifying_criteria", "qualifying_area",
@@ -68,9 +76,17 @@ def unmatched_counties(raw: DataFrame, metro: DataFrame, non_metro: DataFrame) -
 # --- fossil share ----------------------------------------------------------------------------
 
 
-def fossil_share_by_county(facts: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES) -> DataFrame:
-    """One row per area, county and year with the share of its area and the flag."""
-    totals = aggregates.industry_totals(facts, ["msa_code", "county_id_fips", "area_title", "year"])
+def fossil_share_by_county(
+    facts: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES, store: Store = _keep
+) -> DataFrame:
+    """One row per area, county and year with the share of its area and the flag.
+
+    The facts are reduced once to a row per county, year and industry; both the shares and the list
+    of counties come from that small table. With ``store`` it is written and the facts are read once.
+    """
+    totals = store(
+        aggregates.industry_totals(facts, ["msa_code", "county_id_fips", "area_title", "year"]), "industry-totals"
+    )
     shares = aggregates.code_shares(totals, AREA_YEAR, F.col("industry_code").isin(list(codes)))
     counties = totals.groupBy("msa_code", "county_id_fips", "year").agg(F.min("area_title").alias("area_title"))
     return counties.join(shares, AREA_YEAR, "left").withColumn("geoid", F.col("county_id_fips"))
@@ -173,16 +189,20 @@ def county_unemployment(raw: DataFrame) -> DataFrame:
     )
 
 
-def local_rates(raw: DataFrame, metro: DataFrame, non_metro: DataFrame) -> DataFrame:
+def local_rates(raw: DataFrame, metro: DataFrame, non_metro: DataFrame, store: Store = _keep) -> DataFrame:
     """County rows with the unemployment rate of their statistical area and year.
 
-    A county that is in two areas, or has two series in a year, stops the run.
+    A county that is in two areas, or has two series in a year, stops the run. With ``store`` the
+    yearly county table is written, so the monthly series are read once.
     """
     areas = crosswalks.checked_county_areas(metro, non_metro)
-    counties = quality.require_unique(
-        county_unemployment(raw).join(areas, "county_id_fips"),
-        ["county_id_fips", "year"],
-        "A county has two unemployment series in one year",
+    counties = store(
+        quality.require_unique(
+            county_unemployment(raw).join(areas, "county_id_fips"),
+            ["county_id_fips", "year"],
+            "A county has two unemployment series in one year",
+        ),
+        "county-unemployment",
     )
     rates = aggregates.area_rates(
         counties, AREA_YEAR, "total_unemployment", "total_labor_force", "local_area_unemployment_rate"
@@ -238,10 +258,10 @@ def employment_rule(
 
 def qualifying_counties(
     facts: DataFrame, national: DataFrame, local: DataFrame, states: DataFrame, counties: DataFrame,
-    county_layer: DataFrame | None = None, codes: Sequence[str] = K.FOSSIL_CODES,
+    county_layer: DataFrame | None = None, codes: Sequence[str] = K.FOSSIL_CODES, store: Store = _keep,
 ) -> DataFrame:
     """The whole rule from cleaned facts and rates."""
     return employment_rule(
-        fossil_share_by_county(facts, codes), unemployment_flags(national, local), states, counties, county_layer
+        fossil_share_by_county(facts, codes, store), unemployment_flags(national, local), states, counties, county_layer
     )
 

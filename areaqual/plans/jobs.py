@@ -96,11 +96,12 @@ def employment_areas(inputs: Inputs, years: Sequence[int] | None = None) -> Data
     raw = delimited.read_facts(spark, inputs.path("facts"), years)
     national = employment.national_rate(series.read_national_rates(spark, inputs.path("national")))
     local = employment.local_rates(
-        delimited.read_unemployment(spark, inputs.path("unemployment")), metro, non_metro
+        delimited.read_unemployment(spark, inputs.path("unemployment")), metro, non_metro, inputs.stored
     )
     return employment.qualifying_counties(
         employment.employment_facts(raw, metro, non_metro), national, local,
         layers.state_names(table), layers.county_names(table), layers.layer(table, "county"),
+        store=inputs.stored,
     )
 
 

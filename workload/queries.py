@@ -29,6 +29,11 @@ def _long(c) -> F.Column:
     return c.cast("bigint")
 
 
+def _store(df, name):
+    """A table that a query uses several times is written once and read back."""
+    return sinks.write_table(df, sinks.scratch_folder(df.sparkSession, name))
+
+
 # --- cleaning ----------------------------------------------------------------------------------
 
 
@@ -226,7 +231,7 @@ def _facts(spark, d, codes=K.FOSSIL_CODES):
 
 @query
 def code_share_flag(spark, d):
-    return employment.fossil_share_by_county(_facts(spark, d)).select(
+    return employment.fossil_share_by_county(_facts(spark, d), store=_store).select(
         "msa_code", "county_id_fips", "year", "area_title", "geoid",
         _long(F.col("total_employees")).alias("total_employees"),
         _long(F.col("fossil_employees")).alias("fossil_employees"),
@@ -252,7 +257,7 @@ def scenario_shares(spark, d):
 
 
 def _local(spark, d):
-    return employment.local_rates(T.unemployment_raw(spark, d), *_crosswalks(spark, d))
+    return employment.local_rates(T.unemployment_raw(spark, d), *_crosswalks(spark, d), _store)
 
 
 @query
@@ -278,8 +283,8 @@ def employment_rule(spark, d):
     return employment.qualifying_counties(
         employment.employment_facts(T.facts_raw(spark, d), metro, non_metro),
         employment.national_rate(T.national_raw(spark, d)),
-        employment.local_rates(T.unemployment_raw(spark, d), metro, non_metro),
-        T.states(spark, d), T.counties(spark, d),
+        employment.local_rates(T.unemployment_raw(spark, d), metro, non_metro, _store),
+        T.states(spark, d), T.counties(spark, d), store=_store,
     )
 
 
@@ -366,11 +371,6 @@ def _brownfield_sites(spark, d, level):
     return sites.clean_brownfields(T.brownfields_raw(spark, d), T.layer(spark, d, level), level, grid=grid)
 
 
-def _store(df, name):
-    """Located sites are used several times by a rule; they are written once and read back."""
-    return sinks.write_table(df, sinks.scratch_folder(df.sparkSession, name))
-
-
 @query
 def mines_located(spark, d):
     return _mines(spark, d, "tract").select("mine_id", "current_mine_name", "tract_id_fips", "tract_name", *_PLACE)
