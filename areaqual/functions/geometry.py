@@ -137,13 +137,16 @@ def _precise_determinant(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -
 def orientation(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> str:
     """Sign of the turn a, b, c: 1 left, -1 right, 0 on the line.
 
-    Plain doubles decide clear cases. Near the line the determinant is redone with the rounding
-    errors of every step carried along, so vertices stored on a slanted border are found there.
+    Plain doubles decide clear cases, and a difference of 0 is always exact, which settles shared
+    vertices and axis-parallel edges. Else, near the line, the determinant is redone with the
+    rounding errors of every step carried along, so that vertices stored on a slanted border are
+    found there.
     """
     left, right = f"({ax} - {cx}) * ({by} - {cy})", f"({ay} - {cy}) * ({bx} - {cx})"
     return (
         f"(CASE WHEN abs({left} - {right}) > {_UNCERTAIN} * (abs({left}) + abs({right}))"
         f" THEN sign({left} - {right})"
+        f" WHEN ({ax} = {cx} OR {by} = {cy}) AND ({ay} = {cy} OR {bx} = {cx}) THEN 0D"
         f" ELSE sign({_precise_determinant(ax, ay, bx, by, cx, cy)}) END)"
     )
 

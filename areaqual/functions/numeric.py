@@ -14,7 +14,8 @@ def nan_to_null(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """Parse text to double; anything that is not a number becomes null."""
     # The JVM parser also takes type suffixes such as ``1d`` or ``2.5f``.
-    return F.when(~F.trim(c).rlike(r"[0-9.][dDfF]$"), nan_to_null(c.try_cast("double")))
+    suffixed = F.lower(F.right(F.trim(c), F.lit(1))).isin("d", "f") & ~F.lower(F.trim(c)).endswith("inf")
+    return F.when(~suffixed, nan_to_null(c.try_cast("double")))
 
 
 def round_half_even(c: Column, digits: int) -> Column:

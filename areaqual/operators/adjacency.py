@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from areaqual.functions import geometry as geo
 from areaqual.operators.joins import hot_key_join
 from areaqual.operators.spatial import CELL, Grid, cell, fit_grid
+from areaqual.sources.sinks import Store, keep
 
 _CELLS_PER_EDGE = 1.0
 _SHORTEST_PIECE = "1e-9D"
@@ -37,14 +38,19 @@ def representatives(areas: DataFrame, area_id: str, geometry: str = "geometry")
     return keyed.join(first, "digest").select("member", "shape")
 
 
-def adjacency(areas: DataFrame, area_id: str, geometry: str = "geometry", grid: Grid | None = None) -> DataFrame:
-    """Edge table ``(area_id, adjacent_<area_id>)`` of a layer, both directions of every pair."""
-    groups = representatives(areas, area_id, geometry)
+def adjacency(
+    areas: DataFrame, area_id: str, geometry: str = "geometry", grid: Grid | None = None, store: Store = keep
+) -> DataFrame:
+    """Edge table ``(area_id, adjacent_<area_id>)`` of a layer, both directions of every pair.
+
+    The distinct shapes are read in several steps; with ``store`` they are written once.
+    """
+    groups = store(representatives(areas, area_id, geometry), "shape-groups")
     only_shapes = groups.where("member = shape").select("shape")
     shapes = areas.select(F.col(area_id).alias("shape"), F.col(geometry).alias("geometry")).join(
         only_shapes, "shape", "left_semi"
     )
-    pairs = touching_shapes(shapes, grid)
+    pairs = touching_shapes(store(shapes, "shapes"), grid)
     return (
         pairs.join(groups.withColumnsRenamed({"shape": "id", "member": area_id}), "id")
         .join(groups.withColumnsRenamed({"shape": "other", "member": f"adjacent_{area_id}"}), "other")

@@ -43,10 +43,10 @@ class Grid:
 def fit_grid(shapes: DataFrame, extent: Column, cells_per_side: float) -> Grid:
     """Choose cell sizes from the extents of the shapes; two small aggregates, at most 25 rows.
 
-    The finest level fits the smallest tenth of the shapes, each level is four times coarser.
+    The finest level fits the smallest hundredth of the shapes, each level is four times coarser.
     """
     sized = shapes.select(extent.alias("extent")).where("extent > 0")
-    stats = sized.agg(F.percentile_approx("extent", 0.1).alias("low"), F.max("extent").alias("high")).first()
+    stats = sized.agg(F.percentile_approx("extent", 0.01).alias("low"), F.max("extent").alias("high")).first()
     if stats["low"] is None:
         return Grid((1.0,), (0,))
     base = stats["low"] / cells_per_side

@@ -46,7 +46,8 @@ def non_metro_crosswalk(raw: DataFrame, metro: DataFrame, order: Sequence[str] =
         }
     )
     rest = [c for c in df.columns if c not in {*KEY, *order}]
-    return dedupe.keep_first(joins.without_keys(df, metro, KEY), KEY, [*order, *rest])
+    # One row per county before the join: a county with very many rows is cut down before any shuffle.
+    return joins.without_keys(dedupe.keep_first(df, KEY, [*order, *rest]), metro, KEY)
 
 
 def county_areas(metro: DataFrame, non_metro: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +12,10 @@ from areaqual.functions import numeric, predicates, text
 from areaqual.operators import aggregates, columns, dedupe, quality
 from areaqual.plans import crosswalks
 from areaqual.plans.layers import add_area_info, add_geometry
+from areaqual.sources.sinks import Store, keep
 
 AREA_YEAR = ["msa_code", "year"]
 
-# Takes a reduced table that is used twice and its name; may write it and return the stored copy.
-Store = Callable[[DataFrame, str], DataFrame]
-
-
-def _keep(df: DataFrame, name: str) -> DataFrame:
-    return df
-
-
 COLUMNS = [
     "county_name", "county_id_fips", "state_id_fips", "state_abbr", "state_name", "geoid", "site_name",
     "qualifying_criteria", "qualifying_area",
@@ -75,30 +68,42 @@ def unmatched_counties(raw: DataFrame, metro: DataFrame, non_metro: DataFrame) -
 
 # --- fossil share ----------------------------------------------------------------------------
 
+COUNTY_TOTALS = ["msa_code", "county_id_fips", "area_title", "year"]
 
-def fossil_share_by_county(
-    facts: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES, store: Store = _keep
+
+def county_totals(
+    raw: DataFrame, metro: DataFrame, non_metro: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES
 ) -> DataFrame:
-    """One row per area, county and year with the share of its area and the flag.
+    """Employment per county, year and industry with the statistical area of the county.
 
-    The facts are reduced once to a row per county, year and industry; both the shares and the list
-    of counties come from that small table. With ``store`` it is written and the facts are read once.
+    The facts are summed before the crosswalk is joined, so the only shuffle of the fact table is
+    the one of its partial sums, and a county with very many rows arrives as a few.
     """
-    totals = store(
-        aggregates.industry_totals(facts, ["msa_code", "county_id_fips", "area_title", "year"]), "industry-totals"
-    )
+    totals = aggregates.industry_totals(clean_facts(raw, codes), ["county_id_fips", "year"])
+    areas = crosswalks.county_areas(metro, non_metro).withColumnRenamed("msa_name", "area_title")
+    return totals.join(areas, "county_id_fips")
+
+
+def shares_of_totals(totals: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES) -> DataFrame:
+    """One row per area, county and year with the share of its area and the flag."""
     shares = aggregates.code_shares(totals, AREA_YEAR, F.col("industry_code").isin(list(codes)))
     counties = totals.groupBy("msa_code", "county_id_fips", "year").agg(F.min("area_title").alias("area_title"))
     return counties.join(shares, AREA_YEAR, "left").withColumn("geoid", F.col("county_id_fips"))
 
 
-def fossil_share_by_scenario(facts: DataFrame, scenarios: Mapping[str, Sequence[str]]) -> DataFrame:
+def fossil_share_by_county(
+    facts: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES, store: Store = keep
+) -> DataFrame:
+    """:func:`shares_of_totals` from fact rows that already carry their area."""
+    return shares_of_totals(store(aggregates.industry_totals(facts, COUNTY_TOTALS), "industry-totals"), codes)
+
+
+def shares_by_scenario(totals: DataFrame, scenarios: Mapping[str, Sequence[str]]) -> DataFrame:
     """The share rule under several industry lists at once: ``scenario, msa_code, year, ...``.
 
-    Facts must have been cleaned with the union of the lists. They are summed before the few
-    resulting rows are repeated for the scenarios they matter to.
+    ``totals`` must hold the union of the lists. Only summed rows are repeated, and only for the
+    scenarios they matter to.
     """
-    totals = aggregates.industry_totals(facts, AREA_YEAR)
     relevant = F.array_compact(
         F.array(
             *[
@@ -116,6 +121,11 @@ def fossil_share_by_scenario(facts: DataFrame, scenarios: Mapping[str, Sequence[
     return aggregates.code_shares(expanded, ["scenario", *AREA_YEAR], F.col("is_part"))
 
 
+def fossil_share_by_scenario(facts: DataFrame, scenarios: Mapping[str, Sequence[str]]) -> DataFrame:
+    """:func:`shares_by_scenario` from fact rows that already carry their area."""
+    return shares_by_scenario(aggregates.industry_totals(facts, AREA_YEAR), scenarios)
+
+
 # --- unemployment ----------------------------------------------------------------------------
 
 
@@ -189,7 +199,7 @@ def county_unemployment(raw: DataFrame) -> DataFrame:
     )
 
 
-def local_rates(raw: DataFrame, metro: DataFrame, non_metro: DataFrame, store: Store = _keep) -> DataFrame:
+def local_rates(raw: DataFrame, metro: DataFrame, non_metro: DataFrame, store: Store = keep) -> DataFrame:
     """County rows with the unemployment rate of their statistical area and year.
 
     A county that is in two areas, or has two series in a year, stops the run. With ``store`` the
@@ -257,11 +267,13 @@ def employment_rule(
 
 
 def qualifying_counties(
-    facts: DataFrame, national: DataFrame, local: DataFrame, states: DataFrame, counties: DataFrame,
-    county_layer: DataFrame | None = None, codes: Sequence[str] = K.FOSSIL_CODES, store: Store = _keep,
+    totals: DataFrame, national: DataFrame, local: DataFrame, states: DataFrame, counties: DataFrame,
+    county_layer: DataFrame | None = None, codes: Sequence[str] = K.FOSSIL_CODES, store: Store = keep,
 ) -> DataFrame:
-    """The whole rule from cleaned facts and rates."""
-    return employment_rule(
-        fossil_share_by_county(facts, codes, store), unemployment_flags(national, local), states, counties, county_layer
-    )
+    """The whole rule from :func:`county_totals` and the two rates.
 
+    The totals give both the shares and the list of counties. With ``store`` they are written, so
+    the facts are read once.
+    """
+    shares = shares_of_totals(store(totals, "county-totals"), codes)
+    return employment_rule(shares, unemployment_flags(national, local), states, counties, county_layer)

@@ -27,6 +27,7 @@ from areaqual.operators import adjacency as adjacent
 from areaqual.operators import spatial
 from areaqual.plans import coal, crosswalks, employment, layers, report, sites
 from areaqual.sources import archives, areas, delimited, series, sinks
+from areaqual.sources.sinks import write_and_reuse as reuse
 
 log = logging.getLogger(__name__)
 
@@ -41,10 +42,6 @@ class Inputs:
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """An intermediate table that is used more than once, written to the shared folder."""
-        return sinks.write_table(df, sinks.scratch_folder(self.spark, name))
-
     def areas(self) -> DataFrame:
         return areas.read_areas(self.spark, self.path("areas"))
 
@@ -57,7 +54,7 @@ class Inputs:
             except AnalysisException:
                 log.info("No stored adjacency for %s, building it", level)
         layer = layers.layer(self.areas(), level)
-        built = adjacent.adjacency(layer, f"{level}_id_fips", "area_geometry")
+        built = adjacent.adjacency(layer, f"{level}_id_fips", "area_geometry", store=reuse)
         return sinks.write_table(built, stored)
 
 
@@ -66,12 +63,12 @@ def coal_areas(inputs: Inputs, level: str = "tract") -> DataFrame:
     table = inputs.areas()
     layer = layers.layer(table, level)
     grid = spatial.fit_area_grid(layer, "area_geometry")
-    mines = sites.clean_mines(delimited.read_mines(inputs.spark, inputs.path("mines")), layer, level, grid=grid)
+    mines = sites.clean_mines(delimited.read_mines(inputs.spark, inputs.path("mines")), layer, level, grid=grid, store=reuse)
     generators = sites.clean_generators(
-        delimited.read_generators(inputs.spark, inputs.path("generators")), layer, level, grid=grid
+        delimited.read_generators(inputs.spark, inputs.path("generators")), layer, level, grid=grid, store=reuse
     )
     # Each table serves the rule itself and the search for neighbours.
-    mines, generators = inputs.stored(mines, "mines"), inputs.stored(generators, "generators")
+    mines, generators = reuse(mines, "mines"), reuse(generators, "generators")
     return coal.coal_rule(
         mines, generators, inputs.adjacency(level), layer, layers.state_names(table), layers.county_names(table), level
     )
@@ -82,7 +79,7 @@ def brownfield_areas(inputs: Inputs, level: str = "tract") -> DataFrame:
     table = inputs.areas()
     layer = layers.layer(table, level)
     raw = delimited.read_brownfields(inputs.spark, inputs.path("brownfields"))
-    located = sites.clean_brownfields(raw, layer, level)
+    located = sites.clean_brownfields(raw, layer, level, store=reuse)
     return coal.brownfield_rule(located, layer, layers.state_names(table), layers.county_names(table), level)
 
 
@@ -96,12 +93,12 @@ def employment_areas(inputs: Inputs, years: Sequence[int] | None = None) -> Data
     raw = delimited.read_facts(spark, inputs.path("facts"), years)
     national = employment.national_rate(series.read_national_rates(spark, inputs.path("national")))
     local = employment.local_rates(
-        delimited.read_unemployment(spark, inputs.path("unemployment")), metro, non_metro, inputs.stored
+        delimited.read_unemployment(spark, inputs.path("unemployment")), metro, non_metro, reuse
     )
     return employment.qualifying_counties(
-        employment.employment_facts(raw, metro, non_metro), national, local,
+        employment.county_totals(raw, metro, non_metro), national, local,
         layers.state_names(table), layers.county_names(table), layers.layer(table, "county"),
-        store=inputs.stored,
+        store=reuse,
     )
 
 
@@ -116,7 +113,7 @@ def county_report(inputs: Inputs, result: DataFrame) -> DataFrame:
     table = inputs.areas()
     counties = layers.layer(table, "county")
     raw = delimited.read_brownfields(inputs.spark, inputs.path("brownfields"))
-    located = inputs.stored(sites.clean_brownfields(raw, counties, "county"), "brownfields")
+    located = reuse(sites.clean_brownfields(raw, counties, "county", store=reuse), "brownfields")
     acreage = report.brownfield_acreage(located)
     return report.county_report(result, acreage, layers.layer(table, "tract"), counties)
 
@@ -171,7 +168,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         inputs.adjacency(args.coal_area, refresh=True)
     if args.rule == "report":
         # The report reads the result several times, so it works on a stored copy without polygons.
-        stored = inputs.stored(all_areas(inputs).drop("area_geometry", "site_geometry"), "all-areas")
+        stored = reuse(all_areas(inputs).drop("area_geometry", "site_geometry"), "all-areas")
         county_report(inputs, stored).write.mode("overwrite").parquet(args.output)
         return
     if args.rule == "coal":

@@ -12,6 +12,7 @@ from areaqual.functions import geometry as geo
 from areaqual.functions import numeric, predicates, text
 from areaqual.operators import columns, dedupe
 from areaqual.operators.spatial import Grid, intersect_join
+from areaqual.sources.sinks import Store, keep
 
 
 def _known_places(df: DataFrame) -> DataFrame:
@@ -24,9 +25,14 @@ def _known_places(df: DataFrame) -> DataFrame:
 
 def locate_sites(
     df: DataFrame, layer: DataFrame, level: str, qualifying_area: str, criteria: str,
-    grid: Grid | None = None, cells: DataFrame | None = None,
+    grid: Grid | None = None, cells: DataFrame | None = None, store: Store = keep,
 ) -> DataFrame:
-    """Add the areas each site intersects, its point and its labels."""
+    """Add the areas each site intersects, its point and its labels.
+
+    The cleaned sites are used for measuring hot cells, for the cell join and for the join back. With
+    ``store`` they are written first, so the raw table is read and cleaned once.
+    """
+    df = store(df, f"{criteria}-sites")
     located = intersect_join(
         df, layer, f"{level}_id_fips", keep=[f"{level}_name"], geometry="area_geometry", grid=grid, cells=cells
     )

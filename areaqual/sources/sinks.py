@@ -4,9 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Takes a table that is used several times and its name; may write it and return the stored copy.
+Store = Callable[[DataFrame, str], DataFrame]
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Store nothing: every use computes the table again."""
+    return df
+
+
+def write_and_reuse(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and go on from the stored copy."""
+    return write_table(df, scratch_folder(df.sparkSession, name))
+
 
 def write_result(df: DataFrame, path: str) -> None:
     """Qualifying areas as Parquet, one directory per rule."""

@@ -14,6 +14,7 @@ from areaqual.operators import adjacency as adj
 from areaqual.operators import aggregates, columns, dedupe, joins, quality, spatial
 from areaqual.plans import coal, crosswalks, employment, layers, report, sites
 from areaqual.sources import archives, areas, delimited, series, sinks
+from areaqual.sources.sinks import write_and_reuse as _store
 from workload import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,11 +30,6 @@ def _long(c) -> F.Column:
     return c.cast("bigint")
 
 
-def _store(df, name):
-    """A table that a query uses several times is written once and read back."""
-    return sinks.write_table(df, sinks.scratch_folder(df.sparkSession, name))
-
-
 # --- cleaning ----------------------------------------------------------------------------------
 
 
@@ -225,13 +221,13 @@ def unemployment_area_table(spark, d):
     return employment.local_area_table(raw)
 
 
-def _facts(spark, d, codes=K.FOSSIL_CODES):
-    return employment.employment_facts(T.facts_raw(spark, d), *_crosswalks(spark, d), codes)
+def _totals(spark, d, codes=K.FOSSIL_CODES):
+    return employment.county_totals(T.facts_raw(spark, d), *_crosswalks(spark, d), codes)
 
 
 @query
 def code_share_flag(spark, d):
-    return employment.fossil_share_by_county(_facts(spark, d), store=_store).select(
+    return employment.shares_of_totals(_store(_totals(spark, d), "county-totals")).select(
         "msa_code", "county_id_fips", "year", "area_title", "geoid",
         _long(F.col("total_employees")).alias("total_employees"),
         _long(F.col("fossil_employees")).alias("fossil_employees"),
@@ -248,7 +244,7 @@ def scenario_shares(spark, d):
         "current_and_power": [*K.FOSSIL_CODES, "22112"],
     }
     every = sorted({c for codes in scenarios.values() for c in codes})
-    df = employment.fossil_share_by_scenario(_facts(spark, d, every), scenarios)
+    df = employment.shares_by_scenario(_totals(spark, d, every), scenarios)
     return df.select(
         "scenario", "msa_code", "year", _long(F.col("total_employees")).alias("total_employees"),
         _long(F.col("fossil_employees")).alias("fossil_employees"), "percent_fossil_employment",
@@ -281,7 +277,7 @@ def national_prior_year(spark, d):
 def employment_rule(spark, d):
     metro, non_metro = _crosswalks(spark, d)
     return employment.qualifying_counties(
-        employment.employment_facts(T.facts_raw(spark, d), metro, non_metro),
+        employment.county_totals(T.facts_raw(spark, d), metro, non_metro),
         employment.national_rate(T.national_raw(spark, d)),
         employment.local_rates(T.unemployment_raw(spark, d), metro, non_metro, _store),
         T.states(spark, d), T.counties(spark, d), store=_store,
@@ -357,18 +353,21 @@ _PLACE = ["latitude", "longitude", "qualifying_criteria", "qualifying_area"]
 
 
 
+def _located(clean, raw, spark, d, level):
+    grid = T.layer_grid(spark, d, level)
+    return clean(raw(spark, d), T.layer(spark, d, level), level, grid=grid, store=_store)
+
+
 def _mines(spark, d, level):
-    return sites.clean_mines(T.mines_raw(spark, d), T.layer(spark, d, level), level, grid=T.layer_grid(spark, d, level))
+    return _located(sites.clean_mines, T.mines_raw, spark, d, level)
 
 
 def _generators(spark, d, level):
-    grid = T.layer_grid(spark, d, level)
-    return sites.clean_generators(T.generators_raw(spark, d), T.layer(spark, d, level), level, grid=grid)
+    return _located(sites.clean_generators, T.generators_raw, spark, d, level)
 
 
 def _brownfield_sites(spark, d, level):
-    grid = T.layer_grid(spark, d, level)
-    return sites.clean_brownfields(T.brownfields_raw(spark, d), T.layer(spark, d, level), level, grid=grid)
+    return _located(sites.clean_brownfields, T.brownfields_raw, spark, d, level)
 
 
 @query
