@@ -246,3 +246,12 @@ def test_observed_counts(spark):
     df.count()
     df.write.format("noop").mode("overwrite").save()
     assert seen.get == {"odd": 5, "unknown": 0}
+
+
+def test_summing_before_the_crosswalk_gives_the_same_shares(raw_facts, metro, non_metro, shares):
+    totals = employment.county_totals(raw_facts, metro, non_metro)
+    again = employment.shares_of_totals(totals).select(*shares.columns)
+    assert again.exceptAll(shares).count() == 0 and shares.exceptAll(again).count() == 0
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    # The aggregate lies below the join, so the fact rows are never shuffled one by one.
+    assert plan.index("Join") < plan.index("partial_sum")
