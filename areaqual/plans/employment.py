@@ -91,6 +91,12 @@ def shares_of_totals(totals: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES) -
     return counties.join(shares, AREA_YEAR, "left").withColumn("geoid", F.col("county_id_fips"))
 
 
+def areas_without_total(shares: DataFrame) -> DataFrame:
+    """Areas and years with fossil employment but no total row; worth a warning."""
+    missing = F.col("total_employees").isNull() & (F.col("fossil_employees") > 0)
+    return shares.where(missing).select(*AREA_YEAR).distinct()
+
+
 def fossil_share_by_county(
     facts: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES, store: Store = keep
 ) -> DataFrame:
@@ -240,6 +246,11 @@ def unemployment_flags(national: DataFrame, local: DataFrame) -> DataFrame:
     )
 
 
+def areas_without_county(flags: DataFrame) -> DataFrame:
+    """Statistical areas of the rates that have no county id; worth a warning."""
+    return flags.where(F.col("geoid").isNull()).select("msa_code").distinct()
+
+
 # --- both conditions -------------------------------------------------------------------------
 
 

@@ -63,9 +63,11 @@ def coal_areas(inputs: Inputs, level: str = "tract") -> DataFrame:
     table = inputs.areas()
     layer = layers.layer(table, level)
     grid = spatial.fit_area_grid(layer, "area_geometry")
-    mines = sites.clean_mines(delimited.read_mines(inputs.spark, inputs.path("mines")), layer, level, grid=grid, store=reuse)
+    cells = reuse(spatial.area_cells(layer, grid, f"{level}_id_fips", "area_geometry"), f"{level}-cells")
+    index = {"grid": grid, "cells": cells, "store": reuse}
+    mines = sites.clean_mines(delimited.read_mines(inputs.spark, inputs.path("mines")), layer, level, **index)
     generators = sites.clean_generators(
-        delimited.read_generators(inputs.spark, inputs.path("generators")), layer, level, grid=grid, store=reuse
+        delimited.read_generators(inputs.spark, inputs.path("generators")), layer, level, **index
     )
     # Each table serves the rule itself and the search for neighbours.
     mines, generators = reuse(mines, "mines"), reuse(generators, "generators")
@@ -129,6 +131,10 @@ def log_warnings(inputs: Inputs, limit: int = 10) -> None:
     unmatched = employment.unmatched_counties(facts, metro, non_metro).count()
     if unmatched > limit:
         log.warning("%d counties of the facts are in no crosswalk", unmatched)
+    shares = employment.shares_of_totals(employment.county_totals(facts, metro, non_metro))
+    without_total = [tuple(r) for r in employment.areas_without_total(shares).limit(limit).collect()]
+    if without_total:
+        log.warning("Areas with fossil employment but no total, for example %s", without_total)
     lau = delimited.read_unemployment(spark, inputs.path("unemployment"))
     missing = employment.counties_without_rates(lau, metro, non_metro).count()
     if missing:

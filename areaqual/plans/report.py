@@ -50,15 +50,17 @@ def county_report(
 ) -> DataFrame:
     """One row per county with any qualifying record; missing numbers are 0, names stay as they are."""
     criteria = F.col("qualifying_criteria")
-    base = (
+    # Names are keys of the first grouping: it stays a hash aggregate and leaves a row or two per county.
+    per_name = (
         qualifying.where(F.col("county_id_fips").isNotNull())
-        .groupBy("county_id_fips")
-        .agg(
-            F.min("county_name").alias("county_name"),
-            F.min("state_name").alias("state_name"),
-            F.count_if(criteria == K.BROWNFIELD).alias("num_brownfields"),
-            F.bool_or(criteria == K.EMPLOYMENT).alias("qualifies_by_employment_criteria"),
-        )
+        .groupBy("county_id_fips", "county_name", "state_name")
+        .agg(F.count_if(criteria == K.BROWNFIELD).alias("n"), F.bool_or(criteria == K.EMPLOYMENT).alias("by_employment"))
+    )
+    base = per_name.groupBy("county_id_fips").agg(
+        F.min("county_name").alias("county_name"),
+        F.min("state_name").alias("state_name"),
+        F.sum("n").alias("num_brownfields"),
+        F.bool_or("by_employment").alias("qualifies_by_employment_criteria"),
     )
     report = base.join(acreage, "county_id_fips", "left").join(
         coal_area_share(qualifying, tracts, counties), "county_id_fips", "left"

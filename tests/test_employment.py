@@ -151,6 +151,8 @@ def test_share_edge_cases(spark):
     flags = {k: r.meets_fossil_employment_threshold for k, r in got.items()}
     assert flags == {"only_total": 0, "only_part": 0, "zero_total": 1, "private_total": None, None: None}
     assert got["only_part"].total_employees is None and got["only_total"].fossil_employees == 0
+    assert [tuple(r) for r in employment.areas_without_total(employment.fossil_share_by_county(df)).collect()] == [
+        ("only_part", 2020)]
     assert got["only_total"].naics_code is None and got["only_part"].naics_code == ["211"]
 
 

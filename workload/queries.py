@@ -354,8 +354,8 @@ _PLACE = ["latitude", "longitude", "qualifying_criteria", "qualifying_area"]
 
 
 def _located(clean, raw, spark, d, level):
-    grid = T.layer_grid(spark, d, level)
-    return clean(raw(spark, d), T.layer(spark, d, level), level, grid=grid, store=_store)
+    index = {"grid": T.layer_grid(spark, d, level), "cells": T.layer_cells(spark, d, level), "store": _store}
+    return clean(raw(spark, d), T.layer(spark, d, level), level, **index)
 
 
 def _mines(spark, d, level):

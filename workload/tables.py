@@ -257,3 +257,14 @@ def layer_grid(spark: SparkSession, sf_dir: str, level: str) -> spatial.Grid:
     return once(
         spark, sf_dir, f"grid {level}", lambda: spatial.fit_area_grid(layer(spark, sf_dir, level), "area_geometry")
     )
+
+
+def layer_cells(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
+    """The stored cell index of a layer."""
+
+    def build() -> DataFrame:
+        grid = layer_grid(spark, sf_dir, level)
+        cells = spatial.area_cells(layer(spark, sf_dir, level), grid, f"{level}_id_fips", "area_geometry")
+        return sinks.write_and_reuse(cells, f"cells-{level}")
+
+    return once(spark, sf_dir, f"cells {level}", build)
