@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from areaqual.functions import text
+
 
 def nan_to_null(c: Column) -> Column:
     """Spark orders NaN above every number, so a threshold would accept it."""
@@ -12,10 +14,13 @@ def nan_to_null(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Parse text to double; anything that is not a number becomes null."""
-    # The JVM parser also takes type suffixes such as ``1d`` or ``2.5f``.
-    suffixed = F.lower(F.right(F.trim(c), F.lit(1))).isin("d", "f") & ~F.lower(F.trim(c)).endswith("inf")
-    return F.when(~suffixed, nan_to_null(c.try_cast("double")))
+    """Parse text to double; anything that is not a finite number becomes null.
+
+    Only text that ends like a number is parsed at all: the JVM parser also takes suffixes such as
+    ``1d`` and words such as ``NaN``, and a failing parse is slow.
+    """
+    last = F.right(text.strip(c), F.lit(1))
+    return F.when(last.between("0", "9") | (last == "."), c.try_cast("double"))
 
 
 def round_half_even(c: Column, digits: int) -> Column:

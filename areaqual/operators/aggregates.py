@@ -14,11 +14,8 @@ from areaqual.functions import numeric
 
 def annual_mean(df: DataFrame, keys: Sequence[str], value: str, name: str, digits: int = 1) -> DataFrame:
     """Mean per key rounded half-even; rows without a key or value do not count."""
-    return (
-        df.dropna(subset=[*keys, value])
-        .groupBy(*keys)
-        .agg(numeric.round_half_even(F.avg(value), digits).alias(name))
-    )
+    means = df.dropna(subset=list(keys)).groupBy(*keys).agg(numeric.round_half_even(F.avg(value), digits).alias(name))
+    return means.dropna(subset=[name])
 
 
 def conditional_annual_means(
@@ -29,7 +26,7 @@ def conditional_annual_means(
         numeric.round_half_even(F.avg(F.when(condition, F.col(value))), digits).alias(name)
         for name, condition in parts.items()
     ]
-    return df.dropna(subset=[*keys, value]).groupBy(*keys).agg(*means)
+    return df.groupBy(*keys).agg(*means)
 
 
 def industry_totals(facts: DataFrame, keys: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:

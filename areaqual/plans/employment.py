@@ -176,23 +176,21 @@ def county_unemployment(raw: DataFrame) -> DataFrame:
     df = columns.normalise_headers(raw, underscore=False)
     series = text.strip(F.col("series_id"))
     measure = F.right(series, F.lit(2))
-    df = columns.cast_columns(df, {"year": "int"}).select(
-        F.substring(series, 6, 5).alias("county_id_fips"),
+    df = columns.cast_columns(df, {"year": "int"}).where(
+        F.col("year").isNotNull()
+        & predicates.monthly_period(F.col("period"))
+        & (F.substring(series, 4, 2) == K.COUNTY_AREA_TYPE)
+        & measure.isin(K.MEASURE_UNEMPLOYED, K.MEASURE_LABOR_FORCE)
+    )
+    df = df.select(
         "year",
         series.substr(F.lit(1), F.length(series) - 2).alias("prefix"),
         measure.alias("measure"),
         numeric.to_number(F.col("value").cast("string")).alias("value"),
-        "period",
-        F.substring(series, 4, 2).alias("area_type"),
-    )
-    df = df.where(
-        predicates.monthly_period(F.col("period"))
-        & (F.col("area_type") == K.COUNTY_AREA_TYPE)
-        & F.col("measure").isin(K.MEASURE_UNEMPLOYED, K.MEASURE_LABOR_FORCE)
     )
     means = aggregates.conditional_annual_means(
         df,
-        ["prefix", "county_id_fips", "year"],
+        ["prefix", "year"],
         "value",
         {
             "total_unemployment": F.col("measure") == K.MEASURE_UNEMPLOYED,
@@ -201,7 +199,8 @@ def county_unemployment(raw: DataFrame) -> DataFrame:
     )
     return means.dropna(subset=["total_unemployment"]).select(
         F.concat("prefix", F.lit(K.MEASURE_UNEMPLOYED)).alias("series_id"),
-        "county_id_fips", "year", "total_unemployment", "total_labor_force",
+        F.substring("prefix", 6, 5).alias("county_id_fips"),
+        "year", "total_unemployment", "total_labor_force",
     )
 
 
