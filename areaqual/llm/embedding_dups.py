@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from areaqual.llm.common import only, ship, stored
 from areaqual.llm.components import connected_components
@@ -29,7 +30,7 @@ class Settings:
     least: float = 0.98  # cosine of a link
     cluster_rows: int = 1024  # wanted size of a cluster
     max_centres: int = 4096  # of all labels; they are a bounded sample and reach the driver
-    overlap: float = 0.1  # a vector joins its two nearest clusters and all that are so much less similar
+    overlap: float = 0.2  # a vector joins its two nearest clusters and all that are so much less similar
     shard_rows: int = 2048  # of a cluster that is larger, in each shard and block of queries
     degree: int = 24
     build_width: int = 40
@@ -43,10 +44,13 @@ class Settings:
 # --- the graph of one shard ---------------------------------------------------------------------
 
 
-def greedy(x: np.ndarray, near: list[list[int]], starts: list[int], query: np.ndarray, width: int):
-    """The ``width`` best found from the starts on, as (similarity, node), and what was seen."""
+def greedy(
+    x: np.ndarray, near: list[list[int]], starts: list[int], query: np.ndarray, width: int, least: float = 2.0
+) -> tuple[list[tuple[float, int]], list[tuple[float, int]], set[int]]:
+    """The ``width`` best found from the starts on, as (similarity, node), all of ``least`` or more, and what was seen."""
     seen = set(starts)
     best = [(s, k) for k, s in zip(starts, (x[starts] @ query).tolist(), strict=True)]
+    close = [(s, k) for s, k in best if s >= least]
     todo = [(-s, k) for s, k in best]
     heapq.heapify(todo)
     heapq.heapify(best)
@@ -58,13 +62,15 @@ def greedy(x: np.ndarray, near: list[list[int]], starts: list[int], query: np.nd
         if fresh:
             seen.update(fresh)
             for k, s in zip(fresh, (x[fresh] @ query).tolist(), strict=True):
+                if s >= least:
+                    close.append((s, k))
                 if len(best) < width:
                     heapq.heappush(best, (s, k))
                     heapq.heappush(todo, (-s, k))
                 elif s > best[0][0]:
                     heapq.heapreplace(best, (s, k))
                     heapq.heappush(todo, (-s, k))
-    return best, seen
+    return best, close, seen
 
 
 def robust_prune(x: np.ndarray, at: int, others: list[int], degree: int, alpha: float) -> list[int]:
@@ -98,7 +104,7 @@ def build(x: np.ndarray, s: Settings) -> tuple[list[list[int]], int]:
     for at in range(len(x)):
         if at == medoid:
             continue
-        best, _ = greedy(x, near, [medoid], x[at], s.build_width)
+        best, _, _ = greedy(x, near, [medoid], x[at], s.build_width)
         near[at] = robust_prune(x, at, [k for _, k in best], s.degree, s.alpha)
         for k in near[at]:
             near[k].append(at)
@@ -109,17 +115,15 @@ def build(x: np.ndarray, s: Settings) -> tuple[list[list[int]], int]:
 
 def in_range(x: np.ndarray, near: list[list[int]], starts: list[int], query: np.ndarray, s: Settings) -> list[int]:
     """Greedy search, then on through the neighbours of everything in range."""
-    best, seen = greedy(x, near, starts, query, s.search_width)
-    hits = [k for v, k in best if v >= s.least]
-    todo = [k for v, k in best if v >= s.least - s.slack]
-    while todo:
-        fresh = list({k for at in todo for k in near[at]} - seen)
+    _, close, seen = greedy(x, near, starts, query, s.search_width, s.least - s.slack)
+    hits: list[int] = []
+    while close:
+        hits += [k for v, k in close if v >= s.least]
+        fresh = list({n for _, k in close for n in near[k]} - seen)
         if not fresh:
             break
         seen.update(fresh)
-        close = list(zip(fresh, (x[fresh] @ query).tolist(), strict=True))
-        todo = [k for k, v in close if v >= s.least - s.slack]
-        hits += [k for k, v in close if v >= s.least]
+        close = [(v, k) for k, v in zip(fresh, (x[fresh] @ query).tolist(), strict=True) if v >= s.least - s.slack]
     return hits
 
 
@@ -175,12 +179,19 @@ def _classes(vectors: DataFrame) -> DataFrame:
     square = F.aggregate(x, F.lit(0.0), lambda t, c: t + c.cast("double") * c.cast("double"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & is_finite(x) & (square > 0))
     held = rows.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    largest = F.array_max(F.transform(x, lambda c: F.abs(c.cast("double"))))
-    scaled = F.transform(x, lambda c: c.cast("double") / largest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda t, c: t + c * c))
-    unit = F.transform(scaled, lambda c: c / norm)
     group = F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string"))
-    return held.select("label", "embedding", group.alias("group"), "node", "copies", unit.alias("unit"))
+    held = held.select("label", "embedding", group.alias("group"), "node", "copies")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(unit=[unit_vector(np.asarray(v, np.float64)) for v in batch["embedding"]])
+
+    return held.mapInPandas(run, T.StructType([*held.schema.fields, T.StructField("unit", T.ArrayType(T.DoubleType()))]))
+
+
+def unit_vector(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max()  # so that no square is lost
+    return x / np.sqrt(x @ x)
 
 
 def _centres(classes: DataFrame, s: Settings) -> dict[str, np.ndarray]:
