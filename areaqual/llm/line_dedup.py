@@ -105,6 +105,7 @@ def _later_copies(ranks: DataFrame, windows: DataFrame, names: list[str]) -> Dat
     both = stored(both.filter("r_a is not null and r_b is not null"), "intervals")
     first = both.groupBy("n", "r_a", "r_b").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"))
     later = both.join(first.filter("copies > 1"), ["n", "r_a", "r_b"]).filter(~F.struct(*PLACE).eqNullSafe(F.col("first")))
+    later = stored(later, "later")  # alone in its stage, the join of a hot interval can be split
     lines = F.explode(F.sequence(F.col("idx"), (F.col("idx") + F.col("n") - 1).cast("int"))).alias("idx")
     covered = _joined(later.select("doc_id", "h", lines).distinct(), ranks.select(*PLACE, "at", "words"))
     by_doc = Window.partitionBy("doc_id", "h").orderBy("idx")
