@@ -89,47 +89,67 @@ def area_rates(df: DataFrame, keys: Sequence[str], part: str, whole: str, name:
     )
 
 
-def exact_median(df: DataFrame, column: str, max_values: int = 100_000, buckets: int = 4096) -> DataFrame:
-    """One-row frame with the exact median, without bringing all values together.
+def exact_median(df: DataFrame, column: str, buckets: int = 4096) -> DataFrame:
+    """One-row frame with the exact median, without bringing values together.
 
-    While more than ``max_values`` values are in view, they are counted in buckets of equal width on
-    a logarithmic scale (a histogram of at most ``buckets`` rows) and only the bucket that holds the
-    middle stays in view. A value that repeats ends the search when it is alone. What remains is
-    ranked exactly, with equal values as one counted row.
+    The two middle ranks are searched one after the other. Each round counts the values still in view in ``buckets``
+    buckets and goes on with the range of the one that holds the rank, until that is a single value. Buckets are of
+    equal width on a logarithmic scale first, then, within a factor of two, on the values themselves; so about six
+    rounds reach the width of a double, whatever the values and their number.
     """
-    scaled = F.signum("v") * F.log1p(F.abs("v"))
     known = df.where(F.col(column).isNotNull() & ~F.isnan(column)).select(F.col(column).cast("double").alias("v"))
     size = known.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not size["n"]:
+        return df.sparkSession.createDataFrame([(None,)], "median double")
     first, second = (size["n"] + 1) // 2, (size["n"] + 2) // 2
-    view, left, below, lo, hi = known, size["n"], 0, size["lo"], size["hi"]
-    while left > max_values and lo < hi:
-        start, end = (math.copysign(math.log1p(abs(x)), x) for x in (lo, hi))
-        bucket = F.floor((scaled - start) / max((end - start) / buckets, 1e-300))
+    low, upto = _value_at(known, first, size["lo"], size["hi"], buckets)
+    high = low
+    if second > upto:  # the next larger value
+        high = known.where(F.col("v") > low).agg(F.min("v")).first()[0]
+    return df.sparkSession.createDataFrame([(low / 2 + high / 2 if abs(low) > 1e300 else (low + high) / 2,)], "median double")
+
+
+def _value_at(known: DataFrame, rank: int, lo: float, hi: float, buckets: int) -> tuple[float, int]:
+    """The value at a rank and the number of values up to it."""
+    below, n = 0, known.count() if lo == hi else 0
+    while lo < hi:
         histogram = (
-            view.groupBy(bucket.alias("b"))
+            known.where(F.col("v").between(lo, hi))
+            .groupBy(_bucket(lo, hi, buckets).alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
             .orderBy("b")
             .collect()
         )
-        upto, chosen = below, []
         for h in histogram:
-            if upto < second and upto + h["n"] >= first:
-                chosen.append((upto, h))
-            upto += h["n"]
-        below, left = chosen[0][0], sum(h["n"] for _, h in chosen)
-        if (lo, hi) == (chosen[0][1]["lo"], chosen[-1][1]["hi"]):
-            break
-        lo, hi = chosen[0][1]["lo"], chosen[-1][1]["hi"]
-        view = known.where(F.col("v").between(lo, hi))
-    counted = view.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.select("v", "n", (F.lit(below) + F.expr("sum(n) OVER (ORDER BY v)")).alias("upto"))
-    middle = ranked.where((F.col("upto") >= first) & (F.col("upto") - F.col("n") < second))
-    return middle.agg(((F.min("v") + F.max("v")) / 2.0).alias("median"))
+            if below + h["n"] >= rank:
+                lo, hi, n = h["lo"], h["hi"], h["n"]
+                break
+            below += h["n"]
+    return lo, below + n
+
+
+def _bucket(lo: float, hi: float, buckets: int) -> Column:
+    """The bucket of ``v``: rising, and not the same for the smallest and the largest value."""
+
+    def scale(x: float) -> float:
+        return math.copysign(math.log(abs(x)) + 750, x) if x else 0.0
+
+    near = lo * hi > 0 and max(abs(lo), abs(hi)) <= 2 * min(abs(lo), abs(hi))
+    start, end = (lo, hi) if near else (scale(lo), scale(hi))
+    of = F.col("v") if near else F.when(F.col("v") == 0, 0.0).otherwise(F.signum("v") * (F.ln(F.abs("v")) + 750))
+    width = (end - start) / buckets
+    if not 0 < width < math.inf or start + width == start:
+        return F.when(F.col("v") > lo / 2 + hi / 2, 1).when(F.col("v") == hi, 1).otherwise(0).cast("long")
+    inner = F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor((of - start) / width)))
+    return F.when(F.col("v") == lo, 0).when(F.col("v") == hi, buckets - 1).otherwise(inner).cast("long")
 
 
 def exact_sum(c: Column) -> Column:
-    """Sum of short decimals that does not depend on the order of the rows, as a double."""
-    return F.sum(c.cast("decimal(28,10)")).cast("double")
+    """Sum as a double. Values of at most ten decimals and 18 digits before them are added as decimals, so that the order
+    of the rows does not matter; if one has more, all are added as doubles, so that no digit is cut."""
+    short = c.try_cast("decimal(28,10)")
+    whole = F.bool_and(c.isNull() | F.coalesce(short.cast("double") == c, F.lit(False)))
+    return F.when(whole, F.try_sum(short).cast("double")).otherwise(F.sum(c))
 
 
 def acreage_three_ways(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Site cleaning, coal and brownfield rules, features and reports."""
 
 import datetime
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,7 +180,7 @@ def test_acreage(spark):
 def test_exact_median(spark, values):
     import statistics
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
-    assert aggregates.exact_median(df, "v", max_values=10, buckets=8).first()[0] == statistics.median(values)
+    assert aggregates.exact_median(df, "v", buckets=8).first()[0] == statistics.median(values)
 
 
 def test_median_of_nothing(spark):
@@ -219,3 +220,19 @@ def test_deduplication_limits_rows_before_the_shuffle(spark):
     partial = [line for line in plan.splitlines() if "WindowGroupLimit" in line and "Partial" in line]
     assert partial and {r.v for r in kept.collect()} == set(range(993, 1000))
     assert [(r.k, r.n_rows) for r in dedupe.duplicate_keys(df.limit(8), ["k"]).collect()] == [(0, 2)]
+
+
+def test_median_of_two_far_clusters_ends_soon(spark):
+    values = [x / 1e7 for x in range(1000)] + [1e9 + x / 1000 for x in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    spark.sparkContext.setJobGroup("median", "median")
+    assert aggregates.exact_median(df, "v").first()[0] == statistics.median(values)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("median")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 60
+
+
+@pytest.mark.parametrize("values", [[1e-11] * 1000, [1e18, 1.0, -1e18], [0.1] * 10, [1e300, 1e300]])
+def test_sum_keeps_every_digit(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    assert df.agg(aggregates.exact_sum(F.col("v"))).first()[0] == pytest.approx(sum(values), rel=1e-12)
