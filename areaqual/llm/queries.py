@@ -83,4 +83,33 @@ QUERIES = {
         op7_toxicity, op8_extendible_shards, op9_licence_scan, op10_sentencepiece, pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+
+ORACLES: dict[str, str] = {
+    "op4_exact_top_k": """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 20""",
+    "op8_extendible_shards": f"""
+WITH r AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
+    CAST('0x' || substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', coalesce(text, ''))), 1, 15) AS BIGINT) AS h
+  FROM documents
+), s AS (
+  SELECT depth, h >> (60 - depth) AS prefix, sum(bytes) AS shard_bytes, count(*) AS shard_docs
+  FROM r, (SELECT unnest(range(61)) AS depth) GROUP BY ALL
+), f AS (
+  SELECT r.doc_id, s.*, r.bytes, row_number() OVER (PARTITION BY r.doc_id, r.h ORDER BY s.depth) AS k
+  FROM s JOIN r ON s.prefix = r.h >> (60 - s.depth) WHERE s.shard_bytes <= {SHARD_BYTES}
+)
+SELECT doc_id, CAST(depth AS INTEGER) AS depth, CAST(prefix AS BIGINT) AS prefix, CAST(0 AS BIGINT) AS part,
+  CAST(bytes AS BIGINT) AS bytes, CAST(shard_bytes AS BIGINT) AS shard_bytes, CAST(shard_docs AS BIGINT) AS shard_docs
+FROM f WHERE k = 1""",
+}
