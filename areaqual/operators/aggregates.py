@@ -145,9 +145,9 @@ def _bucket(lo: float, hi: float, buckets: int) -> Column:
 
 
 def exact_sum(c: Column) -> Column:
-    """Sum as a double. Values of at most ten decimals and 18 digits before them are added as decimals, so that the order
+    """Sum as a double. Values of at most ten decimals and 26 digits before them are added as decimals, so that the order
     of the rows does not matter; if one has more, all are added as doubles, so that no digit is cut."""
-    short = c.try_cast("decimal(28,10)")
+    short = c.try_cast("decimal(36,10)")
     whole = F.bool_and(c.isNull() | F.coalesce(short.cast("double") == c, F.lit(False)))
     return F.when(whole, F.try_sum(short).cast("double")).otherwise(F.sum(c))
 
