@@ -37,13 +37,13 @@ class Vocabulary:
     byte_ids: list[int]  # of the 256 bytes
     idle: set[int]  # control and unknown pieces: never a result
     ids: dict[str, int] = field(init=False)
-    starts: set[str] = field(init=False)
+    tree: dict[str, list] = field(init=False, default_factory=dict)  # character -> id or -1, and the tree behind it
     longest: int = field(init=False)
     parts: re.Pattern = field(init=False)
-    follows: dict[tuple[str, str], bool] = field(init=False, default_factory=dict)
+    follows: dict[int, bool] = field(init=False, default_factory=dict)  # by both ids in one number
     trees: dict[str, tuple[str, str] | None] = field(init=False, default_factory=dict)
     edges: dict[tuple[str, int], list | None] = field(init=False, default_factory=dict)
-    known: dict[str, bytes] = field(init=False, default_factory=dict)
+    known: Known = field(init=False)
     decoded: list[bytes] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -51,8 +51,14 @@ class Vocabulary:
         self.ids = {p: k for k, p in enumerate(self.pieces) if k not in skip}
         self.longest = max(map(len, self.ids), default=1)
         self.ids = {p: k for p, k in self.ids.items() if is_whole(p, self)}  # the others are never made
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p))}
+        for p, k in self.ids.items():
+            here = self.tree
+            for c in p:
+                node = here.setdefault(c, [-1, {}])
+                here = node[1]
+            node[0] = k
         self.parts = re.compile(_parts(self.ids))
+        self.known = Known(self)
         self.decoded = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for k in self.idle:
             self.decoded[k] = b""
@@ -124,61 +130,68 @@ def edge(piece: str, side: int, v: Vocabulary) -> list[tuple[str, float]] | None
     return v.edges[piece, side]
 
 
-def may_follow(a: str, b: str, v: Vocabulary, most: int = 300_000) -> bool:
+def may_follow(a: str, b: str, v: Vocabulary) -> bool:
     """Whether merging leaves the two apart: nothing at their border is merged before one of its parts is gone."""
     left, right = edge(a, 1, v), edge(b, 0, v)
     if left is None or right is None:
-        found = merged(a + b, v)[0] == [a, b]
-    else:
-        found, ids, scores = True, v.ids, v.scores
-        for x, x_until in left:
-            for y, y_until in right:
-                i = ids.get(x + y)
-                if i is not None and scores[i] > x_until and scores[i] >= y_until:
-                    found = False
+        return merged(a + b, v)[0] == [a, b]
+    ids, scores = v.ids, v.scores
+    for x, x_until in left:
+        for y, y_until in right:
+            i = ids.get(x + y)
+            if i is not None and scores[i] > x_until and scores[i] >= y_until:
+                return False
+    return True
+
+
+def _ask(pair: int, v: Vocabulary, most: int = 300_000) -> bool:
+    """``may_follow`` for two ids in one number, remembered."""
+    a, b = divmod(pair, len(v.pieces))
     if len(v.follows) >= most:
         v.follows.clear()
-    v.follows[a, b] = found
+    v.follows[pair] = found = may_follow(v.pieces[a], v.pieces[b], v)
     return found
 
 
 def stream(text: str, v: Vocabulary) -> Iterator[list[int]]:
     """The ids of a text in which SPACE stands for a space and MARK for SPACE, in the order they are committed.
 
-    Held are the boundaries since the last commit: ``before`` has the start and the text of the piece that survives
+    Held are the boundaries since the last commit: ``before`` has the start and the id of the piece that survives
     at each of them. A character without a piece of its own is given in bytes; all paths meet before and behind it.
     """
-    ids, starts, follows, begin, end = v.ids, v.starts, v.follows, 0, len(text)
-    before: dict[int, tuple[int, str]] = {0: (-1, "")}
+    ids, tree, follows, size, longest, begin, end = v.ids, v.tree, v.follows, len(v.pieces), v.longest, 0, len(text)
+    before: dict[int, tuple[int, int]] = {0: (-1, -1)}
     for at in range(end):
         if text[at] not in ids:
-            yield path(before, begin, at, ids)
+            yield path(before, begin, at)
             yield [v.byte_ids[b] for b in (SPACE if text[at] == MARK else text[at]).encode()]
-            begin, before = at + 1, {at + 1: (-1, "")}
+            begin, before = at + 1, {at + 1: (-1, -1)}
             continue
         last = before[at][1]
-        for to in range(at + 1, end + 1):
-            piece = text[at:to]
-            if piece in ids:
-                if to not in before:  # longer pieces come first
-                    if last:
-                        fits = follows.get((last, piece))
-                        if fits or (fits is None and may_follow(last, piece, v)):
-                            before[to] = (at, piece)
-                    else:
-                        before[to] = (at, piece)
-            elif piece not in starts:
+        here, to = tree, at
+        for c in text[at : at + longest]:
+            if c not in here:
                 break
-        if at - begin >= 4 * v.longest:
+            i, here = here[c]
+            to += 1
+            if i >= 0 and to not in before:  # longer pieces come first
+                if last < 0:
+                    before[to] = (at, i)
+                else:
+                    pair = last * size + i
+                    fits = follows.get(pair)
+                    if fits or (fits is None and _ask(pair, v)):
+                        before[to] = (at, i)
+        if at - begin >= 4 * longest:
             meet = common(before, at)
             if meet > begin:
-                yield path(before, begin, meet, ids)
+                yield path(before, begin, meet)
                 before = {k: x for k, x in before.items() if k >= meet}
                 begin = meet
-    yield path(before, begin, end, ids)
+    yield path(before, begin, end)
 
 
-def common(before: dict[int, tuple[int, str]], at: int) -> int:
+def common(before: dict[int, tuple[int, int]], at: int) -> int:
     """The last boundary that every path runs through which passes ``at``."""
     live = {k for k in before if k >= at}
     while len(live) > 1:
@@ -188,32 +201,40 @@ def common(before: dict[int, tuple[int, str]], at: int) -> int:
     return live.pop()
 
 
-def path(before: dict[int, tuple[int, str]], begin: int, end: int, ids: dict[str, int]) -> list[int]:
+def path(before: dict[int, tuple[int, int]], begin: int, end: int) -> list[int]:
     """The ids of the survivor from ``begin`` to ``end``."""
     out = []
     while end > begin:
-        start, piece = before[end]
-        out.append(ids[piece])
-        end = start
+        end, i = before[end]
+        out.append(i)
     return out[::-1]
 
 
-def encode_text(text: str, v: Vocabulary, known_words: int = 200_000, short: int = 48) -> bytes:
-    """The ids of a text as 32-bit numbers. Parts that no path crosses are encoded alone; short ones are remembered."""
-    if not text:
-        return b""
-    known, out = v.known, []
-    for part in v.parts.findall(" " + text):
-        ids = known.get(part)
+class Known(dict):
+    """The ids of parts as 32-bit numbers. Parts not seen before are encoded; short ones are kept, ``most`` twice: when
+    the newer half is full it becomes the older one, from which parts that come again are taken back."""
+
+    def __init__(self, v: Vocabulary, most: int = 200_000, short: int = 48) -> None:
+        super().__init__()
+        self.v, self.most, self.short, self.older = v, most, short, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
         if ids is None:
             marked = part.replace(SPACE, MARK).replace(" ", SPACE)
-            ids = array("i", chain.from_iterable(stream(marked, v))).tobytes()
-            if len(part) <= short:
-                if len(known) >= known_words:
-                    known.clear()
-                known[part] = ids
-        out.append(ids)
-    return b"".join(out)
+            ids = array("i", chain.from_iterable(stream(marked, self.v))).tobytes()
+            if len(part) > self.short:
+                return ids
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[part] = ids
+        return ids
+
+
+def encode_text(text: str, v: Vocabulary) -> bytes:
+    """The ids of a text as 32-bit numbers. Parts that no path crosses are encoded alone."""
+    return b"".join(map(v.known.__getitem__, v.parts.findall(" " + text))) if text else b""
 
 
 def decode_ids(ids: list[int], v: Vocabulary) -> str:
