@@ -5,45 +5,61 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
 
-_COPIES = "_aq_copies"
-_SALT = "_aq_salt"
+from areaqual.sources.sinks import Store, keep
+
+_LEFT, _RIGHT, _TIMES = "_aq_salt_left", "_aq_salt_right", "_aq_times"
 
 
 def hot_key_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    rows_per_task: int = 250_000,
-    max_hot_keys: int = 1024,
-    max_copies: int = 4096,
+    left: DataFrame, right: DataFrame, on: Sequence[str], pairs_per_task: int = 16_000_000, store: Store = keep
 ) -> DataFrame:
-    """Inner equi-join that splits the hot keys of ``left``.
+    """Inner equi-join that splits every key with more than ``pairs_per_task`` pairs.
 
-    The hottest keys are measured first (one pass over the key columns, with partial counts). The
-    list has at most ``max_hot_keys`` rows whatever the data, so it can be fetched and broadcast;
-    when it is empty this is a plain join. Rows of a hot key are spread over salts and only the
-    matching rows of ``right`` are copied. A key that did not make the list holds less than
-    1/max_hot_keys of the rows.
+    Both sides are counted per key, with partial counts, and a key is hot by the product of its counts. Its rows are
+    dealt to a grid of salts, so that a salt pair has about ``pairs_per_task`` pairs at most; both sides are copied only
+    along the other side's salts. The list of hot keys stays a table. Without hot keys this is a plain join.
+    Columns must be of types that can be grouped by; null keys match nothing.
     """
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_task)
-    listed = counts.orderBy(F.col("n").desc()).limit(max_hot_keys).collect()
-    if not listed:
-        return left.join(right, list(on))
-    schema = StructType([left.schema[c] for c in on]).add(_COPIES, IntegerType())
-    rows = [(*[r[c] for c in on], min(math.ceil(r["n"] / rows_per_task), max_copies)) for r in listed]
-    hot = F.broadcast(left.sparkSession.createDataFrame(rows, schema))
-    copies = F.coalesce(F.col(_COPIES), F.lit(1))
-    spread = left.join(hot, list(on), "left").select(
-        *left.columns, F.pmod(F.xxhash64(*left.columns), copies).cast("int").alias(_SALT)
-    )
-    copied = right.join(hot, list(on), "left").select(
-        *right.columns, F.explode(F.sequence(F.lit(0), copies - 1)).alias(_SALT)
+    on = list(on)
+    counts = _counts(left, on, _LEFT).join(_counts(right, on, _RIGHT), on)
+    hot = counts.where(F.col(_LEFT).cast("double") * F.col(_RIGHT) > pairs_per_task).select(
+        *on, _salts(_LEFT, _RIGHT, pairs_per_task).alias(_LEFT), _salts(_RIGHT, _LEFT, pairs_per_task).alias(_RIGHT)
     )
-    return spread.join(copied, [*on, _SALT]).drop(_SALT)
+    hot = store(hot, "hot-keys")
+    plain = left.join(right, on)
+    if hot.isEmpty():
+        return plain
+    cold = left.join(hot.select(*on), on, "left_anti").join(right, on)
+    dealt = deal_rows(left, hot, on, _LEFT, _RIGHT).join(deal_rows(right, hot, on, _RIGHT, _LEFT), [*on, _LEFT, _RIGHT])
+    times = F.sequence(F.lit(1).cast("long"), F.col(_LEFT + _TIMES) * F.col(_RIGHT + _TIMES))
+    return cold.unionByName(dealt.withColumn(_TIMES, F.explode(times)).select(*plain.columns))
+
+
+def _counts(df: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+
+
+def _salts(own: str, other: str, pairs_per_task: int) -> Column:
+    facing = F.least(F.col(other).cast("double"), F.lit(math.sqrt(pairs_per_task)))
+    return F.ceil(F.col(own) * facing / pairs_per_task)
+
+
+def deal_rows(df: DataFrame, hot: DataFrame, on: Sequence[str], own: str, other: str) -> DataFrame:
+    """The rows of hot keys, dealt to the salts ``own`` and copied to all salts ``other``.
+
+    Equal rows are counted and their number is shared out over the salts (``<own>_aq_times``), so that repeated rows
+    spread too. Salts depend on the rows alone: a task that is run again deals alike.
+    """
+    same = df.join(hot, list(on)).groupBy(*df.columns, own, other).agg(F.count(F.lit(1)).alias("_aq_n"))
+    shares = F.least("_aq_n", own)
+    spread = same.withColumn("_aq_k", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    times = F.expr(f"_aq_n div least(_aq_n, {own}) + if(_aq_k < _aq_n % least(_aq_n, {own}), 1L, 0L)")
+    salt = F.pmod(F.pmod(F.xxhash64(*df.columns), F.col(own)) + F.col("_aq_k"), F.col(own))
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+    return spread.select(*df.columns, salt.alias(own), F.col(other), times.alias(own + _TIMES)).withColumn(other, copies)
 
 
 def outer_with_indicator(left: DataFrame, right: DataFrame, on: Sequence[str], name: str = "indicator") -> DataFrame:

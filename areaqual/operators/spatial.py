@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
 from areaqual.operators.joins import hot_key_join
+from areaqual.sources.sinks import Store
+from areaqual.sources.sinks import keep as keep_unstored
 
 CELL = ["level", "cx", "cy"]
 _STEP = 4.0
@@ -120,17 +122,20 @@ def point_cells(points: DataFrame, grid: Grid, x: str, y: str) -> DataFrame:
 
 def locate_points(
     points: DataFrame, areas: DataFrame, area_id: str, x: str, y: str, geometry: str = "geometry",
-    grid: Grid | None = None, cells: DataFrame | None = None,
+    grid: Grid | None = None, cells: DataFrame | None = None, store: Store = keep_unstored,
 ) -> DataFrame:
-    """Distinct ``(x, y, area_id)`` where the point lies in the area or on its border."""
+    """Distinct ``(x, y, area_id)`` where the point lies in the area or on its border.
+
+    The distinct probes are counted and joined; ``store`` writes them in between.
+    """
     grid = grid or fit_area_grid(areas, geometry)
     cells = area_cells(areas, grid, area_id, geometry) if cells is None else cells
     known = points.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).where(
         f"{x} IS NOT NULL AND {y} IS NOT NULL AND NOT isnan({x}) AND NOT isnan({y})"
     )
-    probes = point_cells(known.distinct(), grid, x, y)
+    probes = store(point_cells(known.distinct(), grid, x, y), "probes")
     return (
-        hot_key_join(probes, cells, CELL)
+        hot_key_join(probes, cells, CELL, store=store)
         .where(F.expr(geo.locate(x, y, "edges")) > geo.OUTSIDE)
         .select(x, y, area_id)
     )
@@ -139,13 +144,14 @@ def locate_points(
 def intersect_join(
     sites: DataFrame, areas: DataFrame, area_id: str, x: str = "longitude", y: str = "latitude",
     keep: Sequence[str] = (), geometry: str = "geometry", grid: Grid | None = None, cells: DataFrame | None = None,
+    store: Store = keep_unstored,
 ) -> DataFrame:
     """Left join of sites to the areas they intersect.
 
     A site on a shared border yields one row per area; a site outside all areas stays with nulls.
     ``keep`` names further area columns; pass the geometry there only when the caller needs it.
     """
-    found = locate_points(sites, areas, area_id, x, y, geometry, grid, cells).withColumnsRenamed(
+    found = locate_points(sites, areas, area_id, x, y, geometry, grid, cells, store).withColumnsRenamed(
         {x: "_aq_x", y: "_aq_y"}
     )
     joined = sites.join(found, (F.col(x) == F.col("_aq_x")) & (F.col(y) == F.col("_aq_y")), "left").drop("_aq_x", "_aq_y")

@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from areaqual.operators import adjacency as adjacent
-from areaqual.operators import spatial
+from areaqual.operators import quality, spatial
 from areaqual.plans import coal, crosswalks, employment, layers, report, sites
 from areaqual.sources import archives, areas, delimited, series, sinks
 from areaqual.sources.sinks import write_and_reuse as reuse
@@ -45,15 +45,27 @@ class Inputs:
     def areas(self) -> DataFrame:
         return areas.read_areas(self.spark, self.path("areas"))
 
+    def brownfields(self) -> DataFrame:
+        """Spread over the cluster at once, as a gzip file is read by one task."""
+        path = self.path("brownfields")
+        return delimited.read_brownfields(self.spark, path, self.spark.sparkContext.defaultParallelism)
+
     def adjacency(self, level: str, refresh: bool = False) -> DataFrame:
         """The stored edge table of a level; built and stored when it is missing."""
         stored = self.path(f"adjacency/{level}")
+        layer = layers.layer(self.areas(), level)
         if not refresh:
             try:
-                return self.spark.read.parquet(stored)
-            except AnalysisException:
+                found = self.spark.read.parquet(stored)
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
                 log.info("No stored adjacency for %s, building it", level)
-        layer = layers.layer(self.areas(), level)
+            else:
+                # A table of other areas would give wrong neighbours without a word.
+                for column in (f"{level}_id_fips", f"adjacent_{level}_id_fips"):
+                    quality.assert_known_ids(found, column, layer, f"{level}_id_fips")
+                return found
         built = adjacent.adjacency(layer, f"{level}_id_fips", "area_geometry", store=reuse)
         return sinks.write_table(built, stored)
 
@@ -80,7 +92,7 @@ def brownfield_areas(inputs: Inputs, level: str = "tract") -> DataFrame:
     layers.check_level(level)
     table = inputs.areas()
     layer = layers.layer(table, level)
-    raw = delimited.read_brownfields(inputs.spark, inputs.path("brownfields"))
+    raw = inputs.brownfields()
     located = sites.clean_brownfields(raw, layer, level, store=reuse)
     return coal.brownfield_rule(located, layer, layers.state_names(table), layers.county_names(table), level)
 
@@ -114,7 +126,7 @@ def county_report(inputs: Inputs, result: DataFrame) -> DataFrame:
     """The county report on a stored result with both site rules at tract level."""
     table = inputs.areas()
     counties = layers.layer(table, "county")
-    raw = delimited.read_brownfields(inputs.spark, inputs.path("brownfields"))
+    raw = inputs.brownfields()
     located = reuse(sites.clean_brownfields(raw, counties, "county", store=reuse), "brownfields")
     acreage = report.brownfield_acreage(located)
     return report.county_report(result, acreage, layers.layer(table, "tract"), counties)

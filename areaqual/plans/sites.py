@@ -34,7 +34,8 @@ def locate_sites(
     """
     df = store(df, f"{criteria}-sites")
     located = intersect_join(
-        df, layer, f"{level}_id_fips", keep=[f"{level}_name"], geometry="area_geometry", grid=grid, cells=cells
+        df, layer, f"{level}_id_fips", keep=[f"{level}_name"], geometry="area_geometry", grid=grid, cells=cells,
+        store=store,
     )
     return located.withColumns(
         {

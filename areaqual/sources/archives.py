@@ -32,7 +32,7 @@ def unzip_rows(
 ) -> DataFrame:
     """Rows of the wanted members of ``archives(path, content)``, all columns as text.
 
-    Every member starts with a header line; columns are matched by name. ``wanted`` is a pattern. ``only_member`` demands
+    Every member starts with a header line; columns are matched by name and a member that lacks one stops the run. ``wanted`` is a pattern. ``only_member`` demands
     that the archive holds exactly that file.
     """
     names = list(columns)
@@ -59,6 +59,9 @@ def unzip_rows(
                             )
                             for chunk in chunks:
                                 chunk.columns = [c.strip() for c in chunk.columns]
+                                lacking = sorted(set(names) - set(chunk.columns))
+                                if lacking:
+                                    raise ValueError(f"{name} in {path} lacks the columns {lacking}")
                                 yield chunk.reindex(columns=names).astype(object).where(lambda d: d.notna(), None)
 
     schema = ", ".join(f"`{c}` string" for c in names)
@@ -80,7 +83,10 @@ def read_zipped_facts(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
 
 
 def land_zipped_facts(spark: SparkSession, paths: str | Sequence[str], target: str) -> None:
-    """Unpack yearly archives into Parquet by year; years in ``paths`` replace earlier copies."""
+    """Unpack yearly archives into Parquet by year; years in ``paths`` replace earlier copies.
+
+    Rows are brought together by year, and adaptive execution splits a year by its size into as many files as it needs.
+    """
     facts = read_zipped_facts(spark, paths).withColumns(
         {
             "year": F.col("year").try_cast("int"),
@@ -88,7 +94,7 @@ def land_zipped_facts(spark: SparkSession, paths: str | Sequence[str], target: s
             "annual_avg_emplvl": F.col("annual_avg_emplvl").try_cast("bigint"),
         }
     )
-    writer = facts.repartition("year", F.pmod(F.xxhash64("area_fips"), F.lit(16))).write
+    writer = facts.hint("rebalance", "year").write
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(target)
 
 

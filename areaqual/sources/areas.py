@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from areaqual import constants as K
 from areaqual.functions import geometry as geo
+from areaqual.operators.quality import fail_when
 
 _POLYGON = "array<array<array<double>>>"
 _MULTI = "array<array<array<array<double>>>>"
@@ -25,15 +27,19 @@ def parse_geojson_geometry(text: str) -> str:
 
 
 def read_geojson_lines(
-    spark: SparkSession, paths: str, level: str, geoid: str = "GEOID10", name: str = "NAMELSAD10", abbr: str | None = None
+    spark: SparkSession, paths: str, level: str, geoid: str = "GEOID10", name: str = "NAMELSAD10", abbr: str | None = None,
+    crs: str = K.GEOGRAPHIC_CRS,
 ) -> DataFrame:
     """Features, one per line, as rows of the area table.
 
     One feature per line keeps the file splittable; a single document with all features would be
-    read by one task.
+    read by one task. A feature that names a coordinate system other than ``crs`` stops the run; there is no reprojection.
     """
+    named = F.get_json_object("value", "$.crs.properties.name")
+    authority, code = crs.split(":")
+    other = named.isNotNull() & ~F.upper(named).rlike(rf"(^|:){authority}:+{code}$")
     features = spark.read.text(paths).where("trim(value) != ''").select(
-        F.get_json_object("value", f"$.properties.{geoid}").alias("geoid"),
+        fail_when(other, f"The layer is not in {crs}", F.get_json_object("value", f"$.properties.{geoid}")).alias("geoid"),
         F.get_json_object("value", f"$.properties.{name}").alias("name"),
         (F.get_json_object("value", f"$.properties.{abbr}") if abbr else F.lit(None).cast("string")).alias("abbr"),
         F.get_json_object("value", "$.geometry").alias("shape"),

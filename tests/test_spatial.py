@@ -162,11 +162,21 @@ def test_hot_keys_are_salted_without_changing_the_result(spark):
     left = spark.range(20_000).select("id", F.expr("if(id % 3 = 0, 7, id % 500)").alias("k"))
     right = spark.range(500).select(F.col("id").alias("k"), F.expr("id * 2").alias("v"))
     plain = left.join(right, "k").select("k", "id", "v")
-    salted = joins.hot_key_join(left, right, ["k"], rows_per_task=1000).select("k", "id", "v")
+    salted = joins.hot_key_join(left, right, ["k"], pairs_per_task=1000).select("k", "id", "v")
     assert "_aq_salt" in salted._jdf.queryExecution().toString()
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
 
 
+def test_repeated_rows_of_a_hot_key_are_spread(spark):
+    left = spark.range(1000).select(F.lit(1).alias("k"), F.lit("a").alias("u")).union(spark.sql("SELECT 2, 'b' UNION ALL SELECT NULL, 'c'"))
+    right = spark.range(300).select(F.lit(1).alias("k"), F.lit("x").alias("v")).union(spark.sql("SELECT 2, 'y' UNION ALL SELECT NULL, 'z'"))
+    joined = joins.hot_key_join(left, right, ["k"], pairs_per_task=10_000)
+    assert {tuple(r[:3]): r["count"] for r in joined.groupBy("k", "u", "v").count().collect()} == {(1, "a", "x"): 300_000, (2, "b", "y"): 1}
+    hot = spark.sql("SELECT 1 AS k, 10L AS own, 3L AS other")
+    dealt = joins.deal_rows(left, hot, ["k"], "own", "other").groupBy("own", "other").agg(F.sum("own_aq_times").alias("n")).collect()
+    assert len(dealt) == 30 and {r["n"] for r in dealt} == {100}
+
+
 def test_spatial_plans_use_equi_joins(spark):
     named = shapes.random_shapes(20, 10, 4)
     areas = layer(spark, named)

@@ -286,8 +286,8 @@ _add("crosswalk_anti", "SELECT county_id_fips, state_id_fips, msa_code, msa_name
 _add("crosswalk_join", "SELECT * FROM facts")
 _add("outer_indicator", """SELECT coalesce(l.key, o.key) AS key, quantity, n_orders,
       CASE WHEN l.key IS NULL THEN 'right_only' WHEN o.key IS NULL THEN 'left_only' ELSE 'both' END AS indicator
-    FROM (SELECT l_orderkey AS key, sum(l_quantity) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) l
-    FULL JOIN (SELECT o_orderkey AS key, count(*) AS n_orders FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL) o
+    FROM (SELECT if(l_orderkey % 5 = 0, -l_orderkey, l_orderkey) AS key, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL) l
+    FULL JOIN (SELECT o_orderkey AS key, count(*) AS n_orders FROM orders GROUP BY ALL) o
       ON l.key = o.key""")
 _add("hot_key_join", """SELECT o_orderkey, o_custkey AS custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey""")
 _add("annual_mean_half_even", """SELECT o_custkey, year(o_orderdate) AS year,
@@ -397,8 +397,8 @@ _add("county_report", """SELECT b.county_id_fips, b.county_name, b.state_name, n
 
 _add("duplicate_keys", """SELECT o_custkey, year(o_orderdate) AS year, count(*) AS n_rows FROM orders
     GROUP BY ALL HAVING count(*) > 1""")
-_add("unmatched_keys", """SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_returnflag = 'R'
-    AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'O')""")
+_add("unmatched_keys", """SELECT if(l_orderkey % 7 = 0, -l_orderkey, l_orderkey) AS key FROM lineitem
+    EXCEPT SELECT o_orderkey FROM orders""")
 _add("unmatched_counties", f"""SELECT DISTINCT county_id_fips FROM all_facts WHERE annual_avg_emplvl <> 0
     AND industry_code IN ('10', {FOSSIL[1:-1]}) AND county_id_fips NOT IN (SELECT county_id_fips FROM county_areas)""")
 
@@ -413,8 +413,12 @@ _add("zipped_members", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
 _add("nested_series", """SELECT 'S' || user_id AS series_id, year(ts)::VARCHAR AS year, period, count(*) AS n,
       sum(v)::BIGINT AS total FROM (SELECT user_id, ts, strftime(ts, 'M%m') AS period, event_id % 90 AS v FROM events
       UNION ALL SELECT user_id, ts, 'M13', 0 FROM events) GROUP BY ALL""")
-_add("generators_table", """SELECT l_suppkey AS plant_id_eia, count(*) AS n_reports FROM lineitem
-    WHERE l_linestatus = 'F' GROUP BY ALL""")
+_add("generators_table", """SELECT strftime(l_shipdate + INTERVAL 15 YEARS, '%Y-%m-%d') AS reported,
+    CASE l_returnflag WHEN 'A' THEN 'BIT' WHEN 'R' THEN 'SUB' ELSE 'NG' END AS energy_source_code_1,
+    CASE l_linenumber % 3 WHEN 0 THEN 'Conventional Steam Coal' WHEN 1 THEN 'Natural Gas Fired'
+      ELSE 'Coal Integrated Gasification Combined Cycle' END AS technology_description,
+    if(l_linestatus = 'F', 'retired', 'existing') AS operational_status, l_suppkey AS plant_id_eia,
+    l_partkey % 5 AS utility_id_eia, 'G' || l_linenumber AS generator_id, 'Plant ' || l_suppkey AS plant_name_eia FROM lineitem""")
 _add("brownfields_gzip", "SELECT site_name, latitude, longitude, zip_code, brownfield_acreage FROM brownfields")
 _add("area_titles_csv", "SELECT lpad(s_suppkey::VARCHAR, 5, '0') AS area_fips, s_name || ', \"A\"' AS area_title FROM supplier")
 _add("area_layers", f"""SELECT lpad(s_suppkey::VARCHAR, 12, '0') AS tract_id_fips, 'Tract ' || s_suppkey AS tract_name,

@@ -177,10 +177,10 @@ def crosswalk_join(spark, d):
 
 @query
 def outer_indicator(spark, d):
-    lines = T.table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("key")).agg(
-        F.sum("l_quantity").alias("quantity")
-    )
-    orders = T.table(spark, d, "orders").where("o_orderstatus != 'F'").groupBy(F.col("o_orderkey").alias("key")).agg(
+    """Every fifth key is moved away, so that each side has keys the other lacks."""
+    moved = F.expr("if(l_orderkey % 5 = 0, -l_orderkey, l_orderkey)").alias("key")
+    lines = T.table(spark, d, "lineitem").groupBy(moved).agg(F.sum("l_quantity").alias("quantity"))
+    orders = T.table(spark, d, "orders").groupBy(F.col("o_orderkey").alias("key")).agg(
         F.count(F.lit(1)).alias("n_orders")
     )
     return joins.outer_with_indicator(lines, orders, ["key"])
@@ -188,10 +188,10 @@ def outer_indicator(spark, d):
 
 @query
 def hot_key_join(spark, d):
-    """Forced to salt: every customer with more than three orders counts as hot."""
+    """Forced to salt: every customer with more than three orders counts as hot and is split."""
     orders = T.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"))
     customers = T.table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), "c_nationkey")
-    return joins.hot_key_join(orders, customers, ["custkey"], rows_per_task=3)
+    return joins.hot_key_join(orders, customers, ["custkey"], pairs_per_task=3, store=_store)
 
 
 # --- aggregates and the employment rule ---------------------------------------------------------
@@ -480,8 +480,10 @@ def duplicate_keys(spark, d):
 
 @query
 def unmatched_keys(spark, d):
-    lines = T.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key"))
-    orders = T.table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("key"))
+    """Every seventh key is moved away."""
+    moved = F.expr("if(l_orderkey % 7 = 0, -l_orderkey, l_orderkey)").alias("key")
+    lines = T.table(spark, d, "lineitem").select(moved)
+    orders = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("key"))
     return quality.unmatched_keys(lines, orders, ["key"])
 
 
@@ -606,8 +608,10 @@ def nested_series(spark, d):
 def generators_table(spark, d):
     path = _out(spark, "generators")
     sinks.write_table(T.generators_raw(spark, d), path)
-    df = delimited.read_generators(spark, path)
-    return df.where("operational_status = 'retired'").groupBy("plant_id_eia").agg(F.count(F.lit(1)).alias("n_reports"))
+    return delimited.read_generators(spark, path).select(
+        F.date_format("report_date", "yyyy-MM-dd").alias("reported"), "energy_source_code_1", "technology_description",
+        "operational_status", "plant_id_eia", "utility_id_eia", "generator_id", "plant_name_eia",
+    )
 
 
 @query
