@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -44,7 +44,7 @@ class Vocabulary:
     trees: dict[str, tuple[str, str] | None] = field(init=False, default_factory=dict)
     edges: dict[tuple[str, int], list | None] = field(init=False, default_factory=dict)
     known: Known = field(init=False)
-    decoded: list[bytes] = field(init=False)
+    decoded: np.ndarray = field(init=False)  # of bytes
 
     def __post_init__(self) -> None:
         skip = self.idle | set(self.byte_ids)
@@ -59,7 +59,7 @@ class Vocabulary:
             node[0] = k
         self.parts = re.compile(_parts(self.ids))
         self.known = Known(self)
-        self.decoded = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        self.decoded = np.array([*(p.replace(SPACE, " ").encode() for p in self.pieces), b""], object)[:-1]
         for k in self.idle:
             self.decoded[k] = b""
         for b, k in enumerate(self.byte_ids):
@@ -214,7 +214,7 @@ class Known(dict):
     """The ids of parts as 32-bit numbers. Parts not seen before are encoded; short ones are kept, ``most`` twice: when
     the newer half is full it becomes the older one, from which parts that come again are taken back."""
 
-    def __init__(self, v: Vocabulary, most: int = 200_000, short: int = 48) -> None:
+    def __init__(self, v: Vocabulary, most: int = 400_000, short: int = 48) -> None:
         super().__init__()
         self.v, self.most, self.short, self.older = v, most, short, {}
 
@@ -237,12 +237,11 @@ def encode_text(text: str, v: Vocabulary) -> bytes:
     return b"".join(map(v.known.__getitem__, v.parts.findall(" " + text))) if text else b""
 
 
-def decode_ids(ids: list[int], v: Vocabulary) -> str:
+def decode_ids(ids: Sequence[int] | np.ndarray, v: Vocabulary) -> str:
     """The text of some ids; ids without a text, and those the vocabulary lacks, give nothing."""
-    table = v.decoded
-    if ids and (min(ids) < 0 or max(ids) >= len(table)):
-        ids = [i for i in ids if 0 <= i < len(table)]
-    text = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+    ids = np.asarray(ids, np.int64)
+    ids = ids[(ids >= 0) & (ids < len(v.decoded))]
+    text = b"".join(v.decoded[ids].tolist()).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -280,7 +279,7 @@ def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) ->
                     text = batch.column(0)[at].as_py()
                     ids = None if text is None else encode_text(text, v)
                     parts.append(ids)
-                    exact.append(None if text is None else decode_ids(np.frombuffer(ids, np.int32).tolist(), v) == text)
+                    exact.append(None if text is None else decode_ids(np.frombuffer(ids, np.int32), v) == text)
                     held += len(ids or b"")
                     at += 1
                 sizes = np.array([len(p or b"") // 4 for p in parts])
