@@ -70,7 +70,8 @@ class Inputs:
         return sinks.write_table(built, stored)
 
 
-def coal_areas(inputs: Inputs, level: str = "tract") -> DataFrame:
+def coal_areas(inputs: Inputs, level: str = "tract", planned: bool = False, as_of: str | None = None) -> DataFrame:
+    """With ``planned``, units whose retirement is planned after ``as_of`` take the place of retired ones."""
     layers.check_level(level)
     table = inputs.areas()
     layer = layers.layer(table, level)
@@ -79,7 +80,7 @@ def coal_areas(inputs: Inputs, level: str = "tract") -> DataFrame:
     index = {"grid": grid, "cells": cells, "store": reuse}
     mines = sites.clean_mines(delimited.read_mines(inputs.spark, inputs.path("mines")), layer, level, **index)
     generators = sites.clean_generators(
-        delimited.read_generators(inputs.spark, inputs.path("generators")), layer, level, **index
+        delimited.read_generators(inputs.spark, inputs.path("generators")), layer, level, planned, as_of, **index
     )
     # Each table serves the rule itself and the search for neighbours.
     mines, generators = reuse(mines, "mines"), reuse(generators, "generators")
@@ -116,9 +117,17 @@ def employment_areas(inputs: Inputs, years: Sequence[int] | None = None) -> Data
     )
 
 
-def all_areas(inputs: Inputs, coal_level: str = "tract", brownfield_level: str = "tract") -> DataFrame:
+def all_areas(
+    inputs: Inputs,
+    coal_level: str = "tract",
+    brownfield_level: str = "tract",
+    planned: bool = False,
+    as_of: str | None = None,
+) -> DataFrame:
     return coal.all_rules(
-        coal_areas(inputs, coal_level), brownfield_areas(inputs, brownfield_level), employment_areas(inputs)
+        coal_areas(inputs, coal_level, planned, as_of),
+        brownfield_areas(inputs, brownfield_level),
+        employment_areas(inputs),
     )
 
 
@@ -170,7 +179,12 @@ def parse_arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--brownfields-area", choices=["tract", "county"], default="tract")
     parser.add_argument("--refresh-adjacency", type=_flag, default=False, help="build the edge tables again")
     parser.add_argument("--update-employment", type=_flag, default=False, help="unpack the archives below zips/ first")
-    return parser.parse_args(argv)
+    parser.add_argument("--planned", action="store_true", help="planned retirements of coal units, not past ones")
+    parser.add_argument("--as-of", help="date after which a retirement counts as planned, as 2025-01-31")
+    args = parser.parse_args(argv)
+    if args.planned != (args.as_of is not None):
+        parser.error("--planned and --as-of go together")
+    return args
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -186,18 +200,18 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         inputs.adjacency(args.coal_area, refresh=True)
     if args.rule == "report":
         # The report reads the result several times, so it works on a stored copy without polygons.
-        stored = reuse(all_areas(inputs).drop("area_geometry", "site_geometry"), "all-areas")
+        stored = reuse(all_areas(inputs, planned=args.planned, as_of=args.as_of).drop("area_geometry", "site_geometry"), "all-areas")
         county_report(inputs, stored).write.mode("overwrite").parquet(args.output)
         return
     if args.rule == "coal":
-        result = coal_areas(inputs, args.coal_area)
+        result = coal_areas(inputs, args.coal_area, args.planned, args.as_of)
     elif args.rule == "brownfields":
         result = brownfield_areas(inputs, args.brownfields_area)
     elif args.rule == "employment":
         log_warnings(inputs)
         result = employment_areas(inputs)
     else:
-        result = all_areas(inputs, args.coal_area, args.brownfields_area)
+        result = all_areas(inputs, args.coal_area, args.brownfields_area, args.planned, args.as_of)
     sinks.write_result(result, args.output)
 
 

@@ -84,6 +84,15 @@ def test_report(spark, landed):
     assert got["48059"].percent_of_county_coal_qualified == pytest.approx(1.0, abs=0.02)
 
 
+def test_planned_retirements(spark, landed):
+    # The only unit is retired and has no planned date: no area qualifies through it.
+    past = run(spark, landed, "coal", "--coal-area", "county")
+    planned = run(spark, landed, "coal", "--coal-area", "county", "--planned", "--as-of", "2025-01-01")
+    assert set(planned.columns) == set(past.columns) and 0 < planned.count() < past.count()
+    with pytest.raises(SystemExit):
+        jobs.parse_arguments(["coal", "--inputs", "a", "--output", "b", "--planned"])
+
+
 def test_bad_levels_are_refused():
     for arguments in (["all", "--coal-area", "area"], ["all", "--brownfields-area", "state"], ["coal", "--refresh-adjacency", "maybe"]):
         with pytest.raises(SystemExit):
