@@ -236,6 +236,8 @@ def test_pieces_are_those_of_merging():
         text = text.replace(" ", "") if k % 2 else text
         ids = np.frombuffer(codec.encode_text(text, v), np.int32).tolist()
         assert ids == sp.encode(text) and codec.decode_ids(ids, v) == text
+    ids = sp.encode("the tree")
+    assert codec.decode_ids([], v) == "" and codec.decode_ids([-1, *ids, len(v.pieces)], v) == "the tree"  # unknown ids: nothing
     long = "the" * 2000  # no space: committed where the paths meet
     assert len([x for x in codec.stream(long, v) if x]) > 10
     assert [i for x in codec.stream(codec.SPACE + long, v) for i in x] == sp.encode(long)
