@@ -1,8 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, these are normalised and looked up among the known sentences of licences; the
-identifiers found, in order, are matched against rules, which are ordered lists of identifiers. All of it is
-built-in expressions.
+A text is cut into pieces, these are normalised, and where a known sentence of a licence begins, the pieces that follow
+are compared with it; the identifiers found, in order, are matched against rules, which are ordered lists of
+identifiers. All of it is built-in expressions.
 """
 
 from __future__ import annotations
@@ -78,23 +78,25 @@ RULES = [
     ("bsd-3-spdx", "BSD-3-Clause", ["spdx-bsd-3"]),
 ]
 
-#: A sentence ends at a line end or behind one of these marks and white space.
+#: A text may be cut at a line end or behind one of these marks and white space.
 ENDS = r"([.!?;:])[ \t\r\n]+"
 
 
-def normalised(sentence: Column) -> Column:
-    """Letters A-Z in lower case and digits; everything else is one space, none at the ends."""
-    return F.trim(F.lower(F.regexp_replace(sentence, "[^A-Za-z0-9]+", " ")))
+def normalised_pieces(text: Column) -> Column:
+    """The pieces between cuts: letters A-Z in lower case and digits; everything else is one space, none at the ends."""
+    cut = F.regexp_replace(text, ENDS, "$1\n")
+    return F.split(F.trim(F.lower(F.regexp_replace(cut, "[^A-Za-z0-9\n]+", " "))), " ?\n ?")
 
 
 def plain(sentence: str) -> str:
-    """``normalised`` for the fixed sentences."""
+    """The fixed sentences in the form that ``normalised_pieces`` gives, in one piece."""
     kept = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in sentence)
     return " ".join(kept.split())
 
 
 def known_sentences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(plain(s), k) for k, s in SENTENCES.items()], "sentence string, sid string")
+    rows = [(s.split()[0], s, len(s.split()), k) for k, s in ((k, plain(s)) for k, s in SENTENCES.items())]
+    return spark.createDataFrame(rows, "head string, sentence string, words int, sid string")
 
 
 def rule_steps(spark: SparkSession) -> DataFrame:
@@ -102,27 +104,49 @@ def rule_steps(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, licence string, sid string, step int, steps int")
 
 
-def scan_licences(docs: DataFrame, max_gap: int = 4) -> DataFrame:
-    """doc_id, licence, rule, first_sentence and last_sentence (numbers from 0) of every match.
+def known_places(docs: DataFrame) -> DataFrame:
+    """doc_id, h (hash of the text), sid, and the numbers of the first and last piece (at, to) of every known sentence.
 
-    A rule matches where its sentences follow each other among the known sentences of a text, with ``max_gap`` other
-    sentences between them in all at most. Of matches of which one lies within the other the longer is given; of equal
-    ones all are. Texts that are null or empty match nothing, repeated rows are one document, and a text is scanned
-    whole. The tables of sentences and rules are fixed; only known sentences are shuffled.
+    A known sentence stands where pieces that follow each other give it together, so it may hold marks and be wrapped;
+    an empty line is an empty piece and ends it. Only as many pieces as it has words are looked at.
     """
-    spark = docs.sparkSession
     rows = only(docs, "doc_id", "text").filter("text is not null")
-    lines = F.split(F.regexp_replace("text", ENDS, "$1\n"), "\n")
-    sentences = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.posexplode(lines).alias("at", "line"))
-    sentences = sentences.select("doc_id", "h", "at", normalised(F.col("line")).alias("sentence"))
-    known = sentences.join(F.broadcast(known_sentences(spark)), "sentence").select("doc_id", "h", "at", "sid").distinct()
-    order = Window.partitionBy("doc_id", "h").orderBy("at")
-    numbered = known.withColumn("place", F.row_number().over(order))
+    rows = rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), normalised_pieces(F.col("text")).alias("pieces"))
+    # Outer, as the optimizer would else cut each text a second time to see that there are pieces.
+    each = rows.select("doc_id", "h", "pieces", F.posexplode_outer("pieces").alias("at", "piece"))
+    begun = each.join(F.broadcast(known_sentences(docs.sparkSession)), F.substring_index("piece", " ", 1) == F.col("head"))
+    ahead = begun.withColumn("ahead", F.array_join(F.slice("pieces", F.col("at") + 1, F.col("words")), "\n"))
+    size = F.length("sentence")
+    found = F.substring("ahead", F.lit(1), size)
+    whole = (F.translate(found, "\n", " ") == F.col("sentence")) & F.substring("ahead", size + 1, F.lit(1)).isin("", "\n")
+    to = F.col("at") + size - F.length(F.translate(found, "\n", ""))
+    return ahead.filter(whole).select("doc_id", "h", "sid", "at", to.alias("to")).distinct()
+
+
+def scan_licences(docs: DataFrame, max_gap: int = 4) -> DataFrame:
+    """doc_id, licence, rule, first_sentence and last_sentence of every match.
+
+    These are numbers (from 0) of the pieces of a text, which is cut at line ends and behind marks; known sentences may
+    go over several pieces. A rule matches where its sentences follow each other among the known sentences of a text,
+    with ``max_gap`` other pieces, empty lines too, between them in all at most; known sentences that overlap share a
+    place. Of matches of which one lies within the other the longer is given; of equal ones all are. Texts that are null
+    or empty match nothing, repeated rows are one document, and a text is scanned whole. The tables of sentences and
+    rules are fixed; only known sentences are shuffled.
+    """
+    spark = docs.sparkSession
+    known = known_places(docs)
+    order = Window.partitionBy("doc_id", "h").orderBy("at", "to", "sid")
+    before = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = known.withColumn("apart", (F.col("at") > F.coalesce(before, F.lit(-1))).cast("int"))
+    numbered = apart.withColumn("place", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     met = numbered.join(F.broadcast(rule_steps(spark)), "sid").groupBy(
         "doc_id", "h", "rule", "licence", "steps", (F.col("place") - F.col("step")).alias("start")
-    ).agg(F.count("*").alias("n"), F.min("at").alias("first_sentence"), F.max("at").alias("last_sentence"))
+    ).agg(
+        F.count("*").alias("n"), F.min("at").alias("first_sentence"), F.max("to").alias("last_sentence"),
+        F.sum(F.col("to") - F.col("at") + 1).alias("own"),
+    )
     span = F.col("last_sentence") - F.col("first_sentence") + 1
-    matches = met.filter((F.col("n") == F.col("steps")) & (span <= F.col("steps") + max_gap))
+    matches = met.filter((F.col("n") == F.col("steps")) & (span <= F.col("own") + max_gap))
     # What starts earlier, or at the same sentence and ends later, and reaches as far, holds the match.
     longest = matches.groupBy("doc_id", "h", "first_sentence").agg(F.max("last_sentence").alias("reach"))
     earlier = Window.partitionBy("doc_id", "h").orderBy("first_sentence").rowsBetween(Window.unboundedPreceding, -1)

@@ -227,6 +227,26 @@ def test_licence_rules(spark):
     assert got == {(0, "gpl-3-notice"), (1, "mit-named-text")}
 
 
+def rules_found(spark, texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licenses.scan_licences(table).collect()
+    return [sorted(r["rule"] for r in found if r["doc_id"] == k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize("between", [" ", "\n", "\n\n", "\n# \n# "])
+def test_every_rule_matches_its_own_sentences(spark, between):
+    texts = [between.join(licenses.SENTENCES[k] for k in sids) for _, _, sids in licenses.RULES]
+    if between == " ":  # titles end at line ends only
+        texts = [t.replace("The MIT License (MIT) ", "The MIT License (MIT)\n").replace("MIT License Perm", "MIT License\nPerm") for t in texts]
+        texts = [t.replace("License at Unless", "License at\nUnless") for t in texts]
+    assert rules_found(spark, texts) == [[rule] for rule, _, _ in licenses.RULES]
+
+
+def test_pieces_of_a_known_sentence_stand_together(spark):
+    texts = ["SPDX-License-Identifier: Foo\nMIT", "SPDX-License-Identifier:\nMIT", "SPDX-License-Identifier: MIT OR Foo", "x\n// SPDX-License-Identifier: MIT\ny"]
+    assert rules_found(spark, texts) == [[], ["mit-spdx"], [], ["mit-spdx"]]
+
+
 def test_pieces_are_those_of_merging():
     v, sp = codec.load_vocabulary(queries.TOKENIZER), sentencepiece.SentencePieceProcessor(model_file=queries.TOKENIZER)
     rng = random.Random(6)
