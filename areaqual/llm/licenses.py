@@ -41,6 +41,8 @@ SENTENCES = {
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-names-university": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "mpl-2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "mpl-2-notice-short": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
@@ -73,6 +75,8 @@ RULES = [
     ("cc-by-4-work", "CC-BY-4.0", ["cc-by-4-work"]),
     ("cc-by-sa-4-work", "CC-BY-SA-4.0", ["cc-by-sa-4-work"]),
     ("bsd-2-text", "BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("bsd-3-text", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
+    ("bsd-3-text-university", "BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names-university"]),
     ("mpl-2-notice", "MPL-2.0", ["mpl-2-notice"]),
     ("mpl-2-notice-short", "MPL-2.0", ["mpl-2-notice-short"]),
     ("bsd-3-spdx", "BSD-3-Clause", ["spdx-bsd-3"]),

@@ -1,6 +1,7 @@
 """The operators against brute force and on awkward inputs."""
 
 import random
+import textwrap
 
 import duckdb
 import numpy as np
@@ -242,6 +243,26 @@ def test_every_rule_matches_its_own_sentences(spark, between):
     assert rules_found(spark, texts) == [[rule] for rule, _, _ in licenses.RULES]
 
 
+@pytest.mark.parametrize("width, mark", [(70, ""), (80, ""), (76, "# "), (72, " * "), (20, "")])
+def test_wrapped_licences(spark, width, mark):
+    s, lines = licenses.SENTENCES, lambda *parts: "\n".join(mark + x for p in parts for x in (textwrap.wrap(p, width) if p else [""]))
+    bsd = [s["bsd-grant"], "", "1. " + s["bsd-source"], "2. " + s["bsd-binary"]]
+    texts = [
+        lines("The MIT License (MIT)", "", "Copyright (c) 2020 Someone", "", s["mit-grant"], "", s["mit-include"], "", "THE SOFTWARE IS PROVIDED"),
+        lines("MIT License", s["mit-grant"], s["mit-include"]),
+        lines("Copyright 2020 Someone", "", *bsd),
+        lines("Copyright 2020 Someone", "", *bsd, "3. " + s["bsd-names"]),
+        lines("x", *bsd, "3. " + s["bsd-names-university"], "", "y"),
+        lines(s["apache-2.0-grant-full"] + " " + s["apache-2.0-obtain"], "", "http://example.org/LICENSE-2.0", "", s["apache-2.0-as-is"] + " " + s["apache-2.0-see"]),
+        lines(s["gpl-free"], "", s["gpl-hope"] + " " + s["gpl-see"]),
+        lines(s["mit-grant"].replace("to deal in", "", 1), s["mit-include"]),
+        s["mit-grant"].replace("person obtaining", "person\n\nobtaining") + "\n" + s["mit-include"],
+    ]
+    want = ["mit-titled-text", "mit-named-text", "bsd-2-text", "bsd-3-text", "bsd-3-text-university", "apache-2.0-header", "gpl-3-header"]
+    got = rules_found(spark, texts)
+    assert got == [[w] for w in want] + [[], []]
+
+
 def test_pieces_of_a_known_sentence_stand_together(spark):
     texts = ["SPDX-License-Identifier: Foo\nMIT", "SPDX-License-Identifier:\nMIT", "SPDX-License-Identifier: MIT OR Foo", "x\n// SPDX-License-Identifier: MIT\ny"]
     assert rules_found(spark, texts) == [[], ["mit-spdx"], [], ["mit-spdx"]]
