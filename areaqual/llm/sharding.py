@@ -6,7 +6,7 @@ other bucket is. All of it is built-in expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaqual.llm.common import stored
@@ -58,14 +58,8 @@ def directory(rows: DataFrame, max_bytes: int, bits_at_once: int = 12) -> DataFr
         left, base = left.join(large, _prefix(F.lit(top)) == F.col("large"), "left_semi"), top
 
 
-def assign_shards(docs: DataFrame, max_bytes: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, depth, prefix, part, bytes and, of its shard, shard_bytes and shard_docs.
-
-    The shard is named by depth, prefix (the leading ``depth`` bits of the hash) and part. ``part`` is 0 but where rows
-    with one hash are over the limit together: these are repeated rows, dealt to parts that hold as many as fit, at
-    least one. So no shard is over the limit except one of a single text that is. A null text has no bytes, a null id
-    is hashed like an empty one; other columns do not matter, and an empty table gives no shards.
-    """
+def _placed(docs: DataFrame, max_bytes: int) -> DataFrame:
+    """Per distinct row: doc_id, hash, bytes, n, depth, prefix, shard_bytes, shard_docs, over and rows in a part if so."""
     rows = hashed(docs).select(F.col("doc_id").cast("long"), F.col("__hash").alias("hash"), F.col("__bytes").alias("bytes"))
     rows = stored(rows.groupBy("doc_id", "hash", "bytes").agg(F.count("*").alias("n")), "rows")
     shards = directory(rows.select("hash", "bytes", "n"), max_bytes)
@@ -75,6 +69,18 @@ def assign_shards(docs: DataFrame, max_bytes: int) -> DataFrame:
     one = keyed.join(shards, ["depth", "prefix"])
     over = (F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > max_bytes)
     per_part = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) / F.col("bytes"))).cast("long")
+    return one.withColumn("over", over).withColumn("per_part", F.when(F.col("over"), per_part))
+
+
+def assign_shards(docs: DataFrame, max_bytes: int) -> DataFrame:
+    """Per row of ``docs``: doc_id, depth, prefix, part, bytes and, of its shard, shard_bytes and shard_docs.
+
+    The shard is named by depth, prefix (the leading ``depth`` bits of the hash) and part. ``part`` is 0 but where rows
+    with one hash are over the limit together: these are repeated rows, dealt to parts that hold as many as fit, at
+    least one. So no shard is over the limit except one of a single text that is. A null text has no bytes, a null id
+    is hashed like an empty one; other columns do not matter, and an empty table gives no shards.
+    """
+    one, over, per_part = _placed(docs, max_bytes), F.col("over"), F.col("per_part")
     numbered = one.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
     part = F.when(over, F.floor((F.col("k") - 1) / per_part)).otherwise(0).cast("long")
     docs_there = F.when(over, F.least(per_part, F.col("n") - part * per_part)).otherwise(F.col("shard_docs"))
@@ -88,13 +94,30 @@ def assign_shards(docs: DataFrame, max_bytes: int) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, max_bytes: int) -> None:
     """Write all rows of ``docs`` below ``path``, one folder for each shard; repeated rows are written as often as given.
 
-    Rows of one hash that are over the limit together share a folder; Spark ends a file there after as many rows as fit.
+    The folders are shard=<depth>-<prefix>/part=<part>, with the parts of ``assign_shards``: repeated rows that are over
+    the limit together are numbered in chunks of the input and dealt to parts, each of which is one file.
     """
-    shards = assign_shards(docs, max_bytes).select("doc_id", "depth", "prefix").distinct()
+    one = stored(_placed(docs, max_bytes).select("doc_id", "hash", "bytes", "depth", "prefix", "per_part"), "placed")
     keyed = hashed(docs).withColumn("__id", F.col("doc_id").cast("long"))
-    of = shards.withColumnRenamed("doc_id", "__id")
-    fits = F.call_function("shiftright", F.col("__hash"), (F.lit(HASH_BITS) - F.col("depth")).cast("int")) == F.col("prefix")
-    joined = keyed.join(of, keyed["__id"].eqNullSafe(of["__id"]) & fits)
-    name = F.concat(F.col("depth").cast("string"), F.lit("-"), F.hex("prefix")).alias("shard")
-    out = joined.select(*[keyed[c] for c in docs.columns], name)
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    same = keyed["__id"].eqNullSafe(one["doc_id"]) & (keyed["__hash"] == one["hash"]) & (keyed["__bytes"] == one["bytes"])
+    name = F.concat(one["depth"].cast("string"), F.lit("-"), F.hex(one["prefix"])).alias("shard")
+    own = [keyed[c] for c in docs.columns]
+    joined = keyed.join(one, same).select(*own, name, one["per_part"].alias("__per_part"), "__hash", "__bytes")
+    out = joined.filter("__per_part is null").select(*docs.columns, "shard", F.lit(0).cast("long").alias("part"))
+    if not one.filter("per_part is not null").isEmpty():
+        out = out.unionByName(_dealt(joined.filter("__per_part is not null")).select(*out.columns))
+    out.repartition("shard", "part").write.partitionBy("shard", "part").parquet(path)
+
+
+def _dealt(rows: DataFrame, chunk_bits: int = 13) -> DataFrame:
+    """The rows with ``part``: equal ones are numbered within chunks, and the counts of the chunks before are added."""
+    # Stored, as numbers that follow the input's partitions must not change between counting and use.
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "repeated")
+    rows = rows.withColumn("__chunk", F.call_function("shiftright", F.col("__row"), F.lit(chunk_bits)))
+    key = ["__hash", "__bytes", "__chunk"]
+    earlier = Window.partitionBy("__hash", "__bytes").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    before = counts.select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    numbered = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy("__row")))
+    part = F.floor((F.col("__before") + F.col("__k") - 1) / F.col("__per_part")).cast("long")
+    return numbered.join(before, key).withColumn("part", part)

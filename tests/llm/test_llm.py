@@ -219,6 +219,28 @@ def test_shards_are_written_whole(spark, tmp_path):
     assert sorted(map(str, back.select(table.columns).collect())) == sorted(map(str, table.collect()))
 
 
+def test_written_folders_keep_the_limit(spark, tmp_path):
+    texts = ["some text"] * 5 + ["other " * k for k in range(40)] + ["x" * 100] * 303 + ["long " * 300] * 3 + [None, "", None]
+    ids = [k if t is None or not t.startswith(("x", "long")) else None if t[0] == "x" else 7 for k, t in enumerate(texts)]
+    table = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(7)
+    sharding.write_shards(table, str(tmp_path / "out"), 1000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select("doc_id", "text").collect())) == sorted(map(str, table.collect()))
+    of = F.coalesce(F.octet_length("text"), F.lit(0)).alias("b")
+    sums = back.groupBy("shard", "part").agg(F.sum(of).alias("b"), F.count("*").alias("n")).collect()
+    assert all(r["b"] <= 1000 or r["n"] == 1 for r in sums)
+    there = sharding.assign_shards(table, 1000).select("depth", "prefix", "part", "shard_bytes", "shard_docs").distinct()
+    assert sorted((r["b"], r["n"]) for r in sums) == sorted((r["shard_bytes"], r["shard_docs"]) for r in there.collect())
+    assert all(len(list(f.glob("*.parquet"))) == 1 for f in (tmp_path / "out").glob("shard=*/part=*"))
+
+
+def test_equal_rows_are_numbered_over_chunks(spark):
+    rows = spark.range(500, numPartitions=9).select("id", F.lit(4).alias("__per_part"), (F.col("id") % 3).alias("__hash"), F.lit(1).alias("__bytes"))
+    counts = sharding._dealt(rows, 2).groupBy("__hash", "part").count().collect()
+    full = {(h, p): 4 for h, n in ((0, 167), (1, 167), (2, 166)) for p in range(n // 4)}
+    assert {(r["__hash"], r["part"]): r["count"] for r in counts} == full | {(0, 41): 3, (1, 41): 3, (2, 41): 2}
+
+
 def test_licence_rules(spark):
     s = licenses.SENTENCES
     mit = f"{s['mit-name']}\n{s['mit-grant']} {s['mit-include']}"
