@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from areaqual.llm.common import only, ship
 
-GAP, OTHER = 0, 1  # anything but letters; letters without a symbol of their own
+GAP, OTHER = 0, 1  # anything but letters; letters that no sample has
 UNKNOWN = "und"
 ship(__name__)
 
@@ -31,8 +31,11 @@ class Phrases:
 
     languages: list[str]
     symbols: np.ndarray  # symbol of each code point
-    width: int  # symbols in the alphabet
+    width: int  # symbols with a column in steps; the others are rare
     steps: np.ndarray  # [state * width + symbol] -> next state * width << 2 | phrases that end
+    rare_at: np.ndarray  # sorted: state * width * rare symbols + symbol - width
+    rare_to: np.ndarray  # next state * width << 2, for each of rare_at
+    rare_start: np.ndarray  # [language, symbol - width] -> the same from the root, or -1
     roots: np.ndarray
     bits: np.ndarray  # of a phrase, for each language
 
@@ -44,8 +47,8 @@ def learn_languages(
 
     ``usable`` marks the rows that may be learned from; rows without lang or text are not. At most
     ``rows_per_language`` rows of a language reach the driver, of each no more than ``symbols_per_language``
-    characters, and so many symbols in all enter its automaton. The ``max_letters`` most frequent letters of the
-    sample have symbols of their own.
+    characters, and so many symbols in all enter its automaton. Every letter of the samples has a symbol of its own;
+    those of the ``max_letters`` most frequent ones are looked up in a table, the others by search.
     """
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -63,30 +66,51 @@ def learn_languages(
 
 def automata(texts: dict[str, list[str]], most: int, max_letters: int) -> Phrases:
     """One transition table for all languages. A missing transition ends the phrase and starts the next at the root."""
-    count = Counter(c for parts in texts.values() for part in parts for c in part.lower() if c.isalpha())
-    letters = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:max_letters]]
-    symbols, width = symbol_table(letters), len(letters) + 2
+    count: Counter[str] = Counter()
+    for parts in texts.values():
+        for part in parts:
+            for c, n in Counter(part).items():
+                if c.isalpha():
+                    count[small(c)] += n
+    letters = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))]
+    symbols, width, rare = symbol_table(letters), min(len(letters), max_letters) + 2, max(len(letters) - max_letters, 0)
     languages, tables, bits, base = sorted(texts), [], [], 0
     roots = np.zeros(len(languages), np.int64)
+    rare_at, rare_to, rare_start = [], [], np.full((len(languages), rare), -1, np.int64)
     for k, name in enumerate(languages):
         sequence = np.concatenate([symbols_of(p, symbols) for p in texts[name]] or [np.zeros(0, np.uint8)])[:most]
-        table = dense(suffix_automaton(sequence.tolist()), width)
+        go = suffix_automaton(sequence.tolist())
+        table = dense(go, width)
         roots[k] = base * width
         tables.append(followed(table, base, width))
         bits.append(np.log2(len(sequence) + 2))
+        for state, to in enumerate(go):
+            for symbol, then in to.items():
+                if symbol >= width:
+                    rare_at.append((state + base) * width * rare + symbol - width)
+                    rare_to.append((then + base) * width << 2)
+                    if not state:
+                        rare_start[k, symbol - width] = rare_to[-1]
         base += len(table)
     steps = np.concatenate(tables) if tables else np.zeros(0, np.int64)
-    return Phrases(languages, symbols, width, steps.astype(np.int32), roots, np.array(bits))
+    order = np.argsort(np.array(rare_at, np.int64))
+    found = np.array(rare_at, np.int64)[order], np.array(rare_to, np.int32)[order], rare_start.astype(np.int32)
+    return Phrases(languages, symbols, width, steps.astype(np.int32), *found, roots, np.array(bits))
+
+
+def small(c: str) -> str:
+    """One small letter for each letter, whatever stands beside it."""
+    return c.lower()[0]
 
 
 def symbol_table(letters: list[str]) -> np.ndarray:
     """The symbol of every code point; capitals share that of their small letter."""
     own = {c: k + 2 for k, c in enumerate(letters)}
-    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    table = np.zeros(sys.maxunicode + 1, np.min_scalar_type(len(letters) + 1))
     for point in range(sys.maxunicode + 1):
         c = chr(point)
         if c.isalpha():
-            table[point] = own.get(c.lower(), OTHER)
+            table[point] = own.get(small(c), OTHER)
     return table
 
 
@@ -130,8 +154,9 @@ def suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:
 def dense(go: list[dict[int, int]], width: int) -> np.ndarray:
     table = np.full((len(go), width), -1, np.int64)
     for state, to in enumerate(go):
-        if to:
-            table[state, list(to)] = list(to.values())
+        for symbol, then in to.items():
+            if symbol < width:
+                table[state, symbol] = then
     return table
 
 
@@ -144,6 +169,19 @@ def followed(table: np.ndarray, base: int, width: int) -> np.ndarray:
     return (((to + base) * width) << 2 | ends).ravel()
 
 
+def follow_rare(to: np.ndarray, state: np.ndarray, symbol: np.ndarray, model: Phrases) -> None:
+    """Put into ``to`` where the rare symbols lead; it holds what holds for languages that lack them."""
+    places = np.flatnonzero(symbol >= model.width)
+    if not len(places):
+        return
+    column = symbol[places].astype(np.int64) - model.width
+    language, k = np.nonzero(model.rare_start[:, column] >= 0)
+    key = state[language, places[k]].astype(np.int64) * model.rare_start.shape[1] + column[k]
+    at = np.minimum(np.searchsorted(model.rare_at, key), len(model.rare_at) - 1)
+    start = model.rare_start[language, column[k]]
+    to[language, places[k]] = np.where(model.rare_at[at] == key, model.rare_to[at], start | 1)
+
+
 def phrase_counts(
     texts: list[str], model: Phrases, window: int, longest: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,6 +189,8 @@ def phrase_counts(
     parts = [symbols_of(t, model.symbols) for t in texts]
     lengths = np.array([len(p) for p in parts], np.int64)
     stream = np.concatenate(parts)
+    rare = bool(len(model.rare_at)) and bool((stream >= model.width).any())
+    columns = np.where(stream < model.width, stream, OTHER) if rare else stream
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     pieces = -(-lengths // window)
     owner = np.repeat(np.arange(len(texts)), pieces)
@@ -166,8 +206,10 @@ def phrase_counts(
     live = np.searchsorted(-size, -np.arange(window), side="left")  # pieces longer than t
     for t in range(int(size[0]) if len(size) else 0):
         k = live[t]
-        at = state[:, :k] + stream[start[:k] + t].astype(np.int32)
+        at = state[:, :k] + columns[start[:k] + t].astype(np.int32)
         to = model.steps.take(at)
+        if rare:
+            follow_rare(to, state, stream[start[:k] + t], model)
         ends = to & 3
         held[:, :k] = run = np.where(ends, 0, held[:, :k]) + 1
         full = run >= longest

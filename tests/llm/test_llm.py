@@ -49,6 +49,49 @@ def test_cross_parsing_counts_phrases_like_a_plain_parser():
     assert language.phrase_counts([text], model, 4096, 12)[0][0, 0] == phrases
 
 
+def plain_phrases(text, sample, longest):
+    found, at = 0, 0
+    stretches = {tuple(sample[a : a + n]) for a in range(len(sample)) for n in range(1, longest + 1)}
+    while at < len(text):
+        n = 1
+        while n < longest and at + n < len(text) and tuple(text[at : at + n + 1]) in stretches:
+            n += 1
+        found, at = found + 1, at + n
+    return found
+
+
+SCRIPTS = {"ar": range(0x0627, 0x063B), "el": range(0x03B1, 0x03CA), "en": range(0x61, 0x7B), "ja": range(0x4E00, 0x4F00), "ru": range(0x0430, 0x0450), "zh": range(0x4E80, 0x4F80)}
+
+
+def script_text(rng, name, size):
+    words = ["".join(chr(rng.choice(SCRIPTS[name])) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    return " ".join(rng.choice(words) for _ in range(size)), " ".join(rng.choice(words) for _ in range(20)).upper()
+
+
+@pytest.mark.parametrize("letters", [0, 1, 30, 62, 5000])
+def test_every_letter_of_the_samples_counts(letters):
+    rng = random.Random(9)
+    made = {name: script_text(rng, name, 150) for name in SCRIPTS}
+    texts = [t for _, t in made.values()] + ["\u0130 ΟΔΟΣ ж 漢 한국 x", ""]
+    model = language.automata({name: [s] for name, (s, _) in made.items()}, 5000, letters)
+    coded = [language.symbols_of(t, model.symbols).tolist() for t in texts]
+    counts = language.phrase_counts(texts, model, 4096, 12)[0]
+    for k, name in enumerate(model.languages):
+        sample = language.symbols_of(made[name][0], model.symbols).tolist()
+        assert language.OTHER not in sample
+        assert counts[k].tolist() == [plain_phrases(t, sample, 12) for t in coded]
+
+
+def test_languages_of_many_scripts(spark):
+    rng = random.Random(9)
+    made = {name: script_text(rng, name, 900) for name in SCRIPTS}
+    rows = [(k, s, name) for k, (name, (s, _)) in enumerate(made.items())] + [(100 + k, t, name) for k, (name, (_, t)) in enumerate(made.items())]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn_languages(table, F.col("doc_id") < 100)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify_language(table, model).collect()}
+    assert got == {k: name for k, _, name in rows}
+
+
 def test_language_of_awkward_texts(spark):
     model = language.automata({"en": ["the house and the tree"], "de": ["das haus und der baum"]}, 1000, 62)
     got = language.identify_language(docs(spark, ["the tree", "der Baum", *AWKWARD]), model, window=64).collect()
