@@ -9,6 +9,7 @@ range. Every hit is verified by its cosine, and the share of links found is meas
 from __future__ import annotations
 
 import heapq
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -269,7 +270,12 @@ def _found(classes: DataFrame, s: Settings) -> DataFrame:
 
 
 def _audit(classes: DataFrame, counts: DataFrame, s: Settings) -> float:
-    """The share of the links of a bounded, hashed sample that were found; all vectors are compared with it."""
+    """The share of the links of a bounded, hashed sample that were found; all vectors are compared with it.
+
+    It is taken in three ways, of which the least counts: over all links, as the mean over the vectors that have links,
+    and as that mean with each vector weighted by one over the size of its group. So a large group, which has nearly all
+    links and many vectors, does not hide that the links of small ones are missed.
+    """
     sample = classes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(s.audit_rows).select("group", "node", "unit").collect()
     groups: dict[str, tuple] = {}
     for group in sorted({r["group"] for r in sample}):
@@ -286,9 +292,10 @@ def _audit(classes: DataFrame, counts: DataFrame, s: Settings) -> float:
                     yield pd.DataFrame({"node": asked, "real": hit @ part["copies"].to_numpy(np.int64)})
 
     real = classes.select("group", "node", "copies", "unit").mapInPandas(run, "node long, real long")
-    both = real.groupBy("node").agg(F.sum("real").alias("real")).join(counts, "node")
-    real, found = both.agg(F.sum("real"), F.sum(F.least("found", "real"))).first()
-    return found / real if real else 1.0
+    both = real.groupBy("node").agg(F.sum("real").alias("real")).join(counts, "node", "left").filter("real > 0")
+    share = F.least(F.coalesce("found", F.lit(0)), "real") / F.col("real")
+    ways = [F.sum(share * w) / F.sum(w) for w in (F.col("real"), F.lit(1), 1 / (F.col("real") + 1))]
+    return min((x for x in both.agg(*ways).first() if x is not None), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -298,7 +305,8 @@ def near_duplicates(vectors: DataFrame, settings: Settings | None = None) -> Dat
     one node with a count, so copies are linked without being paired. Vectors that are null, zero or hold a null or
     non-finite component, and rows without a label, link with nothing; rows without an id do neither and have a null
     component and kept false. Rows with the same id are one node. If the audit finds too few links, the search is made
-    wider, in the end as wide as a shard with every cluster overlapping. An empty table gives an empty result.
+    wider, in the end as wide as a shard with every cluster overlapping; if that finds too few as well, a warning says
+    so, and audit_recall is below what is wanted. An empty table gives an empty result.
     """
     s = settings or Settings()
     classes = stored(_classes(vectors), "classes")
@@ -310,6 +318,8 @@ def near_duplicates(vectors: DataFrame, settings: Settings | None = None) -> Dat
         recall = _audit(classes, counts, tried)
         if recall >= s.recall:
             break
+    else:
+        warnings.warn(f"the widest search has a recall of {recall:.3f}, {s.recall} is wanted", stacklevel=2)
     reached = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of_class = (
         classes.select("label", "embedding", "node", "copies").join(counts, "node", "left").join(reached, "node", "left")

@@ -159,6 +159,41 @@ def test_embedding_links_match_brute_force(spark):
     assert embedding_dups.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def skewed_vectors():
+    """One large group of near-copies, and pairs."""
+    rng = np.random.default_rng(7)
+    pairs = np.repeat(rng.normal(size=(120, 16)), 2, 0)
+    pairs[1::2] += 0.02 * rng.normal(size=(120, 16))
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 200, 0) + 0.01 * rng.normal(size=(200, 16)), pairs])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    return [(k, v.tolist(), 1, "") for k, v in enumerate(x)], (unit @ unit.T >= 0.98).sum(1) - 1
+
+
+@pytest.mark.parametrize("hot, pairs, least, most", [(1.0, 0.0, 0.0, 0.05), (1.0, 1.0, 1.0, 1.0), (0.5, 1.0, 0.4, 0.6), (1.0, 0.75, 0.7, 0.8)])
+def test_audit_sees_small_groups(spark, hot, pairs, least, most):
+    rows, real = skewed_vectors()
+    classes = embedding_dups._classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string"))
+    share = [hot if k < 200 else float((k - 200) // 2 % 4 < 4 * pairs) for k in range(len(rows))]
+    counts = spark.createDataFrame([(k, int(real[k] * share[k])) for k in range(len(rows))], "node long, found long")
+    assert least <= embedding_dups._audit(classes, counts, embedding_dups.Settings()) <= most
+
+
+def test_links_over_several_clusters_and_shards(spark):
+    rows, real = skewed_vectors()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, kept string")
+    got = embedding_dups.near_duplicates(table, embedding_dups.Settings(cluster_rows=40, shard_rows=30)).collect()
+    found = np.array([r["n_links"] for r in sorted(got)])
+    assert (found <= real).all() and (found / real)[:200].mean() >= 0.9 and (found / real)[200:].mean() >= 0.9
+    assert all(r["audit_recall"] >= 0.9 for r in got)
+
+
+def test_too_small_a_recall_is_told(spark):
+    rows, _ = skewed_vectors()
+    table = spark.createDataFrame(rows[:30], "vec_id long, embedding array<double>, label int, kept string")
+    with pytest.warns(UserWarning, match="widest search has a recall"):
+        embedding_dups.near_duplicates(table, embedding_dups.Settings(recall=1.1))
+
+
 @pytest.mark.parametrize("shard, block, leaf", [(8192, 2048, 256), (40, 5, 7)])
 def test_top_k_matches_brute_force(spark, shard, block, leaf):
     rng = np.random.default_rng(5)
