@@ -105,28 +105,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
     keep it and take the component of their fingerprint, null if no row of it has an id. Repeated rows stay repeated.
     An empty table gives an empty result.
     """
+    return _grouped(docs, shingle, max_bits).select("doc_id", "fingerprint", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """``near_duplicates`` with fp and component, which tells groups apart that have the same smallest id."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     pairs = links(classes.select("fp"), max_bits)
     reached = connected_components(pairs)
     linked = reached.join(classes.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    moved = reached.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    whole = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    moved = reached.join(least, "component").select(F.col("node").alias("fp"), "component", "component_id")
+    whole = classes.join(moved, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id")
+    )
     named = prints.join(whole, "fp")
-    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """The rows of ``docs``, unchanged, of the document that stands for its group: the one with the smallest id.
 
-    Rows that repeat that id stay once. Rows with a null id stay only in a group without any id, once for each
+    Rows that repeat that id and fingerprint stay once; where rows of other fingerprints share the id, the one with the
+    smallest fingerprint stays in each group that the id stands for, and none in other groups. Rows with a null id stay only in a group without any id, once for each
     fingerprint.
     """
-    named = near_duplicates(docs, shingle, max_bits)
+    named = stored(_grouped(docs, shingle, max_bits), "grouped")
     chosen = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = chosen.filter("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+    first = chosen.filter("doc_id is not null").groupBy("doc_id", "component").agg(F.min("fp").alias("__fp"))
+    shared = named.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("shared"))
+    first = first.join(shared, "doc_id").select(F.col("doc_id").alias("__id"), "__fp", "shared")
+    same = F.col("doc_id").cast("long") == F.col("__id")
+    alike = first.filter("not shared").select("__id")
+    kept = docs.join(alike, same).drop("__id").dropDuplicates(["doc_id"])
+    mixed = first.filter("shared").drop("shared")
+    if not mixed.isEmpty():
+        rows = docs.join(mixed.select("__id").distinct(), same).withColumn("__row", F.monotonically_increasing_id())
+        rows = stored(rows, "shared")
+        prints = fingerprints(rows.select(F.col("__row").alias("doc_id"), "text"), shingle).toDF("__row", "__fp")
+        apart = rows.join(prints, "__row").join(mixed, ["__id", "__fp"]).dropDuplicates(["__id", "__fp"])
+        kept = kept.unionByName(apart.select(*docs.columns))
     bare = docs.filter(F.col("doc_id").isNull())
     if bare.isEmpty():
         return kept

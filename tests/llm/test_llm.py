@@ -139,6 +139,17 @@ def test_simhash_finds_every_link(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_stay_in_each_group(spark):
+    text = lambda seed: " ".join(f"w{random.Random(seed).randrange(10**6) + k * 7919 * seed}" for k in range(60))
+    rows = [(7, text(1)), (7, text(2)), (7, text(2)), (7, None), (50, text(1))]
+    want = [(7, text(1)), (7, text(2)), (7, None)]
+    for k in range(10):  # the first text of these ids is in the group of a smaller one
+        rows += [(20 + k, text(200 + k)), (20 + k, text(100 + k)), (8 + k, text(200 + k))]
+        want += [(20 + k, text(100 + k)), (8 + k, text(200 + k))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, kept string")
 
