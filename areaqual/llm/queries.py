@@ -7,10 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaqual.llm import embedding_dups, language, licenses, line_dedup, mixing, sentencepiece_codec, sharding, simhash, topk, toxicity
+from areaqual.llm import alignment, embedding_dups, language, lexical, licenses, line_dedup, mixing, order_minhash, sentencepiece_codec
+from areaqual.llm import sharding, simhash, topk, toxicity
 from areaqual.llm.common import remainder
 
 TOKENIZER = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+BYTE_TOKENIZER = os.environ.get("BYTE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
 SHARD_BYTES = 1 << 20
 MIN_WORDS = 5
 
@@ -70,6 +72,18 @@ def op10_sentencepiece(spark, d):
     return sentencepiece_codec.encode(table(spark, d, "documents"), TOKENIZER)
 
 
+def op11_order_minhash(spark, d):
+    return order_minhash.edit_likeness(table(spark, d, "documents"))
+
+
+def op12_token_alignment(spark, d):
+    return alignment.alignment_counts(table(spark, d, "documents"), BYTE_TOKENIZER, TOKENIZER)
+
+
+def op13_lexical_search(spark, d):
+    return lexical.ranked_search(table(spark, d, "documents"), table(spark, d, "benchmark"), k=10)
+
+
 def pipeline(spark, d):
     import corpus_pipeline
 
@@ -80,7 +94,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_embedding_near_dedup, op3_simhash_near_dedup, op4_exact_top_k, op5_line_dedup, op6_source_mix,
-        op7_toxicity, op8_extendible_shards, op9_licence_scan, op10_sentencepiece, pipeline,
+        op7_toxicity, op8_extendible_shards, op9_licence_scan, op10_sentencepiece, op11_order_minhash, op12_token_alignment,
+        op13_lexical_search, pipeline,
     )
 }
 
@@ -112,4 +127,30 @@ WITH r AS (
 SELECT doc_id, CAST(depth AS INTEGER) AS depth, CAST(prefix AS BIGINT) AS prefix, CAST(0 AS BIGINT) AS part,
   CAST(bytes AS BIGINT) AS bytes, CAST(shard_bytes AS BIGINT) AS shard_bytes, CAST(shard_docs AS BIGINT) AS shard_docs
 FROM f WHERE k = 1""",
+    "op13_lexical_search": r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), n AS (
+  SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n
+), m AS (
+  SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM n, s
+), q AS (
+  SELECT item_id, term, count(*) AS qtf FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY ALL
+), p AS (
+  SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * CAST(docs AS DOUBLE) + 2) / (2 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS w
+  FROM p, s GROUP BY term, docs
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10""",
 }
