@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from areaqual.llm.common import col, only, ship, stored
+from areaqual.llm.common import only, ship, stored
 
 #: A term is a run of ASCII letters, digits and anything beyond ASCII; only A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,35 +44,62 @@ class Index:
     n_terms: int
 
 
-def normaliser(n: Column, n_docs: int, n_terms: int) -> Column:
-    """m of a document with ``n`` terms: 25 and 75 hundredths of its length beside the mean one, rounded down."""
-    whole = F.call_function("div", n.cast("decimal(38,0)") * (75 * n_docs), F.lit(max(n_terms, 1)).cast("decimal(38,0)"))
-    return whole.cast("long") + 25
-
-
-def build_index(docs: DataFrame, block_terms: int = 1 << 20) -> Index:
+def build_index(docs: DataFrame, block_terms: int = 1 << 20, deal_terms: int = 1 << 16) -> Index:
     """The index of the whole texts of ``docs``, stored.
 
     Documents without a term (null or empty texts too) are in no list. A block holds about ``block_terms`` terms, or one
-    document that is longer; large strata are dealt to several blocks by a hash of id and text, small ones share a block.
-    Repeated rows are documents of their own, with the same id; a null id is kept.
+    document that is longer. Strata are dealt to tasks in parts of about ``deal_terms``, by a hash of the document, and a
+    task gathers the parts it gets in blocks, so small strata share one. Repeated rows are documents of their own, with the
+    same id; a null id is kept.
     """
-    sized = only(docs, "doc_id", "text").withColumn("n", F.regexp_count("text", F.lit(TERM)).cast("long")).filter("n > 0")
-    lengths = stored(sized.groupBy("n").agg(F.count(F.lit(1)).alias("docs")), "lengths")
+    rows = only(docs, "doc_id", "text").select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    counted = rows.select("text").mapInArrow(_lengths, "n long, docs long")
+    lengths = stored(counted.groupBy("n").agg(F.sum("docs").alias("docs")), "lengths")
     total = lengths.agg(F.sum("docs").alias("docs"), F.sum(F.col("n") * F.col("docs")).alias("terms")).first()
     n_docs, n_terms = int(total["docs"] or 0), int(total["terms"] or 0)
-    m = normaliser(F.col("n"), n_docs, n_terms)
-    by_m = lengths.groupBy(m.alias("m")).agg(F.ceil(F.sum(F.col("n") * F.col("docs")) / block_terms).alias("blocks"))
-    dealt = sized.withColumn("m", m).join(stored(by_m, "strata-sizes"), "m")
-    deal = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.col("blocks"))
-    spread = dealt.withColumn("deal", deal).select("doc_id", "text", "m", "deal")
-    rows = spread.repartition("m", "deal").sortWithinPartitions("m", "deal")
-    made = stored(rows.mapInArrow(_indexer(block_terms), _MADE), "lexical-index")
+    found = rows.mapInArrow(_tokens(n_docs, n_terms), "doc_id long, m long, n long, terms binary, tfs binary")
+    m = F.lit(25) + F.expr(f"cast(cast(n as decimal(20, 0)) * {75 * n_docs}BD div {max(n_terms, 1)}BD as long)")
+    parts = F.ceil(F.sum(F.col("n") * F.col("docs")) / deal_terms).alias("parts")
+    by_m = stored(lengths.groupBy(m.alias("m")).agg(parts), "strata-sizes")
+    deal = F.pmod(F.xxhash64("doc_id", "terms", "tfs", F.spark_partition_id()), F.col("parts"))
+    dealt = found.join(by_m, "m").withColumn("deal", deal).select("doc_id", "m", "n", "terms", "tfs", "deal")
+    ordered = dealt.repartition("m", "deal").sortWithinPartitions("m", "deal").drop("deal")
+    made = stored(ordered.mapInArrow(_indexer(block_terms), _MADE), "lexical-index")
     strata = made.filter("term is null").select("block", "doc_id", "m")
     postings = made.filter("term is not null").select("block", "term", "df", "places", "tfs")
     return Index(strata, postings, n_docs, n_terms)
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents have how many terms, of those that have any."""
+    held: Counter[int] = Counter()
+    for batch in batches:
+        held.update(len(terms_of(batch.column(0)[at].as_py())) for at in range(batch.num_rows))
+    held.pop(0, None)
+    columns = [pa.array(list(x), pa.int64()) for x in (held.keys(), held.values())]
+    yield pa.RecordBatch.from_arrays(columns, names=["n", "docs"])
+
+
+def _tokens(n_docs: int, n_terms: int):
+    """Of documents with a term: m (25, and 75 times the length beside the mean one, rounded down), the number of terms,
+    the different terms, joined by spaces, and their tfs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at in range(batch.num_rows):
+                terms = terms_of(batch.column(0)[at].as_py())
+                if terms:
+                    held = Counter(terms)
+                    tfs = np.fromiter(held.values(), np.int32, len(held)).tobytes()
+                    rows.append((batch.column(1)[at].as_py(), 25 + 75 * len(terms) * n_docs // n_terms, len(terms), b" ".join(held), tfs))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "m", "n", "terms", "tfs"])
+
+    return run
+
+
 _MADE = "block long, term string, df int, doc_id array<long>, m array<long>, places array<int>, tfs array<int>"
 
 
@@ -83,7 +110,7 @@ def _indexer(block_terms: int):
         block, held = TaskContext.get().partitionId() << 33, _Block()
         for batch in batches:
             for at in range(batch.num_rows):
-                held.add(batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), batch.column(2)[at].as_py())
+                held.add(*(batch.column(c)[at].as_py() for c in ("doc_id", "m", "n", "terms", "tfs")))
                 if held.size >= block_terms:
                     yield held.rows(block)
                     block, held = block + 1, _Block()
@@ -99,16 +126,15 @@ class _Block:
     def __init__(self) -> None:
         self.ids, self.m, self.size = [], [], 0
         self.names: dict[bytes, int] = {}
-        self.found, self.tfs, self.counts = [], [], []
+        self.found, self.tfs = [], []
 
-    def add(self, doc_id: int | None, text: str, m: int) -> None:
-        held = Counter(terms_of(text))
-        names = self.names
+    def add(self, doc_id: int | None, m: int, n: int, terms: bytes, tfs: bytes) -> None:
+        names, held = self.names, terms.split(b" ")
         self.found.append(np.fromiter((names.setdefault(t, len(names)) for t in held), np.int64, len(held)))
-        self.tfs.append(np.fromiter(held.values(), np.int32, len(held)))
+        self.tfs.append(np.frombuffer(tfs, np.int32))
         self.ids.append(doc_id)
         self.m.append(m)
-        self.size += int(self.tfs[-1].sum())
+        self.size += n
 
     def rows(self, block: int) -> pa.RecordBatch:
         """A row for the documents, without a term, then one for each term."""
@@ -150,23 +176,28 @@ def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 class Shard:
     """A block of the index in memory, for the terms that are asked for."""
 
-    def __init__(self, ids: np.ndarray, m: np.ndarray, terms: list[str], places: list[np.ndarray], tfs: list[np.ndarray]):
+    def __init__(self, ids: list, m: np.ndarray, terms: list[str], upto: np.ndarray, places: np.ndarray, tfs: np.ndarray):
+        """``places`` and ``tfs`` of all terms one after the other, ``upto`` where each term's begin and the last ones end.
+
+        An impact is computed once for each stratum and tf. Per list: its places, their impacts, the strata that hold the
+        term, where the places of each begin, and the highest impact in each.
+        """
         self.ids, self.starts = ids, np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
         self.m = m[self.starts]
         self.ends = np.concatenate([self.starts[1:], [len(ids)]])
-        self.stratum = np.repeat(np.arange(len(self.m)), self.ends - self.starts)
-        self.lists = {t: self._by_stratum(p, f.astype(np.int64)) for t, p, f in zip(terms, places, tfs)}
-
-    def _by_stratum(self, places: np.ndarray, tfs: np.ndarray):
-        """places; the impact of each, computed once for each stratum and tf; the strata that hold the term, where their
-        places begin, and the highest impact there."""
-        stratum = self.stratum[places]
-        wide = int(tfs.max()) + 1
+        stratum = np.repeat(np.arange(len(self.m)), self.ends - self.starts)[places]
+        wide = int(tfs.max(initial=0)) + 1
         pairs, which = np.unique(stratum * wide + tfs, return_inverse=True)
-        once = impact(pairs % wide, self.m[pairs // wide])
-        begin = np.flatnonzero(np.concatenate([[True], stratum[1:] != stratum[:-1]]))
-        values = once[which]
-        return places, values, stratum[begin], np.append(begin, len(places)), np.maximum.reduceat(values, begin)
+        values = impact(pairs % wide, self.m[pairs // wide])[which]
+        new = np.concatenate([[True], stratum[1:] != stratum[:-1]])[: len(stratum)]
+        new[upto[:-1]] = True
+        runs = np.flatnonzero(new)
+        highest, of_run = np.maximum.reduceat(values, runs), stratum[runs]
+        at = np.searchsorted(runs, upto)
+        self.lists = {
+            t: (places[s:e], values[s:e], of_run[i:j], np.append(runs[i:j], e) - s, highest[i:j])
+            for t, s, e, i, j in zip(terms, upto[:-1].tolist(), upto[1:].tolist(), at[:-1].tolist(), at[1:].tolist())
+        }
 
     def better(self, query: list[tuple[str, int]], k: int, found: list) -> list:
         """The ``k`` best of those found before, as (-score, id is null, id), and of the documents here, in order."""
@@ -244,8 +275,10 @@ def _search_part(index: Index, asked: DataFrame, k: int) -> DataFrame:
             for at in range(batch.num_rows):
                 ids, m = batch.column(0)[at].as_py(), np.array(batch.column(1)[at].values)
                 lists = batch.column(2).slice(at, 1).flatten()
-                places, tfs = ([np.array(x.values) for x in lists.field(n)] for n in ("places", "tfs"))
-                shard = Shard(ids, m, lists.field("term").to_pylist(), places, tfs)
+                places, tfs = (lists.field(n) for n in ("places", "tfs"))
+                upto = np.array(places.offsets) - places.offsets[0].as_py()
+                flat = [x.flatten().to_numpy().astype(np.int64) for x in (places, tfs)]
+                shard = Shard(ids, m, lists.field("term").to_pylist(), upto, *flat)
                 for item, query in held.value.items():  # what the blocks before gave bounds this one's visits
                     best[item] = shard.better(query, k, best.get(item, []))
         rows = [(item, None if none else i, -s) for item, found in best.items() for s, none, i in found]

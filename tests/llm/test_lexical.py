@@ -59,7 +59,7 @@ def test_search_is_that_of_a_plain_scorer(spark, block_terms, k):
     items = [(x, " ".join(rng.choices(words, k=rng.randrange(1, 12)))) for x in range(15)]
     items += [(90, None), (91, ""), (92, "unknown words"), (93, "w1 w1 w1 w2"), (None, "w5")]
     d, q = tables(spark, docs, items)
-    got = lexical.search(lexical.build_index(d.repartition(5), block_terms), q, k)
+    got = lexical.search(lexical.build_index(d.repartition(5), block_terms, block_terms), q, k)
     assert got.columns == ["item_id", "rank", "doc_id", "score"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(plain(docs, items, k), key=str)
 
@@ -74,7 +74,7 @@ def test_queries_in_parts_give_the_same(spark):
 
 def test_a_bound_ends_the_visits_and_an_impact_is_computed_once():
     m = np.repeat([30, 60, 90, 400, 800], 50)
-    shard = lexical.Shard(list(range(250)), m, ["a"], [np.arange(250)], [np.ones(250, np.int64)])
+    shard = lexical.Shard(list(range(250)), m, ["a"], np.array([0, 250]), np.arange(250), np.ones(250, np.int64))
     visited = []
     visit = shard._visit
     shard._visit = lambda at, *rest: visited.extend(at.tolist()) or visit(at, *rest)
@@ -87,9 +87,9 @@ def test_a_bound_ends_the_visits_and_an_impact_is_computed_once():
 def test_documents_of_one_length_are_dealt_to_blocks(spark):
     docs = [(x, f"t{x} u{x % 3} v") for x in range(3000)]
     d, q = tables(spark, docs, [(1, "t17 u2"), (2, "v")])
-    index = lexical.build_index(d.repartition(8), block_terms=300)
+    index = lexical.build_index(d.repartition(8), 300, 100)
     sizes = [len(r["doc_id"]) for r in index.strata.collect()]
-    assert sum(sizes) == 3000 and max(sizes) <= 101
+    assert sum(sizes) == 3000 and max(sizes) <= 134
     assert sorted(map(tuple, lexical.search(index, q, 3).collect())) == sorted(plain(docs, [(1, "t17 u2"), (2, "v")], 3))
 
 
