@@ -33,9 +33,10 @@ class Sketch:
     seed: int = 42
 
     def orders(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two numbers for each part: x -> (x ^ first) * second, the second one odd, puts mixed 64-bit hashes in an order."""
+        """Two numbers for each part: x -> (x ^ first) * second, the second one odd, puts mixed 32-bit hashes in an order."""
         drawn = mixed(np.arange(1, 2 * self.count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed))
-        return drawn[: self.count], drawn[self.count :] | np.uint64(1)
+        drawn = (drawn >> np.uint64(32)).astype(np.uint32)
+        return drawn[: self.count], drawn[self.count :] | np.uint32(1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,30 +64,40 @@ def kmer_hashes(points: np.ndarray, k: int) -> np.ndarray:
 
 def occurrences(hashes: np.ndarray) -> np.ndarray:
     """How often the same hash stands before each place."""
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    places = np.arange(len(ranked))
-    out = np.empty(len(ranked), np.uint64)
-    out[order] = places - np.maximum.accumulate(np.where(new, places, 0))
+    n, bits = len(hashes), np.uint64(16)
+    if n <= 1 << 16:  # hash and place in one number are sorted faster; 48 bits tell so few apart
+        ranked = np.sort(hashes >> bits << bits | np.arange(n, dtype=np.uint64))
+        order, ranked = (ranked & np.uint64((1 << 16) - 1)).astype(np.int64), ranked >> bits
+    else:
+        order = np.argsort(hashes, kind="stable")
+        ranked = hashes[order]
+    out = np.zeros(n, np.uint64)
+    again = np.flatnonzero(ranked[1:] == ranked[:-1]) + 1
+    if len(again):
+        new = np.ones(n, bool)
+        new[again] = False
+        places = np.arange(n)
+        out[order] = places - np.maximum.accumulate(np.where(new, places, 0))
     return out
 
 
-def order_minhash(points: np.ndarray, sketch: Sketch, at_once: int = 1 << 16) -> np.ndarray:
-    """The parts of the fingerprint of some code points; without any, all parts are alike."""
+def order_minhash(points: np.ndarray, sketch: Sketch, at_once: int = 1 << 16, orders: tuple | None = None) -> np.ndarray:
+    """The parts of the fingerprint of some code points; without any, all parts are alike. ``orders`` of the sketch may be
+    given, to make them once. Between k-mers that an order makes equal, the first one in the text counts as less."""
     hashes = kmer_hashes(points, sketch.k)
     n, chosen = len(hashes), min(sketch.chosen, len(hashes))
     if not n:
         return np.zeros(sketch.count, np.uint16)
     numbered = mixed(hashes + occurrences(hashes) * np.uint64(0x9E3779B97F4A7C15))
-    first, second = sketch.orders()
+    numbered = (numbered >> np.uint64(32)).astype(np.uint32)
+    first, second = orders or sketch.orders()
     rows, found = max(1, at_once // n), []
     for at in range(0, sketch.count, rows):  # bounds what a very long text needs
         order = (numbered ^ first[at : at + rows, None]) * second[at : at + rows, None]
         line, least = np.arange(len(order)), []
         for _ in range(chosen):
             least.append(order.argmin(axis=1))
-            order[line, least[-1]] = np.iinfo(np.uint64).max
+            order[line, least[-1]] = np.iinfo(np.uint32).max
         found.append(np.sort(np.stack(least, axis=1), axis=1))
     in_text = hashes[np.concatenate(found)]
     parts = np.zeros(sketch.count, np.uint64)
@@ -123,12 +134,13 @@ def fingerprints(docs: DataFrame, sketch: Sketch = Sketch(), text: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = sketch.orders()
         for batch in batches:
             sizes, prints = [], []
             for at in range(batch.num_rows):
                 points = code_points(batch.column(0)[at].as_py() or "")
                 sizes.append(len(points))
-                prints.append(spelled(order_minhash(points, sketch)).hex())
+                prints.append(spelled(order_minhash(points, sketch, orders=orders)).hex())
             rest = [batch.column(k + 1) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(sizes, pa.int64()), pa.array(prints, pa.string())], names=[*keep, "n_chars", "fingerprint"])
 
@@ -146,14 +158,14 @@ def edited(points: np.ndarray, following: np.ndarray) -> np.ndarray:
 class _Row:
     """A text on its way through ``edit_likeness``."""
 
-    def __init__(self, doc_id: int | None, text: str | None, sketch: Sketch) -> None:
-        self.doc_id, self.text = doc_id, text or ""
+    def __init__(self, doc_id: int | None, text: str | None, sketch: Sketch, orders: tuple) -> None:
+        self.doc_id, self.text, self.sketch, self.orders = doc_id, text or "", sketch, orders
         self.points = code_points(self.text)
-        self.parts = order_minhash(self.points, sketch)
+        self.parts = order_minhash(self.points, sketch, orders=orders)
 
-    def beside(self, following: _Row, sketch: Sketch) -> dict:
+    def beside(self, following: _Row) -> dict:
         changed = edited(self.points, following.points)
-        parts = order_minhash(changed, sketch)
+        parts = order_minhash(changed, self.sketch, orders=self.orders)
         digest = hashlib.sha256(changed.tobytes().decode("utf-32-le").encode()).digest()
         return {
             "doc_id": self.doc_id, "n_chars": len(self.points), "sha256": digest, "print": spelled(self.parts),
@@ -189,7 +201,7 @@ def edit_likeness(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, before = TaskContext.get().partitionId(), None
+        part, before, orders = TaskContext.get().partitionId(), None, sketch.orders()
 
         def mark(role: int, row: _Row) -> dict:
             return {"role": role, "part": part, "text": row.text, "doc_id": row.doc_id}
@@ -197,8 +209,8 @@ def edit_likeness(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
         for batch in batches:
             found = []
             for at in range(batch.num_rows):
-                row = _Row(batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), sketch)
-                found.append({"role": _INNER} | before.beside(row, sketch) if before else mark(_FIRST, row))
+                row = _Row(batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), sketch, orders)
+                found.append({"role": _INNER} | before.beside(row) if before else mark(_FIRST, row))
                 before = row
             yield pa.RecordBatch.from_pylist(found, schema)
         if before:
@@ -211,10 +223,12 @@ def edit_likeness(docs: DataFrame, sketch: Sketch = Sketch()) -> DataFrame:
     ends = walked.filter(F.col("role") == _LAST).select("part", "doc_id", "text").join(pairs, "part").join(first, "following")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = sketch.orders()
         for batch in batches:
             for at in range(batch.num_rows):
                 doc_id, text, following = (batch.column(k)[at].as_py() for k in range(3))
-                yield pa.RecordBatch.from_pylist([_Row(doc_id, text, sketch).beside(_Row(None, following, sketch), sketch)], _FIELDS)
+                after = _Row(None, following, sketch, orders)
+                yield pa.RecordBatch.from_pylist([_Row(doc_id, text, sketch, orders).beside(after)], _FIELDS)
 
     closed = ends.select("doc_id", "text", "next_text").mapInArrow(close, _FOUND)
     whole = walked.filter(F.col("role") == _INNER).drop("role", "part", "text").unionByName(closed)

@@ -33,11 +33,11 @@ def plain(text, sketch):
 
     seen, numbered = {}, []
     for at, kmer in enumerate(kmers):
-        numbered.append((at, mix((hashed(kmer) + seen.get(kmer, 0) * 0x9E3779B97F4A7C15) & M64)))
+        numbered.append((at, mix((hashed(kmer) + seen.get(kmer, 0) * 0x9E3779B97F4A7C15) & M64) >> 32))
         seen[kmer] = seen.get(kmer, 0) + 1
     parts = []
     for a, b in zip(first, second):
-        least = sorted(numbered, key=lambda x: ((x[1] ^ a) * b & M64, x[0]))[: sketch.chosen]
+        least = sorted(numbered, key=lambda x: ((x[1] ^ a) * b & M64 >> 32, x[0]))[: sketch.chosen]
         part = 0
         for at, _ in sorted(least):
             part = mix((part * 0x100000001B3 + hashed(kmers[at])) & M64)
