@@ -15,7 +15,8 @@ import json
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import accumulate, count
+from itertools import count
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -70,14 +71,18 @@ class Encoder:
             for k, p in enumerate(pieces)
         ]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """The ids of a text, the strings of special tokens taken as plain text. A byte vocabulary gets a space first."""
         if self.kind == "piece":
-            return self._library.encode(text, num_threads=1)
+            return np.array(self._library.encode(text, num_threads=1), np.int64)
         text = " " + text
         if self._fast is not None and not LONG_BLANK.search(text):
-            return self._fast.encode_ordinary(text)
-        return self._library.encode(text, add_special_tokens=False).ids
+            return self._fast.encode_to_numpy(text).astype(np.int64)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, np.int64)
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of some ids."""
+        return b"".join(itemgetter(*ids.tolist(), 0)(self.entries)[:-1]) if len(ids) else b""
 
 
 def byte_letters() -> dict[int, str]:
@@ -115,15 +120,16 @@ class Aligned:
 def align_ends(ends_a: Sequence[int], ends_b: Sequence[int]) -> Aligned:
     """Groups and links of two ascending lists of ends; both must end at the same place, if anywhere."""
     known_a, known_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
-    shared = sorted(known_a.keys() & known_b.keys())
+    shared = [e for e in known_a if e in known_b]  # in order, as dictionaries keep the order they were filled in
     cuts_a, cuts_b = [known_a[e] for e in shared], [known_b[e] for e in shared]
     to_a, to_b = np.array([0, *cuts_a]), np.array([0, *cuts_b])
     size_a, size_b = np.diff(to_a), np.diff(to_b)
     links = size_a + size_b - 1  # no two ends inside a group are equal
     at = np.cumsum(links) - links
-    link_a, link_b = np.empty(int(links.sum()), np.int64), np.empty(int(links.sum()), np.int64)
-    link_a[at], link_b[at] = to_a[:-1], to_b[:-1]
-    for g in np.flatnonzero(links > 1).tolist():
+    step = np.arange(int(links.sum())) - np.repeat(at, links)  # a side of one token keeps it, the other goes on
+    link_a = np.repeat(to_a[:-1], links) + np.minimum(step, np.repeat(size_a - 1, links))
+    link_b = np.repeat(to_b[:-1], links) + np.minimum(step, np.repeat(size_b - 1, links))
+    for g in np.flatnonzero((size_a > 1) & (size_b > 1)).tolist():
         i, j, last_a, last_b, k = int(to_a[g]), int(to_b[g]), cuts_a[g] - 1, cuts_b[g] - 1, int(at[g])
         while i < last_a or j < last_b:
             if ends_a[i] < ends_b[j]:
@@ -135,34 +141,47 @@ def align_ends(ends_a: Sequence[int], ends_b: Sequence[int]) -> Aligned:
     return Aligned(cuts_a, cuts_b, link_a, link_b)
 
 
-def align_text(text: str | None, a: Encoder, b: Encoder) -> tuple[list[int], list[int], Aligned] | None:
+def align_text(text: str | None, a: Encoder, b: Encoder) -> tuple[np.ndarray, np.ndarray, Aligned] | None:
     """Ids and alignment of a text; nothing if it is null or empty or either side does not give its bytes back."""
     if not text:
         return None
     whole = b" " + text.encode()
     ids_a, ids_b = a.encode(text), b.encode(text)
-    if b"".join([a.entries[k] for k in ids_a]) != whole or b"".join([b.entries[k] for k in ids_b]) != whole:
+    if a.joined(ids_a) != whole or b.joined(ids_b) != whole:
         return None
-    return ids_a, ids_b, align_ends(list(accumulate(a.sizes[ids_a].tolist())), list(accumulate(b.sizes[ids_b].tolist())))
+    return ids_a, ids_b, align_ends(np.cumsum(a.sizes[ids_a]).tolist(), np.cumsum(b.sizes[ids_b]).tolist())
 
 
 class Writer:
-    """Spells groups as ``a1,a2|b1;a3|b2,b3``."""
+    """Spells groups as ``a1,a2|b1;a3|b2,b3``. Each id of a and then of b has a row of letters with a comma behind it, and,
+    further down, one with what ends its side of a group."""
 
     def __init__(self, n_a: int, n_b: int) -> None:
-        self.inner = [np.array([b"%d," % k for k in range(n)], object) for n in (n_a, n_b)]
-        self.last = [np.array([b"%d%c" % (k, c) for k in range(n)], object) for n, c in ((n_a, b"|"), (n_b, b";"))]
+        self.n_a, self.n = n_a, n_a + n_b
+        words = [b"%d%c" % (k, c) for ends in ((b",", b","), (b"|", b";")) for n, c in zip((n_a, n_b), ends) for k in range(n)]
+        self.sizes = np.array([len(w) for w in words])
+        width = int(self.sizes.max(initial=1))
+        self.letters = np.array(words, f"S{width}").view(np.uint8).reshape(-1, width)
 
-    def spell(self, ids_a: list[int], ids_b: list[int], aligned: Aligned) -> bytes:
-        parts = np.empty(len(ids_a) + len(ids_b), object)
-        a, b = np.array(ids_a), np.array(ids_b)
+    def spell(self, ids_a: np.ndarray, ids_b: np.ndarray, aligned: Aligned, at_once: int = 1 << 16) -> Iterator[bytes]:
         cuts_a, cuts_b = np.array(aligned.cuts_a), np.array(aligned.cuts_b)
         sizes_a, sizes_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
-        place_a = np.arange(len(a)) + np.repeat(cuts_b - sizes_b, sizes_a)
-        place_b = np.arange(len(b)) + np.repeat(cuts_a, sizes_b)
-        parts[place_a], parts[place_b] = self.inner[0][a], self.inner[1][b]
-        parts[place_a[cuts_a - 1]], parts[place_b[cuts_b - 1]] = self.last[0][a[cuts_a - 1]], self.last[1][b[cuts_b - 1]]
-        return b"".join(parts.tolist())[:-1]
+        place_a = np.arange(len(ids_a)) + np.repeat(cuts_b - sizes_b, sizes_a)
+        place_b = np.arange(len(ids_b)) + np.repeat(cuts_a, sizes_b)
+        rows = np.empty(len(ids_a) + len(ids_b), np.int64)
+        rows[place_a], rows[place_b] = ids_a, ids_b + self.n_a
+        rows[place_a[cuts_a - 1]] += self.n
+        rows[place_b[cuts_b - 1]] += self.n
+        for at in range(0, len(rows), at_once):
+            some = rows[at : at + at_once]
+            text = self.letters[some][np.arange(self.letters.shape[1]) < self.sizes[some, None]].tobytes()
+            yield text if at + at_once < len(rows) else text[:-1]
+
+    def digest(self, ids_a: np.ndarray, ids_b: np.ndarray, aligned: Aligned) -> str:
+        held = hashlib.sha256()
+        for text in self.spell(ids_a, ids_b, aligned):
+            held.update(text)
+        return held.hexdigest()
 
 
 def _shared(docs: DataFrame, a: str, b: str):
@@ -262,8 +281,8 @@ def _chunks(docs: DataFrame, a: str, b: str, keep: tuple[str, ...], chunk_bytes:
                 found = align_text(text, encoder_a, encoder_b)
                 if found:
                     ids_a, ids_b, aligned = found
-                    codes = np.array(ids_a)[aligned.link_a] * size_b + np.array(ids_b)[aligned.link_b]
-                    digest = hashlib.sha256(writer.spell(ids_a, ids_b, aligned)).hexdigest()
+                    codes = ids_a[aligned.link_a] * size_b + ids_b[aligned.link_b]
+                    digest = writer.digest(ids_a, ids_b, aligned)
                     held.append((len(ids_a), len(ids_b), len(aligned.cuts_a), len(codes), digest, *np.unique(codes, return_counts=True)))
                 else:
                     held.append((0, 0, 0, 0, "", none, none))
