@@ -82,7 +82,14 @@ class Encoder:
 
     def joined(self, ids: np.ndarray) -> bytes:
         """The bytes of some ids."""
-        return b"".join(itemgetter(*ids.tolist(), 0)(self.entries)[:-1]) if len(ids) else b""
+        if self.kind == "byte" and self._fast is not None:
+            return self._fast.decode_bytes(ids.tolist())
+        return b"".join(picked(self.entries, ids.tolist()))
+
+
+def picked(held: list | dict, keys: list[int]) -> tuple:
+    """What stands under each of the keys."""
+    return itemgetter(*keys, keys[0])(held)[:-1] if keys else ()
 
 
 def byte_letters() -> dict[int, str]:
@@ -121,7 +128,7 @@ def align_ends(ends_a: Sequence[int], ends_b: Sequence[int]) -> Aligned:
     """Groups and links of two ascending lists of ends; both must end at the same place, if anywhere."""
     known_a, known_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
     shared = [e for e in known_a if e in known_b]  # in order, as dictionaries keep the order they were filled in
-    cuts_a, cuts_b = [known_a[e] for e in shared], [known_b[e] for e in shared]
+    cuts_a, cuts_b = list(picked(known_a, shared)), list(picked(known_b, shared))
     to_a, to_b = np.array([0, *cuts_a]), np.array([0, *cuts_b])
     size_a, size_b = np.diff(to_a), np.diff(to_b)
     links = size_a + size_b - 1  # no two ends inside a group are equal
@@ -153,15 +160,13 @@ def align_text(text: str | None, a: Encoder, b: Encoder) -> tuple[np.ndarray, np
 
 
 class Writer:
-    """Spells groups as ``a1,a2|b1;a3|b2,b3``. Each id of a and then of b has a row of letters with a comma behind it, and,
-    further down, one with what ends its side of a group."""
+    """Spells groups as ``a1,a2|b1;a3|b2,b3``. Each id of a and then of b has a word with a comma behind it, and, further down,
+    one with what ends its side of a group."""
 
     def __init__(self, n_a: int, n_b: int) -> None:
         self.n_a, self.n = n_a, n_a + n_b
         words = [b"%d%c" % (k, c) for ends in ((b",", b","), (b"|", b";")) for n, c in zip((n_a, n_b), ends) for k in range(n)]
-        self.sizes = np.array([len(w) for w in words])
-        width = int(self.sizes.max(initial=1))
-        self.letters = np.array(words, f"S{width}").view(np.uint8).reshape(-1, width)
+        self.words = np.array(words)  # all of one width, filled up with zero bytes
 
     def spell(self, ids_a: np.ndarray, ids_b: np.ndarray, aligned: Aligned, at_once: int = 1 << 16) -> Iterator[bytes]:
         cuts_a, cuts_b = np.array(aligned.cuts_a), np.array(aligned.cuts_b)
@@ -173,8 +178,7 @@ class Writer:
         rows[place_a[cuts_a - 1]] += self.n
         rows[place_b[cuts_b - 1]] += self.n
         for at in range(0, len(rows), at_once):
-            some = rows[at : at + at_once]
-            text = self.letters[some][np.arange(self.letters.shape[1]) < self.sizes[some, None]].tobytes()
+            text = self.words[rows[at : at + at_once]].tobytes().translate(None, b"\0")
             yield text if at + at_once < len(rows) else text[:-1]
 
     def digest(self, ids_a: np.ndarray, ids_b: np.ndarray, aligned: Aligned) -> str:
