@@ -82,12 +82,27 @@ def ring_starts(geometry: str) -> Column:
     return F.expr(f"transform(flatten({geometry}), (r, i) -> named_struct('ring', i, 'x', r[0].x, 'y', r[0].y))")
 
 
+_AREA = f"""
+    aggregate({{g}}, 0D, (total, poly) -> total + aggregate(
+      transform(poly, (r, i) -> if(i = 0, 1D, -1D) * abs({_signed_area("r")})),
+      0D, (s, v) -> s + v))"""
+
+
 def planar_area(geometry: str) -> Column:
     """Exteriors minus holes, in the square of the coordinate unit."""
+    return F.expr(_AREA.format(g=geometry))
+
+
+def digest(geometry: str) -> Column:
+    """What two shapes can be compared by without their vertices: ``struct<n_rings,n_edges,area,min_x,min_y,max_x,max_y,
+    vertices>``, the last being the sum of the hashes of all vertices, whatever their order. Null without a shape."""
+    points = f"flatten(transform(flatten({geometry}), r -> slice(r, 1, size(r) - 1)))"
+    box = ", ".join(f"'{f}_{c}', array_{f}(transform({points}, p -> p.{c}))" for f in ("min", "max") for c in "xy")
+    vertex = "CAST(conv(substring(md5(concat(string(p.x), ' ', string(p.y))), 1, 12), 16, 10) AS BIGINT)"
     return F.expr(f"""
-        aggregate({geometry}, 0D, (total, poly) -> total + aggregate(
-          transform(poly, (r, i) -> if(i = 0, 1D, -1D) * abs({_signed_area("r")})),
-          0D, (s, v) -> s + v))""")
+        CASE WHEN {geometry} IS NOT NULL THEN named_struct('n_rings', size(flatten({geometry})), 'n_edges', size({points}),
+          'area', {_AREA.format(g=geometry)}, {box},
+          'vertices', aggregate(transform({points}, p -> {vertex}), 0L, (s, v) -> s + v)) END""")
 
 
 # --- orientation -----------------------------------------------------------------------------
@@ -98,7 +113,7 @@ _SPLITTER = "134217729D"
 _UNCERTAIN = "3.3306690738754716E-16D"
 
 
-def _bind(values: dict[str, str], name: str, body: str) -> str:
+def bind(values: dict[str, str], name: str, body: str) -> str:
     """Evaluate ``body`` with the named values in scope, so that each is computed once."""
     fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
     return f"transform(array(named_struct({fields})), {name} -> {body})[0]"
@@ -128,10 +143,10 @@ def _precise_determinant(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -
              f" + (d.w * {_diff_tail(bx, cx, 'd.z')} + {_diff_tail(ay, cy, 'd.w')} * d.z))",
         "s": "(h.l - h.r)",
     }
-    total = _bind(tails, "t", f"t.s + ({_diff_tail('h.l', 'h.r', 't.s')} + (t.l - t.r))")
+    total = bind(tails, "t", f"t.s + ({_diff_tail('h.l', 'h.r', 't.s')} + (t.l - t.r))")
     halves = {k: _high(f"d.{k}") for k in "uvwz"} | {"l": "d.u * d.v", "r": "d.w * d.z"}
     differences = {"u": f"({ax} - {cx})", "v": f"({by} - {cy})", "w": f"({ay} - {cy})", "z": f"({bx} - {cx})"}
-    return _bind(differences, "d", _bind(halves, "h", total))
+    return bind(differences, "d", bind(halves, "h", total))
 
 
 def orientation(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> str:
@@ -161,7 +176,7 @@ def locate(x: str, y: str, edge_array: str) -> str:
 
     ``edge_array`` only has to hold the edges whose x-range contains ``x``.
     """
-    side = _bind({"side": orientation("e.x0", "e.y0", "e.x1", "e.y1", x, y)}, "o", "{}")
+    side = bind({"side": orientation("e.x0", "e.y0", "e.x1", "e.y1", x, y)}, "o", "{}")
     straddles = f"((e.x0 > {x}) != (e.x1 > {x}))"
     code = f"""
         CASE WHEN {y} > greatest(e.y0, e.y1) OR {x} < least(e.x0, e.x1) OR {x} > greatest(e.x0, e.x1) THEN 0
@@ -173,6 +188,36 @@ def locate(x: str, y: str, edge_array: str) -> str:
           (s, c) -> CASE WHEN s = 2 OR c = 2 THEN 2 ELSE s ^ c END)"""
 
 
+def shifted_side(edge: str, x: str, y: str) -> str:
+    """Side of a point that is moved right and up by next to nothing, up by far less than right: 1 left of the edge or
+    -1 right of it, never 0."""
+    turn = orientation(f"{edge}.x0", f"{edge}.y0", f"{edge}.x1", f"{edge}.y1", "q.x", "q.y")
+    moved = f"CASE WHEN {edge}.y0 != {edge}.y1 THEN sign({edge}.y0 - {edge}.y1) ELSE sign({edge}.x1 - {edge}.x0) END"
+    return bind({"x": x, "y": y}, "q", bind({"side": turn}, "o", f"if(o.side != 0D, o.side, {moved})"))
+
+
+def locate_in_cell(x: str, y: str, edge_array: str, inside: str, left: str, low: str) -> str:
+    """0 outside, 1 inside, 2 on the border, from the edges that run through the point's cell.
+
+    ``inside`` (0 or 1) says where the cell's lower left corner ``left, low`` lies, moved as in :func:`shifted_side`. The
+    path from there leads along the lower side of the cell to below the point, then up; each edge across it changes sides.
+    """
+    turn = orientation("e.x0", "e.y0", "e.x1", "e.y1", "q.x", "q.y")
+    moved = "CASE WHEN e.y0 != e.y1 THEN sign(e.y0 - e.y1) ELSE sign(e.x1 - e.x0) END"
+    ends = f"array(named_struct('x', {x}, 'y', {y}), named_struct('x', {x}, 'y', c.low), named_struct('x', c.left, 'y', c.low))"
+    turns = f"transform({ends}, q -> {turn})"
+    in_box = f"{x} BETWEEN least(e.x0, e.x1) AND greatest(e.x0, e.x1) AND {y} BETWEEN least(e.y0, e.y1) AND greatest(e.y0, e.y1)"
+    up, along = f"(e.x0 > {x}) != (e.x1 > {x})", "(e.y0 > c.low) != (e.y1 > c.low)"
+    sides = f"transform(t.v, v -> if(v != 0D, v, {moved}))"
+    crossed = bind({"v": sides}, "s", f"cast({up} AND s.v[0] != s.v[1] AS int) ^ cast({along} AND s.v[1] != s.v[2] AS int)")
+    code = f"""
+        CASE WHEN NOT ({in_box} OR {up} OR {along}) THEN 0
+             ELSE {bind({"v": turns}, "t", f"if({in_box} AND t.v[0] = 0D, 2, {crossed})")} END"""
+    return bind({"left": left, "low": low}, "c", f"""
+        aggregate(transform({edge_array}, e -> {code}), {inside},
+          (s, v) -> CASE WHEN s = 2 OR v = 2 THEN 2 ELSE s ^ v END)""")
+
+
 # --- contact of two edges --------------------------------------------------------------------
 
 TOUCH_POINT, SHARED_OPPOSED, SHARED_ALIGNED, CROSSING = 0, 1, 2, 3

@@ -9,8 +9,8 @@ Corner contact counts, an area does not touch itself, overlapping or nested area
    common box reports the pair. Pairs whose boxes are apart never leave the join.
 3. Each contact is a position or a stretch along the edge. Edges that cross, or run together in the
    same direction, mean that the interiors meet.
-4. What remains of an edge between contacts is tested by its middle against the other area; so is a
-   vertex of every ring that has no contact.
+4. What remains of an edge between contacts is tested by its middle against the other area, through the quadtree of
+   the layer; so is a vertex of every ring, which must not lie inside an area that its ring has no contact with.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
+from areaqual.operators import quadtree
 from areaqual.operators.joins import hot_key_join
 from areaqual.operators.spatial import CELL, Grid, cell, fit_grid
-from areaqual.sources.sinks import Store, keep
+from areaqual.sources.sinks import Store, write_and_reuse
 
 _CELLS_PER_EDGE = 1.0
+#: Pieces shorter than this part of their edge are rounding between two contacts, not a stretch to be tested.
 _SHORTEST_PIECE = "1e-9D"
 _EDGE = "ring, pos, x0, y0, x1, y1"
 _EDGE_EXTENT = "greatest(abs(x1 - x0), abs(y1 - y0))"
@@ -39,18 +41,18 @@ def representatives(areas: DataFrame, area_id: str, geometry: str = "geometry")
 
 
 def adjacency(
-    areas: DataFrame, area_id: str, geometry: str = "geometry", grid: Grid | None = None, store: Store = keep
+    areas: DataFrame, area_id: str, geometry: str = "geometry", grid: Grid | None = None, store: Store = write_and_reuse
 ) -> DataFrame:
     """Edge table ``(area_id, adjacent_<area_id>)`` of a layer, both directions of every pair.
 
-    The distinct shapes are read in several steps; with ``store`` they are written once.
+    Shapes, contacts and cells are read in several steps; ``store`` writes each once.
     """
     groups = store(representatives(areas, area_id, geometry), "shape-groups")
     only_shapes = groups.where("member = shape").select("shape")
     shapes = areas.select(F.col(area_id).alias("shape"), F.col(geometry).alias("geometry")).join(
         only_shapes, "shape", "left_semi"
     )
-    pairs = touching_shapes(store(shapes, "shapes"), grid)
+    pairs = touching_shapes(store(shapes, "shapes"), grid, store)
     return (
         pairs.join(groups.withColumnsRenamed({"shape": "id", "member": area_id}), "id")
         .join(groups.withColumnsRenamed({"shape": "other", "member": f"adjacent_{area_id}"}), "other")
@@ -58,30 +60,29 @@ def adjacency(
     )
 
 
-def touching_shapes(shapes: DataFrame, grid: Grid | None = None) -> DataFrame:
-    """``(id, other)`` in both directions, for distinct shapes ``(shape, geometry)``."""
-    edges = shapes.select(
-        F.col("shape").alias("id"), F.inline(geo.edges("geometry"))
-    ).where("x0 != x1 OR y0 != y1")
+def touching_shapes(shapes: DataFrame, grid: Grid | None = None, store: Store = write_and_reuse) -> DataFrame:
+    """``(id, other)`` in both directions, for distinct shapes ``(shape, geometry)``.
+
+    Contacts, tests and findings are rows throughout; no row holds more edges than a cell of the quadtree.
+    """
+    edges = shapes.select(F.col("shape").alias("id"), F.inline(geo.edges("geometry"))).where("x0 != x1 OR y0 != y1")
     grid = grid or fit_grid(edges, F.expr(_EDGE_EXTENT), _CELLS_PER_EDGE)
-    borders = shapes.select(F.col("shape").alias("id"), geo.edges("geometry").alias("edges"))
-    starts = shapes.select(F.col("shape").alias("id"), geo.ring_starts("geometry").alias("starts"))
-
-    findings = _pair_findings(_contacts(_edge_pairs(edges, grid)))
-    # A pair that is settled already has nothing left to test.
-    tests = F.expr("""
-        if(meets, slice(tests, 1, 0), concat(tests,
-          transform(filter(starts, s -> NOT array_contains(rings, s.ring)), s -> named_struct('x', s.x, 'y', s.y))))""")
-    inside = F.expr(f"exists(tests, m -> {geo.locate('m.x', 'm.y', 'edges')} = {geo.INSIDE})")
-    unordered = (
-        findings.join(starts, "id")
-        .select("id", "other", "meets", tests.alias("tests"))
-        .join(borders.withColumnRenamed("id", "other"), "other")
-        .groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        .agg(F.bool_or(F.col("meets") | inside).alias("meets"))
-        .where("NOT meets")
-    )
-    return unordered.select(F.expr("inline(array(named_struct('id', a, 'other', b), named_struct('id', b, 'other', a)))"))
+    index = quadtree.build_index(shapes, "shape", store=store)
+    starts = shapes.select(F.col("shape").alias("id"), F.inline(geo.ring_starts("geometry")))
+
+    contacts = store(_by_edge(_contacts(_edge_pairs(edges, grid))), "contacts")
+    crossed = contacts.where(F.col("worst") >= geo.SHARED_ALIGNED).select("id", "other")
+    middles = contacts.where(F.col("worst") < geo.SHARED_ALIGNED).select("id", "other", F.expr(f"inline({_PIECES})"))
+    inside = quadtree.locate(middles.distinct(), index, "x", "y", {"other": "shape"})
+    # Few areas hold a given vertex, so this is as long as there are rings, whatever the number of neighbours.
+    holding = quadtree.locate(starts, index, "x", "y").withColumnRenamed("shape", "other")
+    apart = holding.where("id != other").join(contacts.select("id", "other", "ring"), ["id", "other", "ring"], "left_anti")
+    meeting = crossed
+    for found in (inside, apart):
+        meeting = meeting.unionByName(found.where(F.col("place") == geo.INSIDE).select("id", "other"))
+    unordered = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
+    touching = contacts.select(*unordered).distinct().join(meeting.select(*unordered), ["a", "b"], "left_anti")
+    return touching.select(F.expr("inline(array(named_struct('id', a, 'other', b), named_struct('id', b, 'other', a)))"))
 
 
 def _edge_pairs(edges: DataFrame, grid: Grid) -> DataFrame:
@@ -128,35 +129,22 @@ def _contacts(pairs: DataFrame) -> DataFrame:
     return signs.select(F.expr(seen)).select("id", "other", "e", "c.lo", "c.hi", "c.kind")
 
 
-def _pair_findings(contacts: DataFrame) -> DataFrame:
-    """Per ordered pair: whether interiors are known to meet, the rings in contact and the points to test."""
-    # Clustering by the pair serves both groupings below with one shuffle.
-    per_edge = (
-        contacts.repartition("id", "other")
-        .groupBy("id", "other", "e")
-        .agg(
-            F.max("kind").alias("worst"),
-            F.sort_array(F.collect_set(F.struct("lo", "hi", "kind"))).alias("found"),
-        )
+def _by_edge(contacts: DataFrame) -> DataFrame:
+    """Per edge and other area: the ring, the worst contact, all contacts in order and where they cut the edge."""
+    per_edge = contacts.groupBy("id", "other", "e").agg(
+        F.max("kind").alias("worst"), F.sort_array(F.collect_set(F.struct("lo", "hi", "kind"))).alias("found")
     )
     cuts = "array_sort(array_distinct(concat(array(0D, 1D), transform(found, c -> c.lo + 0D), transform(found, c -> c.hi + 0D))))"
-    split = per_edge.withColumn("cuts", F.expr(cuts))
-    pieces = f"""
-        transform(
-          filter(zip_with(slice(cuts, 1, size(cuts) - 1), slice(cuts, 2, size(cuts) - 1),
-                          (u, v) -> named_struct('m', (u + v) / 2D, 'length', v - u)),
-                 piece -> piece.length > {_SHORTEST_PIECE}
-                   AND NOT exists(found, c -> c.kind = {geo.SHARED_OPPOSED} AND c.lo <= piece.m AND piece.m <= c.hi)),
-          piece -> named_struct('x', e.x0 + piece.m * (e.x1 - e.x0), 'y', e.y0 + piece.m * (e.y1 - e.y0)))"""
-    return (
-        split.select("id", "other", "e.ring", (F.col("worst") >= geo.SHARED_ALIGNED).alias("bad"), F.expr(pieces).alias("tests"))
-        .groupBy("id", "other")
-        .agg(
-            F.bool_or("bad").alias("meets"),
-            F.collect_set("ring").alias("rings"),
-            F.flatten(F.collect_list("tests")).alias("tests"),
-        )
-    )
+    return per_edge.select("id", "other", "e", "e.ring", "worst", "found", F.expr(cuts).alias("cuts"))
+
+
+_PIECES = f"""
+    transform(
+      filter(zip_with(slice(cuts, 1, size(cuts) - 1), slice(cuts, 2, size(cuts) - 1),
+                      (u, v) -> named_struct('m', (u + v) / 2D, 'length', v - u)),
+             piece -> piece.length > {_SHORTEST_PIECE}
+               AND NOT exists(found, c -> c.kind = {geo.SHARED_OPPOSED} AND c.lo <= piece.m AND piece.m <= c.hi)),
+      piece -> named_struct('x', e.x0 + piece.m * (e.x1 - e.x0), 'y', e.y0 + piece.m * (e.y1 - e.y0)))"""
 
 
 def attach_neighbours(

@@ -1,9 +1,8 @@
-"""Point-in-area joins as equi-joins on grid cells.
+"""Point-in-area joins as equi-joins on the cells of a quadtree.
 
-Areas are cut into the cells of a grid that fits their size. A cell row carries only the edges of
-its vertical strip, which is all the even-odd test needs, so a large polygon is not repeated in
-full. Sites are reduced to distinct coordinates first; the wide site rows are shuffled once, for
-the final join back.
+Sites are reduced to distinct coordinates first and meet the cells of :mod:`areaqual.operators.quadtree`, each with a
+bounded number of edges; the wide site rows are shuffled once, for the final join back. The grid of
+this module serves joins of edges with edges.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaqual.functions import geometry as geo
-from areaqual.operators.joins import hot_key_join
+from areaqual.operators import quadtree
+from areaqual.operators.quadtree import AreaIndex
 from areaqual.sources.sinks import Store
 from areaqual.sources.sinks import keep as keep_unstored
 
@@ -65,93 +64,31 @@ def cell(value: str, size: str) -> str:
     return f"CAST(floor({value} / {size}) AS BIGINT)"
 
 
-def with_bounds(areas: DataFrame, geometry: str = "geometry") -> DataFrame:
-    """Add the edges and the bounding box of every area."""
-    with_edges = areas.withColumn("edges", geo.edges(geometry)).where("size(edges) > 0")
-    return with_edges.withColumns(
-        {
-            "min_x": F.expr("array_min(transform(edges, e -> e.x0))"),
-            "max_x": F.expr("array_max(transform(edges, e -> e.x0))"),
-            "min_y": F.expr("array_min(transform(edges, e -> e.y0))"),
-            "max_y": F.expr("array_max(transform(edges, e -> e.y0))"),
-        }
-    )
-
-
-_EXTENT = "greatest(max_x - min_x, max_y - min_y)"
-CELLS_PER_AREA_SIDE = 2.0
-
-
-def fit_area_grid(areas: DataFrame, geometry: str = "geometry") -> Grid:
-    return fit_grid(with_bounds(areas.select(geometry), geometry), F.expr(_EXTENT), CELLS_PER_AREA_SIDE)
-
-
-def area_cells(areas: DataFrame, grid: Grid, area_id: str, geometry: str = "geometry") -> DataFrame:
-    """Cell index of a layer: ``area_id, level, cx, cy, edges``; at most about nine cells per area.
-
-    Build it once per layer and store it when the layer is joined often.
-    """
-    sized = with_bounds(areas.select(F.col(area_id), F.col(geometry)), geometry).select(
-        area_id, "edges", "min_x", "max_x", grid.level_of(F.expr(_EXTENT), CELLS_PER_AREA_SIDE).alias("level")
-    )
-    columns = sized.withColumn("size", grid.size_at(F.col("level"))).select(
-        area_id,
-        "level",
-        "size",
-        "edges",
-        F.expr(f"explode(sequence({cell('min_x', 'size')}, {cell('max_x', 'size')}))").alias("cx"),
-    )
-    strip = f"""filter(edges, e -> {cell('least(e.x0, e.x1)', 'size')} <= cx
-                            AND {cell('greatest(e.x0, e.x1)', 'size')} >= cx)"""
-    strips = columns.select(area_id, "level", "size", "cx", F.expr(strip).alias("edges")).where("size(edges) > 0")
-    low = cell("array_min(transform(edges, e -> least(e.y0, e.y1)))", "size")
-    high = cell("array_max(transform(edges, e -> greatest(e.y0, e.y1)))", "size")
-    return strips.select(
-        area_id, "level", "cx", F.expr(f"explode(sequence({low}, {high}))").alias("cy"), "edges"
-    )
-
-
-def point_cells(points: DataFrame, grid: Grid, x: str, y: str) -> DataFrame:
-    """One row per point and level in use."""
-    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(grid.sizes[k]).alias("size")) for k in grid.used]))
-    return points.withColumn("at", levels).select(
-        x, y, F.col("at.level").alias("level"), F.expr(cell(x, "at.size")).alias("cx"),
-        F.expr(cell(y, "at.size")).alias("cy"),
-    )
-
-
 def locate_points(
     points: DataFrame, areas: DataFrame, area_id: str, x: str, y: str, geometry: str = "geometry",
-    grid: Grid | None = None, cells: DataFrame | None = None, store: Store = keep_unstored,
+    index: AreaIndex | None = None, store: Store = keep_unstored,
 ) -> DataFrame:
     """Distinct ``(x, y, area_id)`` where the point lies in the area or on its border.
 
     The distinct probes are counted and joined; ``store`` writes them in between.
     """
-    grid = grid or fit_area_grid(areas, geometry)
-    cells = area_cells(areas, grid, area_id, geometry) if cells is None else cells
+    index = index or quadtree.build_index(areas, area_id, geometry, store)
     known = points.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).where(
         f"{x} IS NOT NULL AND {y} IS NOT NULL AND NOT isnan({x}) AND NOT isnan({y})"
     )
-    probes = store(point_cells(known.distinct(), grid, x, y), "probes")
-    return (
-        hot_key_join(probes, cells, CELL, store=store)
-        .where(F.expr(geo.locate(x, y, "edges")) > geo.OUTSIDE)
-        .select(x, y, area_id)
-    )
+    return quadtree.locate(known.distinct(), index, x, y, store=store).select(x, y, F.col(index.area_id).alias(area_id))
 
 
 def intersect_join(
     sites: DataFrame, areas: DataFrame, area_id: str, x: str = "longitude", y: str = "latitude",
-    keep: Sequence[str] = (), geometry: str = "geometry", grid: Grid | None = None, cells: DataFrame | None = None,
-    store: Store = keep_unstored,
+    keep: Sequence[str] = (), geometry: str = "geometry", index: AreaIndex | None = None, store: Store = keep_unstored,
 ) -> DataFrame:
     """Left join of sites to the areas they intersect.
 
     A site on a shared border yields one row per area; a site outside all areas stays with nulls.
     ``keep`` names further area columns; pass the geometry there only when the caller needs it.
     """
-    found = locate_points(sites, areas, area_id, x, y, geometry, grid, cells, store).withColumnsRenamed(
+    found = locate_points(sites, areas, area_id, x, y, geometry, index, store).withColumnsRenamed(
         {x: "_aq_x", y: "_aq_y"}
     )
     joined = sites.join(found, (F.col(x) == F.col("_aq_x")) & (F.col(y) == F.col("_aq_y")), "left").drop("_aq_x", "_aq_y")

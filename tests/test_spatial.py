@@ -1,11 +1,14 @@
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
 from areaqual.operators import adjacency as adj
-from areaqual.operators import joins, quality, spatial
+from areaqual.operators import joins, quadtree, quality, spatial
+from areaqual.sources import sinks
 from tests import shapes
 
 
@@ -29,7 +32,7 @@ def test_points_in_random_shapes(spark, seed):
 
 
 def test_points_on_mixed_scales(spark):
-    """Large and tiny areas share one join through several grid levels."""
+    """Large and tiny areas share one join through several levels of the index."""
     def square(x, y, s):
         return [([(x, y), (x + s, y), (x + s, y + s), (x, y + s)], [])]
 
@@ -38,11 +41,11 @@ def test_points_on_mixed_scales(spark):
     }
     rows = [(k, shapes.geometry(square(*v))) for k, v in squares.items()]
     areas = spark.createDataFrame(rows, shapes.SCHEMA).select("geoid", geo.normalise("raw").alias("geometry"))
-    grid = spatial.fit_area_grid(areas)
-    assert len(grid.used) > 1
+    index = quadtree.build_index(areas, "geoid")
+    assert len(index.levels) > 1
     points = [(i, i * 0.125, (i % 5) * 0.125) for i in range(100)]
     df = spark.createDataFrame(points, "id int, longitude double, latitude double")
-    got = {(r.id, r.geoid) for r in spatial.intersect_join(df, areas, "geoid", grid=grid).collect()}
+    got = {(r.id, r.geoid) for r in spatial.intersect_join(df, areas, "geoid", index=index).collect()}
     want = {
         (i, k) for i, x, y in points for k, (ax, ay, s) in squares.items() if ax <= x <= ax + s and ay <= y <= ay + s
     }
@@ -51,8 +54,6 @@ def test_points_on_mixed_scales(spark):
 
 def test_slanted_borders(spark):
     """Points stored on a slanted edge are on the border; exact rational arithmetic decides."""
-    from fractions import Fraction
-
     rng = random.Random(5)
     triangle = [(-111.3, 39.1), (-110.2, 39.7), (-111.0, 40.3)]
     rows = [("t", [[[{"x": x, "y": y} for x, y in triangle]]])]
@@ -131,6 +132,80 @@ def test_adjacency_of_a_jittered_mesh(spark):
     assert got == want
 
 
+def wavy_ring(n, radius, phase=0.0, x=0.0, y=0.0):
+    """A ring of n vertices around a point, with many bays and capes."""
+    out = []
+    for k in range(n):
+        angle = 2 * math.pi * k / n + phase
+        r = radius * (1 + 0.3 * math.sin(17 * angle) + 0.1 * math.sin(233 * angle))
+        out.append((x + r * math.cos(angle), y + r * math.sin(angle)))
+    return out
+
+
+def exact_place(rings, x, y):
+    """0, 1 or 2 over all edges, by rational arithmetic for those above the point or at its height."""
+    odd, fx, fy = 0, Fraction(x), Fraction(y)
+    for ring in rings:
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if not min(ax, bx) <= x <= max(ax, bx) or y > max(ay, by):
+                continue
+            ax, ay, bx, by = map(Fraction, (ax, ay, bx, by))
+            turn = (ax - fx) * (by - fy) - (ay - fy) * (bx - fx)
+            if turn == 0 and min(ax, bx) <= fx <= max(ax, bx) and min(ay, by) <= fy <= max(ay, by):
+                return 2
+            if (ax > fx) != (bx > fx) and turn * (1 if bx > ax else -1) < 0:
+                odd ^= 1
+    return odd
+
+
+@pytest.mark.parametrize("bound", [6, 48])
+def test_cells_of_many_vertices_are_bounded_and_exact(spark, bound):
+    """Random points, vertices, middles of edges and corners of cells against an exact count over all edges."""
+    rng = random.Random(bound)
+    areas = {
+        "coast": [wavy_ring(1500, 10.0), wavy_ring(200, 2.0, 0.1)],
+        "comb": [[(x, y) for k in range(60) for x, y in ((k, 8), (k + 0.5, -8))] + [(60, 8), (60, -9), (0, -9)]],
+        "far": [wavy_ring(500, 1e-3, 0.3, -111.25, 39.5)],
+        "square": [[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)]],
+    }
+    rows = [(k, [[[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]]) for k, rings in areas.items()]
+    df = spark.createDataFrame(rows, shapes.SCHEMA).select("geoid", F.col("raw").alias("open"))
+    closed = df.select("geoid", F.expr("transform(open, p -> transform(p, r -> concat(r, array(r[0]))))").alias("geometry"))
+    index = quadtree.build_index(closed, "geoid", bound=bound)
+    cells = index.cells.select("geoid", "level", "cx", "cy", F.size("edges").alias("n")).collect()
+    assert max(c["n"] for c in cells) <= bound and any(c["n"] == 0 for c in cells)
+    points = set()
+    for rings in areas.values():
+        for ring in rings:
+            for _ in range(40):
+                (ax, ay), (bx, by) = ring[k := rng.randrange(len(ring))], ring[(k + 1) % len(ring)]
+                points |= {(float(ax), float(ay)), ((ax + bx) / 2, (ay + by) / 2), (ax + rng.gauss(0, 0.1), ay + rng.gauss(0, 0.1))}
+    for c in rng.sample(cells, min(len(cells), 200)):
+        size = 2.0 ** c["level"]
+        points.add(((c["cx"] + rng.randrange(2)) * size, (c["cy"] + rng.randrange(2)) * size))
+    probes = spark.createDataFrame(sorted(points), "x double, y double")
+    got = {(r["x"], r["y"], r["geoid"]): r["place"] for r in quadtree.locate(probes, index, "x", "y").collect()}
+    want = {(x, y, k): v for x, y in points for k, rings in areas.items() if (v := exact_place(rings, x, y))}
+    assert got == want
+
+
+def test_an_area_with_thousands_of_neighbours(spark):
+    """A long ribbon between two rows of unit squares; no row of the pair tests holds a whole border."""
+    n = 1000
+    ribbon = [(x, 0) for x in range(n + 1)] + [(x, 1) for x in range(n, -1, -1)]
+    named = {"ribbon": ([(ribbon, [])], None)}
+    for i in range(n):
+        named[f"a{i:04d}"] = ([([(i, 1), (i + 1, 1), (i + 1, 2), (i, 2)], [])], None)
+        named[f"b{i:04d}"] = ([([(i, -1), (i + 1, -1), (i + 1, 0), (i, 0)], [])], None)
+    stored = []
+    got = adj.adjacency(layer(spark, named), "geoid", store=lambda df, name: stored.append((name, sinks.write_and_reuse(df, name))) or stored[-1][1])
+    pairs = got.collect()
+    assert sum(r["geoid"] == "ribbon" for r in pairs) == 2 * n
+    assert len(pairs) == 2 * (2 * n + 2 * (n - 1))
+    sizes = {name: df.select(F.max(F.size("edges"))).first()[0] for name, df in stored if "edges" in df.columns and name != "sized-areas"}
+    assert sizes["area-cells"] <= quadtree.BOUND
+
+
 def test_adjacency_of_edges_of_different_length(spark):
     """One long border against many short ones (T-junctions), on several grid levels."""
     named = {"long": ([([(0, 0), (64, 0), (64, 8), (0, 8)], [])], None)}
