@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from areaqual import constants as K
 from areaqual.functions import numeric
+from areaqual.operators.sums import exact_sums
 
 
 def annual_mean(df: DataFrame, keys: Sequence[str], value: str, name: str, digits: int = 1) -> DataFrame:
@@ -144,31 +145,19 @@ def _bucket(lo: float, hi: float, buckets: int) -> Column:
     return F.when(F.col("v") == lo, 0).when(F.col("v") == hi, buckets - 1).otherwise(inner).cast("long")
 
 
-def exact_sum(c: Column) -> Column:
-    """Sum as a double. Values of at most ten decimals and 26 digits before them are added as decimals, so that the order
-    of the rows does not matter; if one has more, all are added as doubles, so that no digit is cut."""
-    short = c.try_cast("decimal(36,10)")
-    whole = F.bool_and(c.isNull() | F.coalesce(short.cast("double") == c, F.lit(False)))
-    return F.when(whole, F.try_sum(short).cast("double")).otherwise(F.sum(c))
-
-
 def acreage_three_ways(df: DataFrame, key: str, value: str) -> DataFrame:
     """Sums per key with missing values left out, set to the overall mean, and set to the overall median.
 
-    The fill-in is the same for every missing value, so one aggregate per key is enough: the sum of
-    the known values plus the fill times the number of missing ones.
+    The fill-in is the same for every missing value, so one aggregate per key is enough: the exact sum of
+    the known values plus the fill times the number of missing ones. No sum depends on the order of the rows.
     """
     known = df.select(key, numeric.nan_to_null(F.col(value).cast("double")).alias("_aq_value"))
-    mean = known.agg((exact_sum(F.col("_aq_value")) / F.nullif(F.count("_aq_value"), F.lit(0))).alias("mean")).scalar()
+    overall = exact_sums(known, [], {"total": F.col("_aq_value")}, {"n": F.col("_aq_value").isNotNull()})
+    mean = overall.select(F.col("total") / F.nullif(F.col("n"), F.lit(0))).scalar()
     median = exact_median(known, "_aq_value").scalar()
-    per_key = (
-        known.dropna(subset=[key])
-        .groupBy(key)
-        .agg(
-            F.coalesce(exact_sum(F.col("_aq_value")), F.lit(0.0)).alias("_aq_sum"),
-            F.count_if(F.col("_aq_value").isNull()).alias("_aq_missing"),
-        )
-    )
+    per_key = exact_sums(
+        known.dropna(subset=[key]), [key], {"_aq_sum": F.col("_aq_value")}, {"_aq_missing": F.col("_aq_value").isNull()}
+    ).fillna(0.0, ["_aq_sum"])
 
     def filled(fill: Column) -> Column:
         # Without any known value there is no fill either, and the sum stays 0.

@@ -40,18 +40,19 @@ def rename_present(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
 
 def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Cast the named columns; a value that does not fit becomes null (see :func:`rejects`)."""
-    return df.withColumns({c: _typed(df, c, t) for c, t in types.items()})
+    return df.withColumns({c: typed(df, c, t) for c, t in types.items()})
 
 
 def rejects(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Rows with a value that :func:`cast_columns` cannot keep, and the names of those columns."""
     bad = F.array_compact(
-        F.array(*[F.when(F.col(c).isNotNull() & _typed(df, c, t).isNull(), F.lit(c)) for c, t in types.items()])
+        F.array(*[F.when(F.col(c).isNotNull() & typed(df, c, t).isNull(), F.lit(c)) for c, t in types.items()])
     )
     return df.withColumn("rejected_columns", bad).where(F.size("rejected_columns") > 0)
 
 
-def _typed(df: DataFrame, name: str, type_name: str) -> Column:
+def typed(df: DataFrame, name: str, type_name: str) -> Column:
+    """The value as that type, or null where it does not fit."""
     value = F.col(name)
     if type_name == "date_us":
         return F.try_to_timestamp(value, F.lit("M/d/yyyy"))

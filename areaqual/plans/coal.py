@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from areaqual import constants as K
 from areaqual.plans.layers import add_area_info, add_geometry
 
+# The header of the result and its order, in two parts as the site part is also selected alone.
 _SITE = ["site_name", "qualifying_criteria", "qualifying_area", "latitude", "longitude", "site_geometry"]
 _AREA = ["county_name", "county_id_fips", "state_id_fips", "state_abbr", "state_name", "geoid"]
 

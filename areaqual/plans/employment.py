@@ -16,6 +16,7 @@ from areaqual.sources.sinks import Store, keep
 
 AREA_YEAR = ["msa_code", "year"]
 
+# The header of the result and its order.
 COLUMNS = [
     "county_name", "county_id_fips", "state_id_fips", "state_abbr", "state_name", "geoid", "site_name",
     "qualifying_criteria", "qualifying_area",
@@ -66,6 +67,12 @@ def unmatched_counties(raw: DataFrame, metro: DataFrame, non_metro: DataFrame) -
     return quality.unmatched_keys(clean_facts(raw), crosswalks.county_areas(metro, non_metro), crosswalks.KEY)
 
 
+def sum_facts(raw: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES) -> DataFrame:
+    """Employment per county, year and industry, in or outside the crosswalks. The only shuffle of the fact table is the one
+    of these sums, and a county with very many rows arrives as a few."""
+    return aggregates.industry_totals(clean_facts(raw, codes), ["county_id_fips", "year"])
+
+
 # --- fossil share ----------------------------------------------------------------------------
 
 COUNTY_TOTALS = ["msa_code", "county_id_fips", "area_title", "year"]
@@ -76,12 +83,14 @@ def county_totals(
 ) -> DataFrame:
     """Employment per county, year and industry with the statistical area of the county.
 
-    The facts are summed before the crosswalk is joined, so the only shuffle of the fact table is
-    the one of its partial sums, and a county with very many rows arrives as a few.
+    The facts are summed before the crosswalk is joined.
     """
-    totals = aggregates.industry_totals(clean_facts(raw, codes), ["county_id_fips", "year"])
-    areas = crosswalks.county_areas(metro, non_metro).withColumnRenamed("msa_name", "area_title")
-    return totals.join(areas, "county_id_fips")
+    return totals_in_areas(sum_facts(raw, codes), crosswalks.county_areas(metro, non_metro))
+
+
+def totals_in_areas(sums: DataFrame, areas: DataFrame) -> DataFrame:
+    """:func:`sum_facts` with the statistical area of the county; counties outside drop out."""
+    return sums.join(areas.withColumnRenamed("msa_name", "area_title"), "county_id_fips")
 
 
 def shares_of_totals(totals: DataFrame, codes: Sequence[str] = K.FOSSIL_CODES) -> DataFrame:
@@ -167,13 +176,17 @@ def local_area_table(raw: DataFrame) -> DataFrame:
     )
 
 
+def series_headers(raw: DataFrame) -> DataFrame:
+    return columns.normalise_headers(raw, underscore=False)
+
+
 def county_unemployment(raw: DataFrame) -> DataFrame:
     """Yearly mean unemployment and labour force per county, side by side.
 
     Both measures come out of one aggregate instead of a self-join. Years without an unemployment
     value drop out; a missing labour force stays null.
     """
-    df = columns.normalise_headers(raw, underscore=False)
+    df = series_headers(raw)
     series = text.strip(F.col("series_id"))
     measure = F.right(series, F.lit(2))
     df = columns.cast_columns(df, {"year": "int"}).where(
@@ -210,10 +223,15 @@ def local_rates(raw: DataFrame, metro: DataFrame, non_metro: DataFrame, store: S
     A county that is in two areas, or has two series in a year, stops the run. With ``store`` the
     yearly county table is written, so the monthly series are read once.
     """
+    return yearly_rates(county_unemployment(raw), metro, non_metro, store)
+
+
+def yearly_rates(yearly: DataFrame, metro: DataFrame, non_metro: DataFrame, store: Store = keep) -> DataFrame:
+    """:func:`local_rates` from :func:`county_unemployment`."""
     areas = crosswalks.checked_county_areas(metro, non_metro)
     counties = store(
         quality.require_unique(
-            county_unemployment(raw).join(areas, "county_id_fips"),
+            yearly.join(areas, "county_id_fips"),
             ["county_id_fips", "year"],
             "A county has two unemployment series in one year",
         ),
@@ -232,6 +250,11 @@ def counties_without_rates(raw: DataFrame, metro: DataFrame, non_metro: DataFram
     )
 
 
+def areas_without_rates(areas: DataFrame, local: DataFrame) -> DataFrame:
+    """Statistical areas of the crosswalk without a rate in any year; their codes may differ in the survey."""
+    return quality.unmatched_keys(areas, local, ["msa_code"])
+
+
 def unemployment_flags(national: DataFrame, local: DataFrame) -> DataFrame:
     """Compare each local rate with the national rate of the year before."""
     joined = local.join(national, local["year"] == national["applies_to_criteria_year"], "left")

@@ -9,6 +9,7 @@ from areaqual import constants as K
 from areaqual.functions import geometry as geo
 from areaqual.functions import numeric
 from areaqual.operators import aggregates
+from areaqual.operators.sums import exact_sums
 
 COAL_CRITERIA = [K.MINE, K.PLANT, f"{K.MINE_CLOSURE}_adjacent_tract", f"{K.PLANT}_adjacent_tract"]
 
@@ -21,7 +22,8 @@ def brownfield_acreage(brownfields: DataFrame, key: str = "county_id_fips") -> D
 def coal_area_share(qualifying: DataFrame, tracts: DataFrame, counties: DataFrame) -> DataFrame:
     """Per county: number of coal tracts and their share of the county's area.
 
-    Areas are measured once per tract and county, after the ids are distinct.
+    Areas are measured once per tract and county, after the ids are distinct, and only those of the coal ids: the others
+    are dropped before any is projected. Sums are exact, so shares do not depend on the order of the rows.
     """
     coal = (
         qualifying.where(F.col("qualifying_criteria").isin(COAL_CRITERIA))
@@ -29,16 +31,14 @@ def coal_area_share(qualifying: DataFrame, tracts: DataFrame, counties: DataFram
         .select("county_id_fips", "tract_id_fips")
         .distinct()
     )
-    measured = tracts.select("tract_id_fips", geo.utm_area("area_geometry").alias("tract_area"))
-    per_county = (
-        coal.join(measured, "tract_id_fips", "left")
-        .groupBy("county_id_fips")
-        .agg(
-            F.count(F.lit(1)).alias("num_coal_qualifying_tracts"),
-            F.coalesce(F.sum("tract_area"), F.lit(0.0)).alias("tract_area"),
-        )
-    )
-    county_area = counties.select("county_id_fips", geo.utm_area("area_geometry").alias("county_area"))
+    coal_tracts = tracts.join(coal.select("tract_id_fips").distinct(), "tract_id_fips", "left_semi")
+    measured = coal_tracts.select("tract_id_fips", geo.utm_area("area_geometry").alias("tract_area"))
+    per_county = exact_sums(
+        coal.join(measured, "tract_id_fips", "left"), ["county_id_fips"], {"tract_area": F.col("tract_area")},
+        {"num_coal_qualifying_tracts": F.lit(True)},
+    ).fillna(0.0, ["tract_area"])
+    coal_counties = counties.join(coal.select("county_id_fips").distinct(), "county_id_fips", "left_semi")
+    county_area = coal_counties.select("county_id_fips", geo.utm_area("area_geometry").alias("county_area"))
     share = numeric.round_half_even(numeric.ratio(F.col("tract_area"), F.col("county_area")), 2)
     return per_county.join(county_area, "county_id_fips", "left").select(
         "county_id_fips", "num_coal_qualifying_tracts", share.alias("percent_of_county_coal_qualified")

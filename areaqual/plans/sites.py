@@ -11,7 +11,8 @@ from areaqual import constants as K
 from areaqual.functions import geometry as geo
 from areaqual.functions import numeric, predicates, text
 from areaqual.operators import columns, dedupe
-from areaqual.operators.spatial import Grid, intersect_join
+from areaqual.operators.quadtree import AreaIndex
+from areaqual.operators.spatial import intersect_join
 from areaqual.sources.sinks import Store, keep
 
 
@@ -25,7 +26,7 @@ def _known_places(df: DataFrame) -> DataFrame:
 
 def locate_sites(
     df: DataFrame, layer: DataFrame, level: str, qualifying_area: str, criteria: str,
-    grid: Grid | None = None, cells: DataFrame | None = None, store: Store = keep,
+    index: AreaIndex | None = None, store: Store = keep,
 ) -> DataFrame:
     """Add the areas each site intersects, its point and its labels.
 
@@ -34,8 +35,7 @@ def locate_sites(
     """
     df = store(df, f"{criteria}-sites")
     located = intersect_join(
-        df, layer, f"{level}_id_fips", keep=[f"{level}_name"], geometry="area_geometry", grid=grid, cells=cells,
-        store=store,
+        df, layer, f"{level}_id_fips", keep=[f"{level}_name"], geometry="area_geometry", index=index, store=store,
     )
     return located.withColumns(
         {
@@ -46,10 +46,16 @@ def locate_sites(
     )
 
 
+MINE_TYPES = {"mine_id": "bigint", "current_status_dt": "date_us"}
+
+
+def mine_headers(raw: DataFrame) -> DataFrame:
+    return columns.normalise_headers(raw, trim=False, underscore=False)
+
+
 def closed_mines(raw: DataFrame) -> DataFrame:
     """Coal mines closed since the first year of the rule, cleaned."""
-    df = columns.normalise_headers(raw, trim=False, underscore=False)
-    df = columns.cast_columns(df, {"mine_id": "bigint", "current_status_dt": "date_us"})
+    df = columns.cast_columns(mine_headers(raw), MINE_TYPES)
     df = columns.strip_lower_columns(df, ["current_mine_status", "coal_metal_ind", "current_mine_type"])
     df = df.where(
         predicates.closed_coal_mine(

@@ -1,4 +1,8 @@
-"""Area layers: one Parquet table partitioned by level, loaded from line-delimited GeoJSON."""
+"""Area layers: one Parquet table partitioned by level, loaded from line-delimited GeoJSON.
+
+The coordinate system stands in the metadata of the geometry column. It is written with the table and
+demanded when it is read, so shapes in another system never meet the sites.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from areaqual import constants as K
 from areaqual.functions import geometry as geo
-from areaqual.operators.quality import fail_when
+from areaqual.operators.quality import DataCheckError, fail_when
 
 _POLYGON = "array<array<array<double>>>"
 _MULTI = "array<array<array<array<double>>>>"
@@ -45,13 +49,34 @@ def read_geojson_lines(
         F.get_json_object("value", "$.geometry").alias("shape"),
     )
     parsed = features.withColumn("geometry", F.expr(parse_geojson_geometry("shape")))
-    return parsed.select(F.lit(level).alias("level"), "geoid", "name", "abbr", geo.normalise("geometry").alias("geometry"))
+    return in_crs(
+        parsed.select(F.lit(level).alias("level"), "geoid", "name", "abbr", geo.normalise("geometry").alias("geometry")), crs
+    )
+
+
+def in_crs(areas: DataFrame, crs: str, geometry: str = "geometry") -> DataFrame:
+    """The same rows, with the coordinate system in the metadata of the geometry column."""
+    return areas.withMetadata(geometry, areas.schema[geometry].metadata | {"crs": crs})
+
+
+def crs_of(areas: DataFrame, geometry: str = "geometry") -> str | None:
+    return areas.schema[geometry].metadata.get("crs")
+
+
+def require_crs(areas: DataFrame, crs: str = K.GEOGRAPHIC_CRS, geometry: str = "geometry") -> DataFrame:
+    """The same table, or an error if its shapes are in another coordinate system or none is named. Reads no rows."""
+    found = crs_of(areas, geometry)
+    if found != crs:
+        raise DataCheckError(f"The areas are in {found or 'a coordinate system that is not named'}, expected {crs}")
+    return areas
 
 
 def write_areas(areas: DataFrame, path: str) -> None:
-    areas.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level").parquet(path)
+    """Replace the levels of ``areas``; their coordinate system must be named (:func:`in_crs`) and the rules' own."""
+    checked = require_crs(areas)
+    checked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level").parquet(path)
 
 
-def read_areas(spark: SparkSession, path: str) -> DataFrame:
-    """The table; a filter on ``level`` prunes to one directory."""
-    return spark.read.parquet(path).select("level", "geoid", "name", "abbr", "geometry")
+def read_areas(spark: SparkSession, path: str, crs: str = K.GEOGRAPHIC_CRS) -> DataFrame:
+    """The table; a filter on ``level`` prunes to one directory. It must be in ``crs``; there is no reprojection."""
+    return require_crs(spark.read.parquet(path), crs).select("level", "geoid", "name", "abbr", "geometry")

@@ -34,7 +34,30 @@ def write_csv_gz(df: DataFrame, path: str) -> None:
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Store a table and continue from the stored copy, which cuts the lineage."""
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class RunStore:
+    """A folder for the intermediate tables of one run; leaving it removes them, also after an error.
+
+    Used as ``with RunStore(spark) as store``; ``store(df, name)`` writes a table and goes on from the copy.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "run") -> None:
+        self.spark, self.folder = spark, scratch_folder(spark, name)
+        self.tables: list[str] = []
+
+    def __enter__(self) -> RunStore:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(name)
+        return write_table(df, f"{self.folder}/{len(self.tables):03d}-{name}")
+
+    def __exit__(self, *error: object) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

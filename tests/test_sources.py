@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
+from areaqual.operators import quality, rejects
 from areaqual.plans import crosswalks, layers
 from areaqual.sources import archives, areas, delimited, series, sinks
 
@@ -69,6 +70,53 @@ def test_archives_keep_county_and_metro_members(spark, tmp_path):
     assert delimited.read_facts(spark, target, [2021]).count() == 1
 
 
+def test_each_member_is_a_task_and_is_read_as_a_stream(spark, tmp_path, monkeypatch):
+    """Archives beyond the size that Spark reads as one value, here lowered, and a member of several batches."""
+    head = "area_fips,own_code,industry_code,year,area_title,annual_avg_emplvl\n"
+    lines = "".join(f'{k:05d},0,10,2020,"A ""quoted"", title\nof two lines",{k}\n' for k in range(1200))
+    archive(tmp_path / "2020.zip", {f"2020 {n} County.csv": head + lines for n in "abc"} | {"2020 d County.csv": "\ufeff" + head})
+    kept = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        with pytest.raises(Exception, match="exceeds|larger|EXCEED"):
+            spark.read.format("binaryFile").load(str(tmp_path / "2020.zip")).select("content").collect()
+        df = archives.read_zipped_facts(spark, f"file://{tmp_path}/*.zip")
+        assert df.rdd.getNumPartitions() == 4
+        assert df.count() == 3600 and df.where("area_title LIKE 'A \"quoted\"%two lines'").count() == 3600
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", kept)
+    reader = archives.ZipMembers({"paths": json.dumps([str(tmp_path)]), "columns": json.dumps(["area_fips"])})
+    reader = reader.reader(reader.schema())
+    monkeypatch.setattr(archives, "BATCH_ROWS", 500)
+    members = reader.partitions()
+    assert len(members) == 4 and [b.num_rows for b in reader.read(members[0])] == [500, 500, 200]
+
+
+def test_archives_with_bad_members_stop_the_run(spark, tmp_path):
+    short = archive(tmp_path / "short.zip", {"2020 a County.csv": "area_fips,year\n1,2\n"})
+    with pytest.raises(Exception, match="lacks the columns"):
+        archives.read_zipped_facts(spark, short).collect()
+    head = "area_fips,own_code,industry_code,year,area_title,annual_avg_emplvl\n"
+    long = archive(tmp_path / "long.zip", {"2020 a County.csv": head + "1,2,3,4,5,6,7\n"})
+    with pytest.raises(Exception, match="line of 7 fields"):
+        archives.read_zipped_facts(spark, long).collect()
+    none = archive(tmp_path / "none.zip", {"2020 national.csv": head})
+    assert archives.read_zipped_facts(spark, none).collect() == []
+    with pytest.raises(Exception, match="nowhere"):
+        archives.read_zipped_facts(spark, str(tmp_path / "nowhere.zip")).collect()
+
+
+def test_bad_years_and_numbers_are_set_aside_on_landing(spark, tmp_path):
+    head = "area_fips,own_code,industry_code,year,area_title,annual_avg_emplvl\n"
+    path = archive(tmp_path / "a.zip", {"a County.csv": head + "1,0,10,2020,A,5\n2,0,10,MMXX,A,6\n3,0,10,2020,A,\"1,234\"\n4,x,10,2020,A,7\n"})
+    with pytest.raises(quality.DataCheckError, match="3 of 4 rows of facts"):
+        archives.land_zipped_facts(spark, path, str(tmp_path / "facts"), rejects.Policy("fail"))
+    archives.land_zipped_facts(spark, path, str(tmp_path / "facts"), rejects.Policy("warn", str(tmp_path / "bad")))
+    assert [r.area_fips for r in delimited.read_facts(spark, str(tmp_path / "facts")).collect()] == ["1"]
+    bad = spark.read.parquet(str(tmp_path / "bad")).select("column", "raw").collect()
+    assert sorted(map(tuple, bad)) == [("annual_avg_emplvl", "1,234"), ("own_code", "x"), ("year", "MMXX")]
+
+
 def test_mines_archive_must_hold_one_file(spark, tmp_path):
     good = archive(tmp_path / "good.zip", {"Mines.txt": "MINE_ID|NAME\n1|x\n"})
     assert archives.read_zipped_mines(spark, good, ["MINE_ID", "NAME"]).first().NAME == "x"

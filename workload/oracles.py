@@ -424,3 +424,43 @@ _add("area_titles_csv", "SELECT lpad(s_suppkey::VARCHAR, 5, '0') AS area_fips, s
 _add("area_layers", f"""SELECT lpad(s_suppkey::VARCHAR, 12, '0') AS tract_id_fips, 'Tract ' || s_suppkey AS tract_name,
     {_area} AS area, CASE s_suppkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 8 END AS n_edges FROM supplier""")
 _add("result_sink", """SELECT site_name, geoid, qualifying_criteria, latitude, longitude FROM brownfield_county""")
+
+_add("site_area_join_many_vertices", """SELECT o_orderkey, n_nationkey FROM hits UNION ALL
+    SELECT o_orderkey, NULL FROM points WHERE o_orderkey NOT IN (SELECT o_orderkey FROM hits)""",
+     ("points", """SELECT o_orderkey, o_orderkey * 7919 % 8051 / 4::DOUBLE - 5 AS px,
+        o_orderkey * 104729 % 1031 / 4::DOUBLE - 2 AS py FROM orders"""),
+     ("hits", """SELECT o_orderkey, n_nationkey FROM points JOIN nation ON px BETWEEN 0 AND 2000
+        AND py BETWEEN n_nationkey * 10 AND n_nationkey * 10 + 5 + if(px % 2 <= 1, px % 2, 2 - px % 2)"""))
+
+
+def _hash(text: str, digits: int) -> str:
+    return f"('0x' || substr(md5({text}), 1, {digits}))::BIGINT"
+
+
+def _corner(k: int) -> str:
+    return f"(x0 + {(0, 1, 1, 0, 0)[k]} * side)::DOUBLE || ' ' || (y0 + {(0, 0, 1, 1, 0)[k]} * side)::DOUBLE"
+
+
+_ring = " || ',' || ".join(_corner(k) for k in range(5))
+_hashed = " UNION ALL ".join(
+    f"SELECT '{level}' AS layer, {_hash(level + '_id_fips || chr(35) || ' + _ring, 15)} AS h FROM {t}"
+    for level, t in (("county", "counties"), ("tract", "tracts"))
+)
+_add("layer_fingerprint", "SELECT layer, count(*) AS n, sum(h)::VARCHAR AS total, bit_xor(h) AS mixed FROM hashed GROUP BY ALL",
+     ("hashed", _hashed))
+_add("area_crs", "SELECT 'tract' AS level, count(*) AS n, 'EPSG:4269' AS crs, 'EPSG:4269' AS accepted FROM tracts")
+_add("exact_sums", """SELECT l_suppkey, sum(l_partkey % 1000)::DOUBLE / 137438953472::DOUBLE AS total,
+    (count(*) + count(*) FILTER (l_partkey % 1000 > 0))::BIGINT AS n FROM lineitem GROUP BY ALL""")
+_shape = f"""1 AS n_rings, 4 AS n_edges, 9::DOUBLE AS area, x0::DOUBLE AS min_x, y0::DOUBLE AS min_y, (x0 + 3)::DOUBLE AS max_x,
+    (y0 + 3)::DOUBLE AS max_y, ({' + '.join(_hash(_corner(k), 12) for k in range(4))})::BIGINT AS vertices"""
+_add("feature_geometry", f"""SELECT f.*, {_shape} FROM mine_features f JOIN tracts ON tract_id_fips = geoid""",
+     ("mine_features", _features.format(t="mines_tract")))
+_add("coal_rule_geometry", """SELECT geoid, qualifying_criteria, longitude AS site_x, latitude AS site_y, n_rings, n_edges, area,
+    min_x, min_y, max_x, max_y, vertices FROM coal_tract LEFT JOIN shapes s ON s.id = geoid""",
+     ("shapes", f"SELECT tract_id_fips AS id, {_shape} FROM tracts"))
+_add("load_rejects", """SELECT 'mines' AS source, 'current_status_dt' AS "column", 'unknown' AS raw, count(*) AS n
+      FROM orders WHERE o_orderkey % 211 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'facts', 'year', 'n/a', count(*) FROM lineitem WHERE l_orderkey % 97 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'facts', 'annual_avg_emplvl', '1,234', count(*) FROM lineitem WHERE l_orderkey % 89 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'mines', 'kept', '', count(*) FROM orders WHERE o_orderkey % 211 <> 0
+    UNION ALL SELECT 'facts', 'kept', '', count(*) FROM lineitem WHERE l_orderkey % 97 <> 0 AND l_orderkey % 89 <> 0""")

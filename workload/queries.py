@@ -11,7 +11,7 @@ from areaqual import constants as K
 from areaqual.functions import geometry as geo
 from areaqual.functions import numeric, predicates, text
 from areaqual.operators import adjacency as adj
-from areaqual.operators import aggregates, columns, dedupe, joins, quality, spatial
+from areaqual.operators import aggregates, columns, dedupe, fingerprints, joins, quality, rejects, spatial, sums
 from areaqual.plans import coal, crosswalks, employment, layers, report, sites
 from areaqual.sources import archives, areas, delimited, series, sinks
 from areaqual.sources.sinks import write_and_reuse as _store
@@ -308,6 +308,48 @@ def site_area_join_shaped(spark, d):
     return spatial.intersect_join(points, layer, "s_suppkey").select("o_orderkey", "s_suppkey")
 
 
+@query
+def site_area_join_many_vertices(spark, d):
+    """Areas of 2,000 vertices, points on quarter units."""
+    points = T.table(spark, d, "orders").select(
+        "o_orderkey", F.expr("o_orderkey * 7919 % 8051 / 4D - 5").alias("longitude"),
+        F.expr("o_orderkey * 104729 % 1031 / 4D - 2").alias("latitude"),
+    )
+    joined = spatial.intersect_join(points, T.saw_layer(spark, d), "n_nationkey", store=_store)
+    return joined.select("o_orderkey", "n_nationkey")
+
+
+@query
+def layer_fingerprint(spark, d):
+    layer = {"county": T.county_layer(spark, d), "tract": T.tract_layer(spark, d)}
+    prints = [
+        fingerprints.layer_fingerprint(df, f"{name}_id_fips").select(F.lit(name).alias("layer"), *fingerprints.FIELDS)
+        for name, df in layer.items()
+    ]
+    return prints[0].unionByName(prints[1])
+
+
+@query
+def area_crs(spark, d):
+    """Layers written with their coordinate system and read again; without one they are refused."""
+    path = _out(spark, "area-crs")
+    tracts = T.tract_layer(spark, d).select(
+        F.lit("tract").alias("level"), F.col("tract_id_fips").alias("geoid"), F.col("tract_name").alias("name"),
+        F.lit(None).cast("string").alias("abbr"), F.col("area_geometry").alias("geometry"),
+    )
+    accepted = []
+    for crs in (None, "EPSG:3857", K.GEOGRAPHIC_CRS):
+        try:
+            areas.write_areas(tracts if crs is None else areas.in_crs(tracts, crs), path)
+            accepted.append(crs)
+        except quality.DataCheckError:
+            pass
+    read = areas.read_areas(spark, path)
+    return read.groupBy("level").agg(F.count(F.lit(1)).alias("n")).select(
+        "level", "n", F.lit(areas.crs_of(read)).alias("crs"), F.lit(",".join(accepted)).alias("accepted")
+    )
+
+
 @query
 def adjacency(spark, d):
     return T.square_adjacency(spark, d, "tract")
@@ -354,7 +396,7 @@ _PLACE = ["latitude", "longitude", "qualifying_criteria", "qualifying_area"]
 
 
 def _located(clean, raw, spark, d, level):
-    index = {"grid": T.layer_grid(spark, d, level), "cells": T.layer_cells(spark, d, level), "store": _store}
+    index = {"index": T.layer_index(spark, d, level), "store": _store}
     return clean(raw(spark, d), T.layer(spark, d, level), level, **index)
 
 
@@ -446,6 +488,28 @@ def feature_priority(spark, d):
     return _features(spark, d, _mines(spark, d, "tract")).select("geoid", "primary_or_adj")
 
 
+def _shape(geometry):
+    return F.inline(F.array(geo.digest(geometry)))
+
+
+@query
+def feature_geometry(spark, d):
+    return _features(spark, d, _mines(spark, d, "tract")).select("geoid", "primary_or_adj", _shape("geometry"))
+
+
+@query
+def coal_rule_geometry(spark, d):
+    """The coal rule with its points and polygons."""
+    df = coal.coal_rule(
+        _store(_mines(spark, d, "tract"), "mines"), _store(_generators(spark, d, "tract"), "generators"),
+        T.stored_adjacency(spark, d, "tract"), T.tract_layer(spark, d), T.states(spark, d), T.counties(spark, d),
+    )
+    places = [F.col(f"site_geometry.{c}").alias(f"site_{c}") for c in "xy"]
+    return df.select("geoid", "qualifying_criteria", *places, geo.digest("area_geometry").alias("shape")).select(
+        "geoid", "qualifying_criteria", "site_x", "site_y", "shape.*"
+    )
+
+
 @query
 def feature_combined(spark, d):
     mines, generators = (_features(spark, d, f(spark, d, "tract")) for f in (_mines, _generators))
@@ -457,6 +521,15 @@ def acreage_three_ways(spark, d):
     return report.brownfield_acreage(_store(_brownfield_sites(spark, d, "county"), "brownfields"))
 
 
+@query
+def exact_sums(spark, d):
+    """Per supplier huge values that cancel and tiny ones that stay; plain doubles lose them or not, by order."""
+    lines = T.table(spark, d, "lineitem").select("l_suppkey", "l_quantity", "l_partkey")
+    values = [F.col("l_quantity") * 1e18, F.col("l_partkey") % 1000 * 2.0**-37, F.col("l_quantity") * -1e18]
+    spread = lines.select("l_suppkey", F.explode(F.array(*values)).alias("v"))
+    return sums.exact_sums(spread, ["l_suppkey"], {"total": F.col("v")}, {"n": F.col("v") > 0})
+
+
 @query
 def exact_median(spark, d):
     return aggregates.exact_median(T.table(spark, d, "lineitem"), "l_extendedprice")
@@ -469,6 +542,28 @@ def county_report(spark, d):
     return report.county_report(result, acreage, T.tract_layer(spark, d), T.county_layer(spark, d))
 
 
+# --- rejects ---
+
+
+@query
+def load_rejects(spark, d):
+    """Values that do not fit, set aside by source while the other rows go on; how many of each, and how many rows went on."""
+    folder = _out(spark, "rejects")
+    policy = rejects.Policy("warn", folder, _store)
+    mines = rejects.checked(sites.mine_headers(T.mines_raw(spark, d)), sites.MINE_TYPES, "mines", policy)
+    facts = T.table(spark, d, "lineitem").select(
+        F.expr("if(l_orderkey % 97 = 0, 'n/a', string(year(l_shipdate)))").alias("year"), F.lit("5").alias("own_code"),
+        F.expr("if(l_orderkey % 89 = 0, '1,234', string(int(l_quantity)))").alias("annual_avg_emplvl"),
+    )
+    facts = rejects.checked(facts, archives.FACT_TYPES, "facts", policy)
+    bad = spark.read.parquet(folder).groupBy("source", "column", "raw").agg(F.count(F.lit(1)).alias("n"))
+    kept = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("source"), F.lit("kept").alias("column"), F.lit("").alias("raw"), "n")
+        for name, df in (("mines", mines), ("facts", facts))
+    ]
+    return bad.select("source", "column", "raw", "n").unionByName(kept[0]).unionByName(kept[1])
+
+
 # --- checks ------------------------------------------------------------------------------------
 
 
@@ -553,21 +648,23 @@ def yearly_partitions(spark, d):
 
 @query
 def zipped_members(spark, d):
-    """Archives made from the order table and unpacked again."""
-    return archives.unzip_rows(_archives(spark, d), ["o_orderkey", "o_custkey", "o_orderstatus"]).select(
+    """Archives made from the order table and unpacked again, a task for each wanted member."""
+    return archives.read_members(spark, _archives(spark, d), ["o_orderkey", "o_custkey", "o_orderstatus"]).select(
         F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_custkey").cast("bigint").alias("o_custkey"),
         "o_orderstatus",
     )
 
 
 def _archives(spark, d):
-    """One small archive per batch of orders: two wanted members and one to be ignored."""
+    """One small archive per batch of orders in the shared folder: two wanted members and one to be ignored."""
+    folder = _out(spark, "archives")
 
     def pack(batches):
         import io
         import zipfile
 
         import pandas as pd
+        from pyspark import TaskContext
 
         for number, pdf in enumerate(batches):
             buffer = io.BytesIO()
@@ -576,10 +673,15 @@ def _archives(spark, d):
                 z.writestr("1999 a County data.csv", pdf.iloc[:half].to_csv(index=False))
                 z.writestr("1999 b MSA data.csv", pdf.iloc[half:].to_csv(index=False))
                 z.writestr("1999 c State data.csv", pdf.to_csv(index=False))
-            yield pd.DataFrame({"path": [f"batch-{number}.zip"], "content": [buffer.getvalue()]})
+            path = f"{folder}/batch-{TaskContext.get().partitionId()}-{number}.zip"
+            store, inner = archives.open_store(path)
+            store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(inner) as out:
+                out.write(buffer.getvalue())
+            yield pd.DataFrame({"path": [path]})
 
     orders = T.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return orders.mapInPandas(pack, "path string, content binary")
+    return [r["path"] for r in orders.mapInPandas(pack, "path string").collect()]
 
 
 @query

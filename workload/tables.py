@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
-from areaqual.operators import spatial
+from areaqual.operators import quadtree
 from areaqual.operators.adjacency import adjacency
 from areaqual.sources import sinks
 
@@ -100,6 +100,18 @@ def shaped_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.select("s_suppkey", geo.normalise("raw").alias("geometry"))
 
 
+TEETH = 2000
+
+
+def saw_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation an area of thousands of vertices: a strip whose upper border goes up and down by one at every step."""
+    y = "n_nationkey * 10D"
+    upper = f"transform(sequence({TEETH}, 0, -1), k -> named_struct('x', double(k), 'y', {y} + 5 + k % 2))"
+    corners = f"array(named_struct('x', 0D, 'y', {y}), named_struct('x', {float(TEETH)}D, 'y', {y}))"
+    ring = f"concat({corners}, {upper}, array(named_struct('x', 0D, 'y', {y})))"
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.expr(f"array(array({ring}))").alias("geometry"))
+
+
 def place(key: str, shift: float = 0.0) -> tuple[str, str]:
     """Longitude and latitude of a key, as SQL."""
     return (
@@ -253,18 +265,8 @@ def stored_adjacency(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     return once(spark, sf_dir, f"adjacency {level}", build)
 
 
-def layer_grid(spark: SparkSession, sf_dir: str, level: str) -> spatial.Grid:
-    return once(
-        spark, sf_dir, f"grid {level}", lambda: spatial.fit_area_grid(layer(spark, sf_dir, level), "area_geometry")
-    )
-
-
-def layer_cells(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
-    """The stored cell index of a layer."""
-
-    def build() -> DataFrame:
-        grid = layer_grid(spark, sf_dir, level)
-        cells = spatial.area_cells(layer(spark, sf_dir, level), grid, f"{level}_id_fips", "area_geometry")
-        return sinks.write_and_reuse(cells, f"cells-{level}")
-
-    return once(spark, sf_dir, f"cells {level}", build)
+def layer_index(spark: SparkSession, sf_dir: str, level: str) -> quadtree.AreaIndex:
+    """The stored index of a layer."""
+    return once(spark, sf_dir, f"index {level}", lambda: quadtree.build_index(
+        layer(spark, sf_dir, level), f"{level}_id_fips", "area_geometry", sinks.write_and_reuse
+    ))
