@@ -172,7 +172,7 @@ def test_warnings_of_the_run(spark, landed, tmp_path, caplog, monkeypatch, rule)
                                  "annual_avg_emplvl int").write.mode("overwrite").partitionBy("year").parquet(str(root / "facts"))
     run(spark, root, rule)
     text = caplog.text
-    assert "1 counties of the facts are in no crosswalk" in text and "48441" in text
+    assert "3 counties of the facts are in no crosswalk" in text and "48441" in text
     assert "crosswalk counties have no unemployment data" in text and "99001" in text
     assert "statistical areas have no unemployment rate" in text and "C9999" in text
     assert "in areas with fossil employment but no total" in text
