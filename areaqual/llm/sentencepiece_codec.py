@@ -2,8 +2,10 @@
 
 A text is read once. For every boundary between characters the survivor is the one piece that ends there and may
 follow the survivor of its own start; only boundaries that a further piece can still reach back to are held. As soon
-as the paths of all held boundaries run through one boundary, the ids up to it are final. The vocabulary is of the
-merge kind, so a piece may follow another if merging their joined text gives back just these two; a text then has
+as the paths of all held boundaries run through one boundary, the ids up to it are final.
+
+A model is of one of two kinds. In a unigram model the survivor is the piece with the highest sum of scores up to it.
+In a merge model a piece may follow another if merging their joined text gives back just these two; a text then has
 one path of pieces that may follow each other, and it is what merging gives.
 """
 
@@ -14,6 +16,7 @@ from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,7 @@ class Vocabulary:
     scores: list[float]
     byte_ids: list[int]  # of the 256 bytes
     idle: set[int]  # control and unknown pieces: never a result
+    kind: str = "merge"  # or "unigram"
     ids: dict[str, int] = field(init=False)
     tree: dict[str, list] = field(init=False, default_factory=dict)  # character -> id or -1, and the tree behind it
     longest: int = field(init=False)
@@ -50,7 +54,8 @@ class Vocabulary:
         skip = self.idle | set(self.byte_ids)
         self.ids = {p: k for k, p in enumerate(self.pieces) if k not in skip}
         self.longest = max(map(len, self.ids), default=1)
-        self.ids = {p: k for p, k in self.ids.items() if is_whole(p, self)}  # the others are never made
+        if self.kind == "merge":
+            self.ids = {p: k for p, k in self.ids.items() if is_whole(p, self)}  # the others are never made
         for p, k in self.ids.items():
             here = self.tree
             for c in p:
@@ -66,16 +71,72 @@ class Vocabulary:
             self.decoded[k] = bytes([b])
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of every field of a message in the protocol buffer format."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = number()
+        if key & 7 == 0:
+            value = number()
+        else:
+            size = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+            value, at = message[at : at + size], at + size
+        yield key >> 3, value
+
+
+# Fixed values of the model format: fields of the model, its piece types, and the kinds of model.
+PIECE, TRAINER, NORMALISER = 1, 2, 3
+PIECE_TYPE, USER_DEFINED = 3, 4
+KINDS = {1: "unigram", 2: "merge"}
+
+
+def model_kind(model: bytes) -> str:
+    """The kind of a model, or an error if it is one whose ids are not made here: another kind, a normaliser that changes
+    texts, other rules for white space, no byte fallback, or pieces that users have added."""
+    held: dict[int, dict] = {TRAINER: {}, NORMALISER: {}}
+    added = 0
+    for k, value in fields(model):
+        if k in held:
+            held[k] = dict(fields(value))
+        elif k == PIECE:
+            added += dict(fields(value)).get(PIECE_TYPE, 1) == USER_DEFINED
+    trainer, rules = held[TRAINER], held[NORMALISER]
+    kind = KINDS.get(trainer.get(3, 1))
+    refused = {
+        f"its kind is number {trainer.get(3, 1)}": kind is None, "it has no byte fallback": not trainer.get(35, 0),
+        "white space follows its words": trainer.get(24, 0), "its normaliser changes texts": bool(rules.get(2, b"")),
+        "it puts no space before texts": not rules.get(3, 1), "it drops white space": rules.get(4, 1),
+        "it keeps spaces as they are": not rules.get(5, 1), "it has pieces added by users": added,
+    }
+    if any(refused.values()):
+        raise ValueError("This model is not handled: " + "; ".join(text for text, found in refused.items() if found))
+    return kind
+
+
 def load_vocabulary(path: str) -> Vocabulary:
-    """Read a SentencePiece model with byte fallback."""
+    """Read a SentencePiece model with byte fallback; see :func:`model_kind` for what is refused."""
     import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = Path(path).read_bytes()
+    kind = model_kind(model)
+    m = sentencepiece.SentencePieceProcessor(model_proto=model)
     n = m.get_piece_size()
     pieces = [m.id_to_piece(k) for k in range(n)]
     by_name = {p: k for k, p in enumerate(pieces)}
     idle = {k for k in range(n) if m.is_control(k) or m.is_unknown(k) or m.is_unused(k)}
-    return Vocabulary(pieces, [m.get_score(k) for k in range(n)], [by_name[f"<0x{b:02X}>"] for b in range(256)], idle)
+    return Vocabulary(pieces, [m.get_score(k) for k in range(n)], [by_name[f"<0x{b:02X}>"] for b in range(256)], idle, kind)
 
 
 def _parts(ids: dict[str, int]) -> str:
@@ -191,6 +252,54 @@ def stream(text: str, v: Vocabulary) -> Iterator[list[int]]:
     yield path(before, begin, end)
 
 
+UNKNOWN = np.float32(10)  # fixed value: how far a character without a piece lies below the worst score
+
+
+def stream_by_score(text: str, v: Vocabulary) -> Iterator[list[int]]:
+    """As ``stream``, for a unigram model. Sums are carried along the whole text as 32-bit numbers, as rounding them decides
+    between paths of nearly equal score; between equal ones the longer last piece stays, which was found first."""
+    tree, longest, begin, end = v.tree, v.longest, 0, len(text)
+    scores = np.array(v.scores, np.float32)
+    unknown = min((scores[k] for k in v.ids.values()), default=np.float32(0)) - UNKNOWN
+    before: dict[int, tuple[int, int]] = {0: (-1, -1)}
+    best = {0: np.float32(0)}
+
+    def offer(to: int, at: int, i: int, score: np.float32) -> None:
+        if to not in best or score > best[to]:
+            before[to], best[to] = (at, i), score
+
+    def spelled(upto: int) -> list[int]:
+        """The ids of the survivor; a character without a piece is given in bytes."""
+        out, at = [], begin
+        for i in path(before, begin, upto):
+            if i < 0:
+                out += [v.byte_ids[b] for b in (SPACE if text[at] == MARK else text[at]).encode()]
+            else:
+                out.append(i)
+            at += 1 if i < 0 else len(v.pieces[i])
+        return out
+
+    for at in range(end):
+        total, here, to, alone = best.pop(at), tree, at, False
+        for c in text[at : at + longest]:
+            if c not in here:
+                break
+            i, here = here[c]
+            to += 1
+            if i >= 0:
+                alone |= to == at + 1
+                offer(to, at, i, total + scores[i])
+        if not alone:
+            offer(at + 1, at, -1, total + unknown)
+        if at - begin >= 4 * longest:
+            meet = common(before, at)
+            if meet > begin:
+                yield spelled(meet)
+                before = {k: x for k, x in before.items() if k >= meet}
+                begin = meet
+    yield spelled(end)
+
+
 def common(before: dict[int, tuple[int, int]], at: int) -> int:
     """The last boundary that every path runs through which passes ``at``."""
     live = {k for k in before if k >= at}
@@ -233,7 +342,10 @@ class Known(dict):
 
 
 def encode_text(text: str, v: Vocabulary) -> bytes:
-    """The ids of a text as 32-bit numbers. Parts that no path crosses are encoded alone."""
+    """The ids of a text as 32-bit numbers. Parts that no path crosses are encoded alone in a merge model."""
+    if v.kind == "unigram":
+        marked = (" " + text).replace(SPACE, MARK).replace(" ", SPACE)
+        return array("i", chain.from_iterable(stream_by_score(marked, v))).tobytes() if text else b""
     return b"".join(map(v.known.__getitem__, v.parts.findall(" " + text))) if text else b""
 
 
@@ -248,7 +360,7 @@ def decode_ids(ids: Sequence[int] | np.ndarray, v: Vocabulary) -> str:
 def _shared(docs: DataFrame, path: str):
     """The vocabulary for the tasks; each Python worker makes it once and keeps what it has learned of words."""
     v = load_vocabulary(path)
-    plain = {"parts": (v.pieces, v.scores, v.byte_ids, v.idle)}
+    plain = {"parts": (v.pieces, v.scores, v.byte_ids, v.idle, v.kind)}
     held = docs.sparkSession.sparkContext.broadcast(plain)
 
     def get() -> Vocabulary:
@@ -262,7 +374,8 @@ def _shared(docs: DataFrame, path: str):
 def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row the columns named in ``keep``, ids (array of int), n_ids and exact (decoding gives the text back).
 
-    ``model`` is the path of a SentencePiece model with byte fallback; the driver reads it. Every text is encoded
+    ``model`` is the path of a SentencePiece model with byte fallback, of the unigram or the merge kind; the driver reads it
+    and refuses others. Every text is encoded
     whole, a space is put before it as the model asks, and what is held for it is bounded by the longest piece
     besides its own text and ids. A null text has null ids, n_ids 0 and a null exact; an empty one has no ids and
     is exact. Repeated rows are encoded alike; other columns do not matter.
