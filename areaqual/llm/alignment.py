@@ -118,8 +118,8 @@ def _ranked(given: dict, entries: list[bytes], special: dict[int, str]):
 class Aligned:
     """How two id lists lie on each other: after how many ids each group ends, and the linked places of both."""
 
-    cuts_a: list[int]
-    cuts_b: list[int]
+    cuts_a: np.ndarray
+    cuts_b: np.ndarray
     link_a: np.ndarray
     link_b: np.ndarray
 
@@ -127,17 +127,17 @@ class Aligned:
 def align_ends(ends_a: Sequence[int], ends_b: Sequence[int]) -> Aligned:
     """Groups and links of two ascending lists of ends; both must end at the same place, if anywhere."""
     known_a, known_b = dict(zip(ends_a, count(1))), dict(zip(ends_b, count(1)))
-    shared = [e for e in known_a if e in known_b]  # in order, as dictionaries keep the order they were filled in
-    cuts_a, cuts_b = list(picked(known_a, shared)), list(picked(known_b, shared))
-    to_a, to_b = np.array([0, *cuts_a]), np.array([0, *cuts_b])
-    size_a, size_b = np.diff(to_a), np.diff(to_b)
+    shared = list(filter(known_b.__contains__, known_a))  # in order, as dictionaries keep the order they were filled in
+    cuts_a, cuts_b = (np.fromiter(map(k.__getitem__, shared), np.int64, len(shared)) for k in (known_a, known_b))
+    size_a, size_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+    from_a, from_b = cuts_a - size_a, cuts_b - size_b
     links = size_a + size_b - 1  # no two ends inside a group are equal
     at = np.cumsum(links) - links
     step = np.arange(int(links.sum())) - np.repeat(at, links)  # a side of one token keeps it, the other goes on
-    link_a = np.repeat(to_a[:-1], links) + np.minimum(step, np.repeat(size_a - 1, links))
-    link_b = np.repeat(to_b[:-1], links) + np.minimum(step, np.repeat(size_b - 1, links))
-    for g in np.flatnonzero((size_a > 1) & (size_b > 1)).tolist():
-        i, j, last_a, last_b, k = int(to_a[g]), int(to_b[g]), cuts_a[g] - 1, cuts_b[g] - 1, int(at[g])
+    link_a = np.repeat(from_a, links) + np.minimum(step, np.repeat(size_a - 1, links))
+    link_b = np.repeat(from_b, links) + np.minimum(step, np.repeat(size_b - 1, links))
+    both = (size_a > 1) & (size_b > 1)
+    for i, j, last_a, last_b, k in zip(*(x[both].tolist() for x in (from_a, from_b, cuts_a - 1, cuts_b - 1, at))):
         while i < last_a or j < last_b:
             if ends_a[i] < ends_b[j]:
                 i += 1
@@ -172,7 +172,7 @@ class Writer:
             self.words = self.words.view(np.uint64)  # picked faster
 
     def spell(self, ids_a: np.ndarray, ids_b: np.ndarray, aligned: Aligned, at_once: int = 1 << 16) -> Iterator[bytes]:
-        cuts_a, cuts_b = np.array(aligned.cuts_a), np.array(aligned.cuts_b)
+        cuts_a, cuts_b = aligned.cuts_a, aligned.cuts_b
         sizes_a, sizes_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
         place_a = np.arange(len(ids_a)) + np.repeat(cuts_b - sizes_b, sizes_a)
         place_b = np.arange(len(ids_b)) + np.repeat(cuts_a, sizes_b)
@@ -229,8 +229,9 @@ def align(docs: DataFrame, a: str, b: str, keep: tuple[str, ...] = ("doc_id",))
                 ids_a, ids_b, groups = found or ([], [], None)
                 spans = []
                 if groups:
-                    ends = np.cumsum(encoder_a.sizes[ids_a])[np.array(groups.cuts_a) - 1].tolist()
-                    fields = zip([0, *ends], ends, [0, *groups.cuts_a], groups.cuts_a, [0, *groups.cuts_b], groups.cuts_b)
+                    ends = np.cumsum(encoder_a.sizes[ids_a])[groups.cuts_a - 1].tolist()
+                    cuts = [[0, *x.tolist()] for x in (groups.cuts_a, groups.cuts_b)]
+                    fields = zip([0, *ends], ends, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])
                     spans = [dict(zip(("start", "end", "a_from", "a_to", "b_from", "b_to"), f)) for f in fields]
                 rest = [batch.column(k + 1).slice(at, 1) for k in range(len(keep))]
                 made = [pa.array([ids_a], pa.list_(pa.int32())), pa.array([ids_b], pa.list_(pa.int32())), pa.array([spans], _SPANS)]
