@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import sys
 
 from pyspark import cloudpickle
@@ -49,8 +48,28 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def local_file(spark, path: str) -> str:
-    """A file that every task can open: the path itself, as it is installed with the software on every machine."""
-    if not os.path.isfile(path):
-        raise FileNotFoundError(path)
-    return path
+def repeated(df: DataFrame, n: str, number: str, step: int = 1 << 14, counts: DataFrame | None = None) -> DataFrame:
+    """Every row as often as its column ``n`` says, numbered from 1 in ``number``.
+
+    A row that is wanted more than ``step`` times is cut into stretches of that length, which are dealt to all tasks before
+    they are spread out, so no array is longer than ``step`` or n / ``step``. ``counts`` is a table with the same ``n``, if
+    one is cheaper to look through for such rows; ``df`` is computed twice where there are any.
+    """
+    df = df.filter(F.col(n) > 0)
+    one = F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
+    if (df if counts is None else counts).filter(F.col(n) > step).isEmpty():
+        return df.withColumn(number, one)
+    few, many = df.filter(F.col(n) <= step).withColumn(number, one), df.filter(F.col(n) > step)
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step)))
+    dealt = many.withColumn("__stretch", stretch).repartition(F.col("__stretch"))
+    begin = F.col("__stretch") * step
+    spread = F.explode(F.sequence(begin + 1, F.least(begin + step, F.col(n))))
+    return few.unionByName(dealt.withColumn(number, spread).drop("__stretch"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores behind it as it takes to be none of those taken."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
