@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from areaqual.llm.common import stored
+from areaqual.llm.common import col, free_name, repeated, stored
 
 HASH_BITS = 60
 
@@ -80,8 +80,8 @@ def assign_shards(docs: DataFrame, max_bytes: int) -> DataFrame:
     least one. So no shard is over the limit except one of a single text that is. A null text has no bytes, a null id
     is hashed like an empty one; other columns do not matter, and an empty table gives no shards.
     """
-    one, over, per_part = _placed(docs, max_bytes), F.col("over"), F.col("per_part")
-    numbered = one.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    over, per_part = F.col("over"), F.col("per_part")
+    numbered = repeated(stored(_placed(docs, max_bytes), "placed"), "n", "k")
     part = F.when(over, F.floor((F.col("k") - 1) / per_part)).otherwise(0).cast("long")
     docs_there = F.when(over, F.least(per_part, F.col("n") - part * per_part)).otherwise(F.col("shard_docs"))
     bytes_there = F.when(over, docs_there * F.col("bytes")).otherwise(F.col("shard_bytes"))
@@ -95,29 +95,34 @@ def write_shards(docs: DataFrame, path: str, max_bytes: int) -> None:
     """Write all rows of ``docs`` below ``path``, one folder for each shard; repeated rows are written as often as given.
 
     The folders are shard=<depth>-<prefix>/part=<part>, with the parts of ``assign_shards``: repeated rows that are over
-    the limit together are numbered in chunks of the input and dealt to parts, each of which is one file.
+    the limit together are numbered in chunks of the input and dealt to parts, each of which is one file. If ``docs`` has
+    a column of one of these names, the folders' name gets an underscore behind it.
     """
-    one = stored(_placed(docs, max_bytes).select("doc_id", "hash", "bytes", "depth", "prefix", "per_part"), "placed")
+    shard, part = (free_name(n, docs.columns) for n in ("shard", "part"))
+    placed = _placed(docs, max_bytes).select("doc_id", "hash", "bytes", "depth", "prefix", "per_part")
+    one = stored(placed.toDF("__p_id", "__p_hash", "__p_bytes", "__depth", "__prefix", "__per_part"), "placed")
     keyed = hashed(docs).withColumn("__id", F.col("doc_id").cast("long"))
-    same = keyed["__id"].eqNullSafe(one["doc_id"]) & (keyed["__hash"] == one["hash"]) & (keyed["__bytes"] == one["bytes"])
-    name = F.concat(one["depth"].cast("string"), F.lit("-"), F.hex(one["prefix"])).alias("shard")
-    own = [keyed[c] for c in docs.columns]
-    joined = keyed.join(one, same).select(*own, name, one["per_part"].alias("__per_part"), "__hash", "__bytes")
-    out = joined.filter("__per_part is null").select(*docs.columns, "shard", F.lit(0).cast("long").alias("part"))
-    if not one.filter("per_part is not null").isEmpty():
-        out = out.unionByName(_dealt(joined.filter("__per_part is not null")).select(*out.columns))
-    out.repartition("shard", "part").write.partitionBy("shard", "part").parquet(path)
-
-
-def _dealt(rows: DataFrame, chunk_bits: int = 13) -> DataFrame:
-    """The rows with ``part``: equal ones are numbered within chunks, and the counts of the chunks before are added."""
+    same = (
+        F.col("__id").eqNullSafe(F.col("__p_id")) & (F.col("__hash") == F.col("__p_hash")) & (F.col("__bytes") == F.col("__p_bytes"))
+    )
+    name = F.concat(F.col("__depth").cast("string"), F.lit("-"), F.hex("__prefix"))
+    own = [col(docs, c) for c in docs.columns]
+    joined = keyed.join(one, same).select(*own, name.alias(shard), "__per_part", "__hash", "__bytes")
+    out = joined.filter("__per_part is null").select(*own, shard, F.lit(0).cast("long").alias(part))
+    if not one.filter("__per_part is not null").isEmpty():
+        out = out.unionByName(_dealt(joined.filter("__per_part is not null"), part).select(*own, shard, part))
+    out.repartition(shard, part).write.partitionBy(shard, part).parquet(path)
+
+
+def _dealt(rows: DataFrame, name: str, chunk_bits: int = 13) -> DataFrame:
+    """The rows with their part as ``name``: equal ones are numbered within chunks, and the counts of the chunks before are added."""
     # Stored, as numbers that follow the input's partitions must not change between counting and use.
     rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "repeated")
     rows = rows.withColumn("__chunk", F.call_function("shiftright", F.col("__row"), F.lit(chunk_bits)))
     key = ["__hash", "__bytes", "__chunk"]
     earlier = Window.partitionBy("__hash", "__bytes").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    before = counts.select(*key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    counts = rows.groupBy(*key).agg(F.count("*").alias("__n"))
+    before = counts.select(*key, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     numbered = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy("__row")))
     part = F.floor((F.col("__before") + F.col("__k") - 1) / F.col("__per_part")).cast("long")
-    return numbered.join(before, key).withColumn("part", part)
+    return numbered.join(before, key).withColumn(name, part)
