@@ -22,7 +22,7 @@ HEADLINE = [
     "crosswalk_join", "code_share_flag", "scenario_shares", "local_rate", "employment_rule",
     "keep_latest", "site_area_join", "site_area_join_shaped", "adjacency", "mines_located", "generators_located",
     "adjacent_records", "coal_rule_tract", "brownfield_rule", "acreage_three_ways", "exact_median",
-    "all_rules", "county_report",
+    "all_rules", "county_report", "site_area_join_many_vertices", "exact_sums", "load_rejects", "zipped_members",
 ]
 
 
