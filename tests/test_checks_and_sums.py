@@ -200,3 +200,37 @@ def test_geometry_attached_by_id_with_its_name_and_digest(spark):
     assert (d["n_rings"], d["n_edges"], d["area"], d["min_x"], d["max_y"]) == (1, 4, 1.0, 0.0, 1.0)
     turned = spark.createDataFrame([([[[{"x": x, "y": y} for x, y in ((1.0, 1.0), (0.0, 1.0), (0.0, 0.0), (1.0, 0.0), (1.0, 1.0))]]],)], f"g {geo.GEOMETRY_DDL}")
     assert turned.select(geo.digest("g").alias("d")).first()["d"]["vertices"] == d["vertices"]
+
+
+def test_rows_are_summed_without_lists_or_decimals(spark):
+    """Only the few partial sums are made into lists; before, each row was."""
+    df = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    made = sums.exact_sums(df, ["k"], {"s": F.col("v")}, {"n": F.lit(True)})
+    optimized = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = max(i for i, line in enumerate(optimized) if "Aggregate" in line)  # the one next to the rows
+    assert "sum(shiftright(" in optimized[first]
+    assert not any("Generate" in line or "lambda" in line for line in optimized[first:])
+
+
+def test_sums_at_the_border_of_small_and_large_values(spark):
+    """Decimals are held in two ways, below and from 100,000; both may meet in a key, and their sum may not be held at all."""
+    values = {
+        "both": [99999.9999999999, 100000.1, -99999.9, 0.3, 1e20, None, -0.0],
+        "negative": [-0.1] * 30 + [-100000.7, 0.0000000001, -0.0000000003],
+        "many": [99999.9999999999] * 2000,
+        "eleven decimals": [0.1, 0.2, 0.00000000001],
+        "large and eleven decimals": [123456.7, 1e-11],
+        "overflow": [9e25] * 120,
+    }
+    rows = [(k, v) for k, vs in values.items() for v in vs]
+    got = {r["k"]: (r["s"], r["n"]) for r in sums.exact_sums(
+        spark.createDataFrame(rows, "k string, v double"), ["k"], {"s": F.col("v")}, {"n": F.lit(True)}).collect()}
+    as_written = ("both", "negative", "many")
+    want = {k: float(sum(Fraction(repr(v)) if k in as_written else Fraction(v) for v in vs if v is not None)) for k, vs in values.items()}
+    assert got == {k: (want[k], len(values[k])) for k in values}
+
+
+def test_a_key_and_a_count_may_be_named_like_the_value(spark):
+    df = spark.createDataFrame([(1.0,), (1.0,), (2.5,)], "v double")
+    got = sums.exact_sums(df, ["v"], {"s": F.col("v"), "t": F.col("v") * 2}, {"n": F.col("v") > 1}).collect()
+    assert sorted(map(tuple, got)) == [(1.0, 2.0, 4.0, 0), (2.5, 2.5, 5.0, 1)]
