@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
 from areaqual.operators import quadtree
-from areaqual.operators.joins import hot_key_join
+from areaqual.operators.joins import hot_key_join, spread
 from areaqual.operators.spatial import CELL, Grid, cell, fit_grid
 from areaqual.sources.sinks import Store, write_and_reuse
 
@@ -45,14 +45,15 @@ def adjacency(
 ) -> DataFrame:
     """Edge table ``(area_id, adjacent_<area_id>)`` of a layer, both directions of every pair.
 
-    Shapes, contacts and cells are read in several steps; ``store`` writes each once.
+    Shapes, contacts and cells are read in several steps; ``store`` writes each once. Shapes are stored spread, so that the
+    steps on their edges are tasks for all cores.
     """
     groups = store(representatives(areas, area_id, geometry), "shape-groups")
     only_shapes = groups.where("member = shape").select("shape")
     shapes = areas.select(F.col(area_id).alias("shape"), F.col(geometry).alias("geometry")).join(
         only_shapes, "shape", "left_semi"
     )
-    pairs = touching_shapes(store(shapes, "shapes"), grid, store)
+    pairs = touching_shapes(store(spread(shapes, "shape"), "shapes"), grid, store)
     return (
         pairs.join(groups.withColumnsRenamed({"shape": "id", "member": area_id}), "id")
         .join(groups.withColumnsRenamed({"shape": "other", "member": f"adjacent_{area_id}"}), "other")

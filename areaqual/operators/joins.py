@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from areaqual.sources.sinks import Store, keep
 
 _LEFT, _RIGHT, _TIMES = "_aq_salt_left", "_aq_salt_right", "_aq_times"
+_TASKS_PER_CORE = 4
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """The same rows over all cores, by a column. For rows that are short but much work each, as shapes are: a file below
+    one split, or a shuffle of a megabyte, would be a single task however many rows it holds."""
+    return df.repartition(_TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, by)
 
 
 def hot_key_join(

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
-from areaqual.operators.joins import hot_key_join
+from areaqual.operators.joins import hot_key_join, spread
 from areaqual.sources.sinks import Store, keep, write_and_reuse
 
 LEVEL_CELL = ["level", "cx", "cy"]
@@ -49,9 +49,9 @@ def build_index(areas: DataFrame, area_id: str, geometry: str = "geometry", stor
 
     Areas of at most ``bound`` edges are cut to cells row by row. For the others there is a round for each split that any
     of them needs, two levels at a time; in each, the edges of cells that are split are shuffled once by cell. Areas
-    without edges have no cells; ids must be unique.
+    without edges have no cells; ids must be unique. The areas are spread first, as each is much work and few bytes.
     """
-    sized = _first_level(areas.select(F.col(area_id).alias("id"), F.col(geometry).alias("geometry")))
+    sized = _first_level(spread(areas.select(F.col(area_id).alias("id"), F.col(geometry).alias("geometry")), "id"))
     seen = sized.agg(F.max(F.size("edges")).alias("most"), F.collect_set("level").alias("levels")).first()
     leaves = _small_leaves(sized.where(F.size("edges") <= bound))
     if (seen["most"] or 0) <= bound:
