@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from areaqual.functions import text
 
@@ -17,10 +18,23 @@ def to_number(c: Column) -> Column:
     """Parse text to double; anything that is not a finite number becomes null.
 
     Only text that ends like a number is parsed at all: the JVM parser also takes suffixes such as
-    ``1d`` and words such as ``NaN``, and a failing parse is slow.
+    ``1d`` and words such as ``NaN``, and a failing parse is slow. So is stripping: it is left to
+    text that does not end like a number as it is.
     """
-    last = F.right(text.strip(c), F.lit(1))
-    return F.when(last.between("0", "9") | (last == "."), c.try_cast("double"))
+
+    def ends_like_one(value: Column) -> Column:
+        last = F.right(value, F.lit(1))
+        return last.between("0", "9") | (last == ".")
+
+    return F.when(ends_like_one(c) | ends_like_one(text.strip(c)), c.try_cast("double"))
+
+
+def column_to_number(df: DataFrame, name: str) -> Column:
+    """:func:`to_number` of a column of any type; doubles are not made text and parsed again."""
+    c = F.col(name)
+    if isinstance(df.schema[name].dataType, DoubleType):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return to_number(c.cast("string"))
 
 
 def round_half_even(c: Column, digits: int) -> Column:

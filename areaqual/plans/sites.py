@@ -18,7 +18,7 @@ from areaqual.sources.sinks import Store, keep
 
 def _known_places(df: DataFrame) -> DataFrame:
     """Rows with both coordinates, in range, as doubles."""
-    df = df.withColumns({c: numeric.to_number(F.col(c).cast("string")) for c in ("latitude", "longitude")})
+    df = df.withColumns({c: numeric.column_to_number(df, c) for c in ("latitude", "longitude")})
     return df.dropna(subset=["latitude", "longitude"]).where(
         predicates.valid_lat_lon(F.col("latitude"), F.col("longitude"))
     )
@@ -115,7 +115,7 @@ def brownfield_sites(raw: DataFrame, order: Sequence[str] | None = None) -> Data
         {
             "site_name": text.strip_title(F.col("site_name").cast("string")),
             "state": F.col("state").cast("string"),
-            "brownfield_acreage": numeric.to_number(F.col("brownfield_acreage").cast("string")),
+            "brownfield_acreage": numeric.column_to_number(df, "brownfield_acreage"),
         }
     )
     key = ["site_name", "latitude", "longitude"]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
+from areaqual.functions import numeric
 from areaqual.operators import adjacency as adj
 from areaqual.operators import aggregates, columns, dedupe, sums
 from areaqual.plans import coal, layers, report, sites
@@ -238,3 +239,26 @@ def test_sum_keeps_every_digit(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
     total = sums.exact_sums(df, [], {"total": F.col("v")}).first()[0]
     assert total == float(sum(map(Fraction, values)))
+
+
+def test_doubles_are_not_parsed_as_text(spark):
+    values = [1.5, -0.0, 0.0, 1e300, -1e-300, 181.0, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double")
+    direct = numeric.column_to_number(df, "v")
+    assert "string" not in str(direct).lower() and "trim" not in str(direct).lower()
+    rows = df.select(direct.alias("got"), numeric.to_number(F.col("v").cast("string")).alias("want")).collect()
+    assert [str(r.got) for r in rows] == [str(r.want) for r in rows]
+    raw = df.select(
+        F.col("id").alias("Site Name"), F.lit("S").alias("State"), F.lit("x").alias("Program"),
+        F.col("v").alias("Latitude"), F.lit(2.0).alias("Longitude"), F.col("v").alias("Acreage (acres)"),
+    )
+    found = sites.brownfield_sites(raw)
+    assert "trim(cast(Latitude" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.latitude for r in found.collect()) == [-1e-300, 0.0, 0.0, 1.5]
+
+
+def test_numbers_in_text_with_blanks_around(spark):
+    values = {"1": 1.0, " 2.5\t": 2.5, "3.": 3.0, "1d": None, "1d ": None, "NaN": None, "": None, " ": None, "7 x": None, None: None}
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r.v: r.n for r in df.select("v", numeric.to_number(F.col("v")).alias("n")).collect()}
+    assert got == values
