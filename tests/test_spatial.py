@@ -260,3 +260,20 @@ def test_spatial_plans_use_equi_joins(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         for name in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "PythonUDF"):
             assert name not in plan
+
+
+def test_areas_of_one_partition_are_worked_on_by_all_cores(spark):
+    """A layer is a short file, so one task, but every area is much work."""
+    square = geo.polygon(geo.rectangle_ring(*(F.expr(v).cast("double") for v in ("id % 8", "id div 8", "id % 8 + 1", "id div 8 + 1"))))
+    areas = spark.range(0, 64, 1, 1).select(F.col("id").cast("string").alias("geoid"), square.alias("geometry"))
+    tasks = {}
+
+    def store(df, name):
+        tasks[name] = df.rdd.getNumPartitions()
+        return sinks.write_and_reuse(df, name)
+
+    quadtree.build_index(areas, "geoid", store=store)
+    assert tasks.pop("area-cells") >= spark.sparkContext.defaultParallelism
+    edges = adj.adjacency(areas, "geoid", store=store)
+    assert edges.count() == 420 == edges.distinct().count()
+    assert min(tasks["shapes"], tasks["area-cells"]) >= spark.sparkContext.defaultParallelism
