@@ -23,8 +23,7 @@ def to_number(c: Column) -> Column:
     """
 
     def ends_like_one(value: Column) -> Column:
-        last = F.right(value, F.lit(1))
-        return last.between("0", "9") | (last == ".")
+        return F.substring(value, -1, 1).isin(*"0123456789.")
 
     return F.when(ends_like_one(c) | ends_like_one(text.strip(c)), c.try_cast("double"))
 
@@ -33,7 +32,7 @@ def column_to_number(df: DataFrame, name: str) -> Column:
     """:func:`to_number` of a column of any type; doubles are not made text and parsed again."""
     c = F.col(name)
     if isinstance(df.schema[name].dataType, DoubleType):
-        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+        return F.when(F.abs(c) < float("inf"), c)  # NaN is above it
     return to_number(c.cast("string"))
 
 

@@ -19,6 +19,12 @@ def valid_lat_lon(latitude: Column, longitude: Column) -> Column:
     return within(latitude, 90.0) & within(longitude, 180.0)
 
 
+def known_lat_lon(latitude: Column, longitude: Column) -> Column:
+    """Inclusive ranges; an unknown coordinate does not pass. Each is named once, as a filter repeats all that a column is
+    made of, and the JVM does not compile a filter of more than 8,000 bytes."""
+    return (F.abs(latitude) <= 90.0) & (F.abs(longitude) <= 180.0)
+
+
 def differs_or_unknown(c: Column, value: str) -> Column:
     """``c != value`` that keeps null rows."""
     return ~c.eqNullSafe(F.lit(value))

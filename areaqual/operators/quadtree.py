@@ -71,7 +71,10 @@ def _small_leaves(sized: DataFrame) -> DataFrame:
     )
     box = " AND ".join(f"c{c} BETWEEN floor(least(e.{c}0, e.{c}1) / size) AND floor(greatest(e.{c}0, e.{c}1) / size)" for c in "xy")
     through = f"filter(edges, e -> (e.x0 != e.x1 OR e.y0 != e.y1) AND {box} AND {_NEAR})"
-    above = f"(e.x0 > cx * size) != (e.x1 > cx * size) AND {geo.shifted_side('e', 'cx * size', 'cy * size')} * sign(e.x1 - e.x0) < 0D"
+    # Only an edge at the height of the corner needs its exact side.
+    side = f"{geo.shifted_side('e', 'cx * size', 'cy * size')} * sign(e.x1 - e.x0) < 0D"
+    above = f"""(e.x0 > cx * size) != (e.x1 > cx * size) AND greatest(e.y0, e.y1) >= cy * size
+        AND (least(e.y0, e.y1) > cy * size OR {side})"""
     cells = placed.select(
         "id", *LEVEL_CELL, F.expr(f"size(filter(edges, e -> {above})) % 2").cast("int").alias("inside"),
         F.expr(f"transform({through}, e -> struct(e.x0, e.y0, e.x1, e.y1))").cast(_EDGES).alias("edges"),

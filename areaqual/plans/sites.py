@@ -19,9 +19,7 @@ from areaqual.sources.sinks import Store, keep
 def _known_places(df: DataFrame) -> DataFrame:
     """Rows with both coordinates, in range, as doubles."""
     df = df.withColumns({c: numeric.column_to_number(df, c) for c in ("latitude", "longitude")})
-    return df.dropna(subset=["latitude", "longitude"]).where(
-        predicates.valid_lat_lon(F.col("latitude"), F.col("longitude"))
-    )
+    return df.where(predicates.known_lat_lon(F.col("latitude"), F.col("longitude")))
 
 
 def locate_sites(

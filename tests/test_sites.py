@@ -8,11 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from areaqual.functions import geometry as geo
-from areaqual.functions import numeric
+from areaqual.functions import numeric, predicates
 from areaqual.operators import adjacency as adj
 from areaqual.operators import aggregates, columns, dedupe, sums
 from areaqual.plans import coal, layers, report, sites
 from tests import shapes
+from workload import tables
+from workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -262,3 +264,49 @@ def test_numbers_in_text_with_blanks_around(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = {r.v: r.n for r in df.select("v", numeric.to_number(F.col("v")).alias("n")).collect()}
     assert got == values
+
+
+def test_last_character_of_a_number(spark):
+    values = ["1", "1.", "1\u0663", "1\u00bd", "1/", "1:", "-1", ".", "9", "0x", "1e3", "\u00a05\u2003"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = {r.v: r.n for r in df.select("v", numeric.to_number(F.col("v")).alias("n")).collect()}
+    assert {k for k, n in got.items() if n is not None} >= {"1", "1.", "-1", "9", "1e3"}
+    assert all(got[v] is None for v in ("1\u0663", "1\u00bd", "1/", "1:", ".", "0x"))
+
+
+def test_places_are_known_and_in_range(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), -181.0, -180.0, -90.5, -90.0, -0.0, 90.0, 90.5, 180.0, 180.5]
+    df = spark.createDataFrame([(a, b) for a in values for b in values], "latitude double, longitude double")
+    finite = df.where("abs(latitude) < double('inf') AND abs(longitude) < double('inf')")
+    want = finite.where(predicates.valid_lat_lon(F.col("latitude"), F.col("longitude"))).collect()
+    assert sorted(map(tuple, sites._known_places(df).collect())) == sorted(map(tuple, want)) and len(want) == 3 * 7
+
+
+def test_cleaning_of_mines_is_compiled(spark, tmp_path):
+    """The JVM interprets generated methods of more than 8,000 bytes, which made each row several times as slow."""
+    spark.sql("""SELECT id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority, 1.5D AS o_totalprice,
+        timestamp_ntz '2001-02-03 00:00:00' AS o_orderdate FROM range(9)""").write.parquet(f"{tmp_path}/orders.parquet")
+    df = sites.closed_mines(tables.mines_raw(spark, str(tmp_path)))
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    assert {r.mine_id for r in df.collect()} == {1, 2, 4, 5, 7, 8}
+
+
+def test_shapes_are_digested_before_they_meet_the_sites(spark, tmp_path):
+    d = str(tmp_path)
+    rows = {
+        "region": "0 AS r_regionkey, 'AFRICA' AS r_name", "nation": "0 AS n_nationkey, 'ALGERIA' AS n_name, 0 AS n_regionkey",
+        "supplier": "id AS s_suppkey, 0 AS s_nationkey",
+        "orders": """id AS o_orderkey, id AS o_custkey, 'F' AS o_orderstatus, '1-URGENT' AS o_orderpriority, 1.5D AS o_totalprice,
+            timestamp_ntz '2001-02-03 00:00:00' AS o_orderdate""",
+        "lineitem": """id AS l_orderkey, id AS l_partkey, id AS l_suppkey, 3 AS l_linenumber, 'A' AS l_returnflag, 'F' AS l_linestatus,
+            timestamp_ntz '2001-02-03 00:00:00' AS l_shipdate""",
+    }
+    for name, columns in rows.items():
+        spark.sql(f"SELECT {columns} FROM range({1 if name in ('region', 'nation') else 40})").write.parquet(f"{d}/{name}.parquet")
+    df = QUERIES["coal_rule_geometry"](spark, d)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("md5")
+    found = df.where("geoid IS NOT NULL").collect()
+    assert {(r.n_rings, r.n_edges, r.area) for r in found} == {(1, 4, 9.0)}
+    assert {r.qualifying_criteria for r in found} == {"coalmine", "coal_plant", "coal_mine_adjacent_tract", "coal_plant_adjacent_tract"}

@@ -277,3 +277,31 @@ def test_areas_of_one_partition_are_worked_on_by_all_cores(spark):
     edges = adj.adjacency(areas, "geoid", store=store)
     assert edges.count() == 420 == edges.distinct().count()
     assert min(tasks["shapes"], tasks["area-cells"]) >= spark.sparkContext.defaultParallelism
+
+
+def test_adjacency_takes_the_index_of_its_layer(spark, monkeypatch):
+    """Areas are cut once; of equal areas and of rows without an id, the index holds more than the shapes compared."""
+    square = geo.polygon(geo.rectangle_ring(*(F.expr(v).cast("double") for v in ("id % 4", "id % 16 div 4", "id % 4 + 1", "id % 16 div 4 + 1"))))
+    areas = spark.range(20).select(F.when(F.col("id") != 19, F.col("id").cast("string")).alias("geoid"), square.alias("geometry"))
+    want = {tuple(r) for r in adj.adjacency(areas, "geoid").collect()}
+    assert len(want) > 84
+    index = quadtree.build_index(areas, "geoid")
+    monkeypatch.setattr(quadtree, "build_index", lambda *args, **kwargs: pytest.fail("cut again"))
+    rows = [tuple(r) for r in adj.adjacency(areas, "geoid", index=index).collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_corners_at_the_height_of_edges(spark):
+    """Edges above, below and at the height of the corners of cells; a vertex on a corner, a slanted edge through one."""
+    rings = {
+        "square": [(0, 0), (4, 0), (4, 4), (0, 4)], "up": [(0, 0), (4, 4), (0, 4)], "down": [(0, 4), (4, 0), (4, 4)],
+        "notch": [(0, 0), (4, 0), (4, 4), (2, 2), (0, 4)], "low": [(-3, -3), (5, -1), (1, 5)],
+    }
+    rows = [(k, [[[{"x": float(x), "y": float(y)} for x, y in r]]]) for k, r in rings.items()]
+    areas = spark.createDataFrame(rows, shapes.SCHEMA).select("geoid", geo.normalise("raw").alias("geometry"))
+    grid = [(x / 2 - 4, y / 2 - 4) for x in range(20) for y in range(20)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(grid)], "id int, x double, y double")
+    found = spatial.locate_points(points, areas, "geoid", "x", "y")
+    plain = points.crossJoin(areas.select("geoid", geo.edges("geometry").alias("edges")))
+    want = plain.where(F.expr(geo.locate("x", "y", "edges")) > 0).select("x", "y", "geoid")
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()}

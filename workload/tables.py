@@ -250,7 +250,8 @@ def layer(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
 def square_adjacency(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     """Edge table of a layer, built by the adjacency operator."""
     return adjacency(
-        layer(spark, sf_dir, level), f"{level}_id_fips", "area_geometry", store=sinks.write_and_reuse
+        layer(spark, sf_dir, level), f"{level}_id_fips", "area_geometry", store=sinks.write_and_reuse,
+        index=layer_index(spark, sf_dir, level),
     )
 
 
