@@ -188,7 +188,7 @@ def county_unemployment(raw: DataFrame) -> DataFrame:
     """
     df = series_headers(raw)
     series = text.strip(F.col("series_id"))
-    measure = F.right(series, F.lit(2))
+    measure = F.substring(series, -2, 2)
     df = columns.cast_columns(df, {"year": "int"}).where(
         F.col("year").isNotNull()
         & predicates.monthly_period(F.col("period"))

@@ -310,3 +310,12 @@ def test_shapes_are_digested_before_they_meet_the_sites(spark, tmp_path):
     found = df.where("geoid IS NOT NULL").collect()
     assert {(r.n_rings, r.n_edges, r.area) for r in found} == {(1, 4, 9.0)}
     assert {r.qualifying_criteria for r in found} == {"coalmine", "coal_plant", "coal_mine_adjacent_tract", "coal_plant_adjacent_tract"}
+
+
+def test_brownfields_of_a_short_file_are_cleaned_by_all_cores(spark, tmp_path):
+    spark.sql("""SELECT id AS c_custkey, 0 AS c_nationkey, 1.5D AS c_acctbal, 'FURNITURE' AS c_mktsegment FROM range(0, 90, 1, 1)""").write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    raw = tables.brownfields_raw(spark, str(tmp_path))
+    assert raw.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert raw.count() == 90

@@ -157,8 +157,9 @@ def generators_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brownfields_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread over the cluster at once, as the job does: a short file is read by one task, and cleaning is much work."""
     x, y = place("(c_custkey - c_custkey % 2)")
-    return table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism).select(
         _e("concat(' old mill-', c_custkey - c_custkey % 2, ' SITE ')", "Site Name"),
         _e("concat('S', c_nationkey)", "State"),
         _e("CASE c_mktsegment WHEN 'BUILDING' THEN 'Superfund' WHEN 'MACHINERY' THEN NULL ELSE c_mktsegment END",
