@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``edges`` has long columns ``a`` and ``b``; direction, repeats and loops do not matter. Returns ``node``,
     ``component``; empty for no links. Each round joins links to one minimum per node (a unique key, so adaptive
     skew splitting serves a node with very many links) and ends when the links no longer change. The number of
-    rounds grows with the logarithm of the longest chain. Nothing is gathered beyond a count and a checksum.
+    rounds grows with the logarithm of the longest chain. Nothing is gathered beyond a count and a checksum: the joins
+    are merge joins, as files of links, by which Spark sizes the minima, are much smaller than the links.
     """
     links = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
@@ -40,11 +41,11 @@ def _large_star(links: DataFrame) -> DataFrame:
         links.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them; links run from larger to smaller."""
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    rest = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    rest = links.join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionAll(least.select("a", F.col("m").alias("b"))).distinct()

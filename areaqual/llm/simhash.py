@@ -89,7 +89,8 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
         lone = F.when(part == 0, F.lit(0)).otherwise(F.bit_length(F.lit("")) + _low_bit(part))
         first = F.when(F.bit_count(part) <= 1, F.lit(k * width) + lone).otherwise(first)
     met = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= max_bits) & (F.col("bit") == first)
-    return a.join(b, ["bit", "rest"]).filter(met).select("a", "b")
+    # Spark sizes the variants like the fingerprints, a 64th of what they are, and would gather them to broadcast them
+    return a.join(b.hint("merge"), ["bit", "rest"]).filter(met).select("a", "b")
 
 
 def _low_bit(one: Column) -> Column:
