@@ -85,7 +85,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 5) -> DataFrame:
         paired = stored(ranks.withColumn("next", F.lead(names[-1], 1 << level).over(in_run)), "paired")
         pairs = paired.filter("next is not null").groupBy(names[-1], "next").agg(F.count("*").alias("n")).filter("n > 1")
         order = _in_order(pairs.drop("n"), names[-1], "next").withColumnRenamed("rank", new)
-        ranks = stored(paired.join(stored(order, "order"), [names[-1], "next"], "left").drop("next"), "ranks")
+        ranks = stored(paired.join(stored(order, "order").hint("merge"), [names[-1], "next"], "left").drop("next"), "ranks")
         names.append(new)
         level += 1
     return _later_copies(ranks, windows, names)
@@ -117,8 +117,9 @@ def _later_copies(ranks: DataFrame, windows: DataFrame, names: list[str]) -> Dat
 
 
 def _joined(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join on PLACE, null ids included."""
-    other = right.select(*[F.col(c).alias(f"{c}_r") if c in PLACE else F.col(c) for c in right.columns])
+    """Join on PLACE, null ids included. Both sides have a row for each line that repeats; as Spark sizes them by their
+    files, in which ranks and numbers take a tenth of their room, it would gather them to broadcast them."""
+    other = right.select(*[F.col(c).alias(f"{c}_r") if c in PLACE else F.col(c) for c in right.columns]).hint("merge")
     same = F.col("doc_id").eqNullSafe(F.col("doc_id_r")) & (F.col("h") == F.col("h_r")) & (F.col("idx") == F.col("idx_r"))
     return left.join(other, same).drop("doc_id_r", "h_r", "idx_r")
 

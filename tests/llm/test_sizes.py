@@ -2,7 +2,7 @@
 
 import re
 
-from areaqual.llm import components, simhash
+from areaqual.llm import components, line_dedup, simhash
 from areaqual.llm.common import stored
 
 
@@ -22,3 +22,12 @@ def test_minima_of_links_are_not_broadcast(spark):
     links = stored(spark.createDataFrame([(k, k // 2) for k in range(1, 40)], "a long, b long"), "links")
     for star in (components._large_star(links), components._small_star(links)):
         assert not re.search("BroadcastHashJoin|BroadcastExchange", plan(star))
+
+
+def test_ranks_of_lines_are_not_broadcast(spark):
+    lines = "an old line of words\nand then one more line\nwhich goes on for long"
+    docs = [(k, lines if k else f"first\n{lines}", len(lines)) for k in range(4)]
+    table = stored(spark.createDataFrame(docs, "doc_id long, text string, n_chars int"), "docs")
+    runs = line_dedup.repeated_runs(table, 5)
+    assert not re.search("BroadcastHashJoin|BroadcastExchange", plan(runs))
+    assert sorted((r["doc_id"], r["lines"]) for r in runs.collect()) == [(1, 3), (2, 3), (3, 3)]
